@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmine.llm import simhash
+from glyphmine.llm import exact_dedup, langid, line_dedup, mixing, simhash, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,44 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page without the lines that are boilerplate on its site."""
+    return line_dedup.drop_boilerplate(table(spark, sf_dir, "pages"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document and its code length in each."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(langid.sample(docs)))
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact copies of every document."""
+    return exact_dedup.groups(table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the URL of every page is on the block list."""
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.mark(pages, url_filter.blocked_keys(pages))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copies of every document that bring the sources to their target weights."""
+    return mixing.copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op4_language_id": op4_language_id,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op6_url_filter": op6_url_filter,
+    "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": line_dedup.boilerplate_sql(),
+    "op5_exact_dedup": exact_dedup.GROUPS_SQL,
+    "op6_url_filter": url_filter.mark_sql(),
+}
