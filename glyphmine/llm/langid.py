@@ -46,15 +46,7 @@ _LETTER[128:] = True
 
 def letters(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The coded form of lower-cased texts: letters, and one space for what stands between or after them."""
-    if not len(data):
-        return data, offs
-    is_letter = _LETTER[data]
-    keep = is_letter.copy()
-    keep[1:] |= is_letter[:-1]
-    inner = offs[(offs > 0) & (offs < len(data))]
-    keep[inner] = is_letter[inner]  # what another text ends with isn't before this one
-    out = np.where(is_letter, data, np.uint8(32))[keep]
-    return out, np.r_[0, np.cumsum(keep, dtype=np.int64)][offs]
+    return tk.squeeze(data, offs, _LETTER)
 
 
 @dataclass

@@ -152,3 +152,15 @@ def distinct_per_row(values: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, n
     pair = np.sort(row.astype(np.int64) * max(1, len(table)) + code)
     pair = pair[np.r_[True, pair[1:] != pair[:-1]]] if len(pair) else pair
     return table, pair % max(1, len(table)), pair // max(1, len(table))
+
+
+def squeeze(data: np.ndarray, offs: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts of which the bytes in ``keep`` (a 256-entry mask) stay and every run of others after one is a space."""
+    if not len(data):
+        return data, offs
+    good = keep[data]
+    stay = good.copy()
+    stay[1:] |= good[:-1]
+    inner = offs[(offs > 0) & (offs < len(data))]
+    stay[inner] = good[inner]  # what another text ends with isn't before this one
+    return np.where(good, data, np.uint8(32))[stay], np.r_[0, np.cumsum(stay, dtype=np.int64)][offs]
