@@ -9,13 +9,13 @@ such place can miss; bands that reach the bound are verified by a banded alignme
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmine.llm import textkit as tk
@@ -221,16 +221,20 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return out
 
 
+def _is_clean(df: DataFrame, ix: Index) -> Callable[[Column], Column]:
+    shared = df.sparkSession.sparkContext.broadcast(ix)
+
+    @F.arrow_udf("boolean")
+    def clean(text: pa.Array) -> pa.Array:
+        out = np.ones(len(text), dtype=bool)
+        out[[r for r, *_ in hits(shared.value, text)]] = False
+        return pa.array(out)
+
+    return clean
+
+
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = EDIT_RATE) -> DataFrame:
     """The rows of ``df`` whose text has no window of a benchmark item; all columns as they were. Null and empty texts stay."""
     for ix in _indexes(benchmark, item_col, item_text_col, rate):
-        shared = df.sparkSession.sparkContext.broadcast(ix)
-
-        @F.arrow_udf("boolean")
-        def clean(text: pa.Array, shared=shared) -> pa.Array:
-            out = np.ones(len(text), dtype=bool)
-            out[[r for r, *_ in hits(shared.value, text)]] = False
-            return pa.array(out)
-
-        df = df.where(clean(F.col(f"`{text_col}`").cast("string")))
+        df = df.where(_is_clean(df, ix)(F.col(f"`{text_col}`").cast("string")))
     return df
