@@ -5,8 +5,7 @@ can be read by itself. For each id
   * order 2 predicts the id that last followed the two before, order 1 the one that last followed the one before;
   * which of them is right is coded first, with weights learned from how often each was right so far in the same
     state (has each a prediction, was its last one right, do they agree);
-  * if neither is, order 0 codes the id's high byte and then its low byte, with frequencies of the block so far,
-    brought up to date every ``SEGMENT`` (high) and ``LOW_SEGMENT`` (low) ids.
+  * if neither is, order 0 codes the id's high byte and then its low byte, with frequencies of the block so far.
 The encoder knows all ids, so it computes every frequency for all blocks at once by sorting and running sums, and only the
 arithmetic of the range coder steps along the ids, for all blocks of a chunk side by side. The decoder rebuilds the
 model id by id.
@@ -18,30 +17,36 @@ from __future__ import annotations
 
 import base64
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmine.llm import textkit as tk
 
 BLOCK = 1024
-SEGMENT, LOW_SEGMENT = 64, 256
-#: What an id adds to the frequencies of its high and low byte.
-ADD_HIGH, ADD_LOW = 8, 24
+#: Ids after which the frequencies of which order is right, of high and of low bytes are brought up to date.
+SEGMENT = 128
+#: What an id adds to those frequencies.
+ADD_EVENT, ADD_HIGH, ADD_LOW = 8, 8, 24
 #: High bytes with low-byte frequencies of their own; the rest share one table.
-CLASSES = 12
+CLASSES = 4
+#: Frequencies are coded as shares of these; a step has room for an event and a high byte.
+EVENT_TOTAL, HIGH_TOTAL, LOW_TOTAL = 1 << 12, 1 << 14, 1 << 16
+STEP_BITS = 26
 #: Text bytes coded side by side.
 CHUNK = 3 << 20
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 _HIGH = 1 + 240 // (1 + np.arange(256))  # vocabularies are sorted by frequency
-_LOW_START = 4
+_LOW = np.full(256, 4)
 _EVENT_START = np.array([4, 2, 6])
-_TOP = np.uint64(1 << 32)
-_MASK = np.uint64((1 << 32) - 1)
+_TOP = np.uint64(1 << 40)
+_MASK = np.uint64((1 << 40) - 1)
 
 
 def _context(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -49,151 +54,166 @@ def _context(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a * 40_503 + b * 2_654_435) >> 3) & ((1 << 22) - 1)
 
 
-def _last(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place the one before it with the same key, or -1; and for each the order by (key, place)."""
+def _last(key: np.ndarray, bits: int) -> np.ndarray:
+    """For each place the one before it with the same key (of ``bits`` bits), or -1."""
     n = len(key)
-    s = np.sort(key * n + np.arange(n))
-    order = s % n
-    same = np.r_[False, s[1:] // n == s[:-1] // n] if n else np.zeros(0, bool)
+    shift = max(1, int(n).bit_length())
+    if bits + shift > 63:
+        raise ValueError("too many ids at once")
+    s = np.sort(key << shift | np.arange(n))
+    order = s & ((1 << shift) - 1)
+    same = np.flatnonzero(s[1:] >> shift == s[:-1] >> shift)
     prev = np.full(n, -1, dtype=np.int64)
-    prev[order[same]] = order[np.flatnonzero(same) - 1]
-    return prev, order
+    prev[order[same + 1]] = order[same]
+    return prev
 
 
 def _states(ids: np.ndarray, block: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each id: the state (0..31) and which event it is: 0 order 2 is right, 1 order 1 is, 2 neither."""
     one, two = np.r_[0, ids[:-1]], np.r_[0, 0, ids[:-2]] if len(ids) > 1 else np.zeros(len(ids), np.int64)
-    state, right, guess = [], [], []
-    for key, least in ((_context(two, one) << 13 | block & 8191, 2), (one << 13 | block & 8191, 1)):
-        prev, _ = _last(key)
-        prev[(place < least) | (prev < 0) | (block[prev] != block) | (place[prev] < least)] = -1
+    wide = int(block[-1]).bit_length() if len(block) else 1
+    mark, right, guess = [], [], []
+    for context, least, bits in ((_context(two, one), 2, 22), (one, 1, 16)):
+        context = np.where(place < least, 1 << bits, context)  # a block's first ids have no context
+        prev = _last(context << wide | block, bits + 1 + wide)
+        prev[place < least] = -1
         have = prev >= 0
         g = np.where(have, ids[prev], -1)
-        ok = have & (g == ids)
+        ok = g == ids
         # 0: no prediction; 1: the first; 2: the last was wrong; 3: right
-        state.append(np.where(have, np.where(have[prev], 2 + ok[prev], 1), 0))
+        mark.append(np.where(have, np.where(have[prev], 2 + ok[prev], 1), 0))
         right.append(ok)
         guess.append(g)
     agree = (guess[0] == guess[1]) & (guess[0] >= 0)
     event = np.where(right[0], 0, np.where(right[1], 1, 2))
-    return state[0] * 8 + state[1] * 2 + agree, event
+    return mark[0] * 8 + mark[1] * 2 + agree, event
 
 
-def _steps(ids: np.ndarray, block: np.ndarray, place: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(cumulative, frequency, total) of all coding steps in order, and the steps of each block."""
+class _Table:
+    """Frequencies of symbols by kind for all blocks side by side; only whole segments that are over count."""
+
+    def __init__(self, symbol: np.ndarray, kind: np.ndarray | None, kinds: int, prior: np.ndarray, add: int, total: int, n: int) -> None:
+        self.symbol, self.kinds, self.prior, self.add, self.total = symbol, kinds, prior.astype(np.int32), add, float(total)
+        self.kind = kind
+        self.now: np.ndarray | None = None
+        self.cum, self.freq = np.zeros(n, dtype=np.int64), np.full(n, total, dtype=np.int64)
+
+    def look(self, i: np.ndarray, row: np.ndarray, n: int) -> None:
+        """Shares of the ids at ``i``, which are in blocks ``row``."""
+        c, width = self.symbol[i], len(self.prior)
+        if self.now is None:
+            sums = np.cumsum(self.prior)
+            f, upto, total = self.prior[c], sums[c], float(sums[-1])
+        else:
+            part = self.now[:n].reshape(-1, width)
+            sums = np.cumsum(part, axis=1, dtype=np.int32)
+            base = (row if self.kind is None else row * self.kinds + self.kind[i]) * width
+            at = base + c
+            f, upto, total = part.reshape(-1).take(at), sums.reshape(-1).take(at), sums.reshape(-1).take(base + (width - 1)).astype(np.float64)
+        scale = self.total / total
+        del total
+        # shares are rounded down at both ends; the decoder does the same sum in the same order
+        lo = np.floor((upto - f) * scale)
+        self.cum[i] = lo
+        self.freq[i] = np.floor(upto * scale) - lo
+
+    def learn(self, i: np.ndarray, row: np.ndarray, more: int) -> None:
+        """Counts the ids at ``i``; ``more`` blocks go on."""
+        width = self.kinds * len(self.prior)
+        if self.now is None:
+            self.now = np.tile(self.prior, (more, self.kinds))
+        cell = self.symbol[i] if self.kind is None else self.kind[i] * len(self.prior) + self.symbol[i]
+        count = np.bincount(row * width + cell, minlength=more * width)
+        count *= self.add
+        self.now[:more] += count.reshape(more, width)
+
+
+def _steps(ids: np.ndarray, block: np.ndarray, place: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cumulative and frequency, of ``STEP_BITS`` bits each) of all coding steps in order, and the steps of each block."""
     n = len(ids)
     state, event = _states(ids, block, place)
-    # which order is right: counts so far of the three events in this state of this block
-    key = block * 32 + state
-    s = np.sort(key * n + np.arange(n))
-    order = s % n
-    k = key[order]
-    head = np.r_[True, k[1:] != k[:-1]]
-    first = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    e = event[order]
-    seen = np.empty((n, 3), dtype=np.int64)
-    for x in range(3):
-        run = np.cumsum(e == x) - (e == x)
-        seen[order, x] = run - run[first]
-    f = seen * 8 + _EVENT_START
-    both_none = state < 2  # neither has a prediction: nothing to code
-    cum_e = np.where(event == 0, 0, np.where(event == 1, f[:, 0], f[:, 0] + f[:, 1]))
-    freq_e, total_e = f[np.arange(n), event], f.sum(axis=1)
-    # order 0: frequencies up to the segment before
-    far = np.flatnonzero(event == 2)
+    some, far = state >= 2, event == 2
     hi, lo = ids >> 8, ids & 255
-    out_c, out_f, out_t = [], [], []
-    for length, add, symbol, classes, start in ((SEGMENT, ADD_HIGH, hi, np.zeros(n, np.int64), _HIGH), (LOW_SEGMENT, ADD_LOW, lo, np.minimum(hi, CLASSES - 1), np.full(256, _LOW_START))):
-        n_class = int(classes.max(initial=0)) + 1
-        seg_in = place // length
-        new = np.r_[True, (block[1:] != block[:-1]) | (seg_in[1:] != seg_in[:-1])]
-        seg = np.cumsum(new) - 1
-        n_seg = int(seg[-1]) + 1 if n else 0
-        c, fr, t = (np.empty(len(far), dtype=np.int64) for _ in range(3))
-        part = max(1, (1 << 22) // (n_class * 256))  # segments at a time
-        seg_block = block[new]
-        at = 0
-        carry, carry_block = np.zeros(n_class * 256, dtype=np.int32), -1
-        bounds = np.searchsorted(seg, np.arange(0, n_seg + part, part))
-        far_seg = seg[far]
-        for g in range(0, n_seg, part):
-            m = min(part, n_seg - g)
-            a, b = bounds[g // part], bounds[g // part + 1]
-            count = np.bincount(((seg[a:b] - g) * n_class + classes[a:b]) * 256 + symbol[a:b], minlength=m * n_class * 256).reshape(m, -1).astype(np.int32)
-            table = np.cumsum(count, axis=0, dtype=np.int32)
-            last = table[-1].copy()
-            table -= count
-            sb = seg_block[g : g + m]
-            begin = np.maximum.accumulate(np.where(np.r_[True, sb[1:] != sb[:-1]], np.arange(m), 0))
-            zero = table[begin].copy()
-            if g and sb[0] == carry_block:
-                zero[begin == 0] -= carry
-            next_carry = last - table[begin[-1]] + (carry if begin[-1] == 0 and sb[0] == carry_block else 0)
-            table -= zero
-            carry, carry_block = next_carry, sb[-1]
-            whole = (table * add).reshape(m * n_class, 256) + start.astype(np.int32)
-            sums = np.zeros((m * n_class, 257), dtype=np.int32)
-            np.cumsum(whole, axis=1, out=sums[:, 1:])
-            end = at + int(np.searchsorted(far_seg[at:], g + m))
-            i = far[at:end]
-            cell = (seg[i] - g) * n_class + classes[i]
-            c[at:end], fr[at:end], t[at:end] = sums[cell, symbol[i]], whole[cell, symbol[i]], sums[cell, 256]
-            at = end
-        out_c.append(c)
-        out_f.append(fr)
-        out_t.append(t)
-    # in order: the event, if there is one to code, then high and low byte
-    n_steps = (~both_none).astype(np.int64) + 2 * (event == 2)
-    start = np.cumsum(n_steps) - n_steps
-    total_steps = int(n_steps.sum())
-    cum, freq, total = (np.empty(total_steps, dtype=np.uint64) for _ in range(3))
-    w = np.flatnonzero(~both_none)
-    cum[start[w]], freq[start[w]], total[start[w]] = cum_e[w], freq_e[w], total_e[w]
-    at = start[far] + (~both_none[far])
-    for k in (0, 1):
-        cum[at + k], freq[at + k], total[at + k] = out_c[k], out_f[k], out_t[k]
-    return cum, freq, total, np.bincount(block, weights=n_steps, minlength=n_blocks).astype(np.int64)
-
-
-def _range_code(cum: np.ndarray, freq: np.ndarray, total: np.ndarray, steps: np.ndarray) -> list[bytes]:
+    tables = [_Table(event, state, 32, _EVENT_START, ADD_EVENT, EVENT_TOTAL, n), _Table(hi, None, 1, _HIGH, ADD_HIGH, HIGH_TOTAL, n), _Table(lo, np.minimum(hi, CLASSES - 1), CLASSES, _LOW, ADD_LOW, LOW_TOTAL, n)]
+    # all blocks go through their k-th segments together, the longest ones first
+    order = np.argsort(-sizes, kind="stable")
+    start, size = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    for k in range(int(size[0]) // SEGMENT + 1):
+        live = int(np.searchsorted(-size, -k * SEGMENT, side="left"))
+        if not live:
+            break
+        here = np.minimum(SEGMENT, size[:live] - k * SEGMENT)
+        row = np.repeat(np.arange(live), here)
+        i = np.repeat(start[:live] + k * SEGMENT - (np.cumsum(here) - here), here) + np.arange(len(row))
+        w = np.flatnonzero(some[i])
+        tables[0].look(i[w], row[w], live)
+        w = np.flatnonzero(far[i])
+        for t in tables[1:]:
+            t.look(i[w], row[w], live)
+        more = int(np.searchsorted(-size, -(k + 1) * SEGMENT, side="left"))
+        if more:
+            upto = int(np.searchsorted(row, more))
+            for t in tables:
+                t.learn(i[:upto], row[:upto], more)
+    # which order is right, with the high byte if neither is; then the low byte if neither is
+    cum, freq = tables[0].cum * HIGH_TOTAL, tables[0].freq * HIGH_TOTAL
+    f = np.flatnonzero(far)
+    cum[f] += tables[0].freq[f] * tables[1].cum[f]
+    freq[f] = tables[0].freq[f] * tables[1].freq[f]
+    n_steps = 1 + far
+    at = np.cumsum(n_steps) - n_steps
+    out = np.empty(n + len(f), dtype=np.uint64)
+    out[at] = cum << STEP_BITS | freq - 1
+    wider = (1 << STEP_BITS) // LOW_TOTAL
+    out[at[f] + 1] = tables[2].cum[f] * wider << STEP_BITS | tables[2].freq[f] * wider - 1
+    return out, np.bincount(block, weights=n_steps, minlength=len(sizes)).astype(np.int64)
+
+
+def _range_code(packed: np.ndarray, steps: np.ndarray) -> list[bytes]:
     """The code of each block: its steps one after the other, all blocks side by side."""
     n = len(steps)
     order = np.argsort(-steps, kind="stable")
     at = (np.cumsum(steps) - steps)[order]
     size = steps[order]
-    low, rng = np.zeros(n, dtype=np.uint64), np.full(n, (1 << 48) - 1, dtype=np.uint64)
-    most = int(size[0]) + 4 if n else 4
-    digits = np.zeros((most, n), dtype=np.uint32)
-    put = np.zeros(n, dtype=np.int64)
-    lanes = np.arange(n)
-    flat = digits.reshape(-1)
     longest = int(size[0]) if n else 0
+    low, rng = np.zeros(n, dtype=np.uint64), np.full(n, (1 << 56) - 1, dtype=np.uint64)
+    flat = np.zeros((2 * longest + 6) * n, dtype=np.uint32)  # a row of digits for each time the place moves on
+    put = np.arange(n)
     live = np.searchsorted(-size, -np.arange(longest), side="left")  # blocks with more than s steps
-    sixteen = np.uint64(16)
+    bits, ones, sixteen, upper = np.uint64(STEP_BITS), np.uint64((1 << STEP_BITS) - 1), np.uint64(16), np.uint64(40)
     for s in range(longest):
         k = int(live[s])
-        i = at[:k] + s
-        r = rng[:k] // total[i]
+        x = packed[at[:k]]
+        at[:k] += 1
+        r = rng[:k] >> bits
         lo = low[:k]
-        lo += r * cum[i]
-        r *= freq[i]
-        short = r < _TOP
-        # a digit is 16 bits and perhaps a carry; it counts only if the place moves on
+        lo += r * (x >> bits)
+        x &= ones
+        x += np.uint64(1)
+        r *= x
         p = put[:k]
-        flat[p * n + lanes[:k]] = lo >> np.uint64(32)
-        p += short
-        shift = short * sixteen
-        np.copyto(lo, (lo & _MASK) << sixteen, where=short)
-        rng[:k] = r << shift
-    for _ in range(3):
-        flat[put * n + lanes] = low >> np.uint64(32)
-        put += 1
+        while True:
+            # a digit is 16 bits and perhaps a carry; it counts only if the place moves on
+            flat[p] = lo >> upper
+            short = r < _TOP
+            p += short * n
+            np.copyto(lo, (lo & _MASK) << sixteen, where=short)
+            np.left_shift(r, short * sixteen, out=r)
+            if r.min() >= _TOP:
+                break
+        rng[:k] = r
+    for _ in range(4):
+        flat[put] = low >> upper
+        put += n
         low = (low & _MASK) << sixteen
+    digits = flat.reshape(-1, n) if n else flat.reshape(0, 0)
+    main, carry = np.ascontiguousarray(digits.T & 0xFFFF).astype(">u2"), np.ascontiguousarray(digits.T >> 16).astype(">u2")
     out: list[bytes] = [b""] * n
-    for j in range(n):
-        d = digits[: put[j], j]
-        whole = int.from_bytes((d & 0xFFFF).astype(">u2").tobytes(), "big") + (int.from_bytes((d >> 16).astype(">u2").tobytes(), "big") << 16)
-        out[order[j]] = whole.to_bytes(2 * len(d), "big").rstrip(b"\0")
+    for j, (o, z) in enumerate(zip(order.tolist(), (put // max(1, n)).tolist(), strict=True)):
+        whole = int.from_bytes(main[j, :z].tobytes(), "big")
+        if carry[j, :z].any():
+            whole += int.from_bytes(carry[j, :z].tobytes(), "big") << 16
+        out[o] = whole.to_bytes(2 * z, "big").rstrip(b"\0")
     return out
 
 
@@ -204,7 +224,7 @@ def encode(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     start = np.cumsum(sizes) - sizes
     place = np.arange(len(ids)) - start[block] if len(ids) else np.zeros(0, np.int64)
     ids = ids.astype(np.int64)
-    codes = _range_code(*_steps(ids, block, place, n)) if len(ids) else [b""] * n
+    codes = _range_code(*_steps(ids, block, place, sizes)) if len(ids) else [b""] * n
     raw = ids.astype("<u2").tobytes()
     return [int(z).to_bytes(2, "little") + zlib.crc32(raw[2 * a : 2 * (a + z)]).to_bytes(4, "little") + c for a, z, c in zip(start.tolist(), sizes.tolist(), codes, strict=True)]
 
@@ -213,57 +233,55 @@ def decode(block: bytes) -> list[int]:
     """The ids of one block; ValueError if they don't have its checksum."""
     n, crc = int.from_bytes(block[:2], "little"), int.from_bytes(block[2:6], "little")
     data = block[6:]
-    code, at = int.from_bytes(data[:6].ljust(6, b"\0"), "big"), 6
-    low, rng = 0, (1 << 48) - 1  # low: of the code within the range, kept relative
+    code, at = int.from_bytes(data[:7].ljust(7, b"\0"), "big"), 7
+    rng = (1 << 56) - 1  # ``code`` is kept relative to the low end of the range
     ids: list[int] = []
     last: tuple[dict, dict] = ({}, {})  # context: (id that followed, was the last prediction right)
-    events: dict[int, list[int]] = {}
-    high_now, high = _HIGH.tolist(), _HIGH.tolist()
-    low_now = [[_LOW_START] * 256 for _ in range(CLASSES)]
-    low_tab = [x[:] for x in low_now]
+    tables = [[_EVENT_START.tolist() for _ in range(32)], [_HIGH.tolist()], [_LOW.tolist() for _ in range(CLASSES)]]
+    now = [[x[:] for x in t] for t in tables]
 
-    def take(freqs: list[int]) -> int:
-        nonlocal code, rng, at
-        total = sum(freqs)
-        r = rng // total
-        value = code // r
-        cum = 0
+    def share(freqs: list[int], shares: int, value: int) -> tuple[int, int, int]:
+        """(symbol, low end, width) of the share that holds ``value``."""
+        scale, upto = float(shares) / float(sum(freqs)), 0
         for x, f in enumerate(freqs):
-            if value < cum + f:
-                break
-            cum += f
-        else:
-            raise ValueError("a block is damaged")
-        code -= r * cum
-        rng = r * freqs[x]
-        if rng < 1 << 32:
+            below, upto = int(upto * scale), upto + f
+            if value < int(upto * scale):
+                return x, below, int(upto * scale) - below
+        raise ValueError("a block is damaged")
+
+    def moved(r: int, below: int, width: int) -> None:
+        nonlocal code, rng, at
+        code -= r * below
+        rng = r * width
+        while rng < 1 << 40:
             code = code << 16 | int.from_bytes(data[at : at + 2].ljust(2, b"\0"), "big")
             at += 2
             rng <<= 16
-        return x
 
+    wider = (1 << STEP_BITS) // LOW_TOTAL
     for i in range(n):
         if i and i % SEGMENT == 0:
-            high = high_now[:]
-        if i and i % LOW_SEGMENT == 0:
-            low_tab = [x[:] for x in low_now]
+            tables = [[x[:] for x in t] for t in now]
         keys = (int(_context(np.int64(ids[i - 2]), np.int64(ids[i - 1]))) if i >= 2 else None, ids[i - 1] if i >= 1 else None)
         known = [last[o].get(keys[o]) if keys[o] is not None else None for o in (0, 1)]
         guess = [k[0] if k else -1 for k in known]
         mark = [0 if k is None else 1 if k[1] is None else 2 + k[1] for k in known]
         state = mark[0] * 8 + mark[1] * 2 + (guess[0] == guess[1] and guess[0] >= 0)
-        event = 2
-        if state >= 2:
-            seen = events.setdefault(state, [0, 0, 0])
-            event = take([8 * c + int(b) for c, b in zip(seen, _EVENT_START, strict=True)])
-            seen[event] += 1
+        r = rng >> STEP_BITS
+        value = code // r
+        event, below, width = share(tables[0][state], EVENT_TOTAL, value // HIGH_TOTAL) if state >= 2 else (2, 0, EVENT_TOTAL)
         if event == 2:
-            h = take(high)
-            x = h << 8 | take(low_tab[min(h, CLASSES - 1)])
+            h, b, w = share(tables[1][0], HIGH_TOTAL, (value - below * HIGH_TOTAL) // width)
+            moved(r, below * HIGH_TOTAL + width * b, width * w)
+            r = rng >> STEP_BITS
+            c, b, w = share(tables[2][min(h, CLASSES - 1)], LOW_TOTAL, code // r // wider)
+            moved(r, b * wider, w * wider)
+            x = h << 8 | c
         else:
+            moved(r, below * HIGH_TOTAL, width * HIGH_TOTAL)
             x = guess[event]
-        high_now[x >> 8] += ADD_HIGH
-        low_now[min(x >> 8, CLASSES - 1)][x & 255] += ADD_LOW
+        for t, (kind, symbol, add) in enumerate(((state, event, ADD_EVENT), (0, x >> 8, ADD_HIGH), (min(x >> 8, CLASSES - 1), x & 255, ADD_LOW))):
+            now[t][kind][symbol] += add
         for o in (0, 1):
             if keys[o] is not None:
                 last[o][keys[o]] = (x, None if known[o] is None else int(guess[o] == x))
@@ -273,10 +291,64 @@ def decode(block: bytes) -> list[int]:
     return ids
 
 
-_tokenizers: dict[str, object] = {}
+class Words:
+    """Tokenizes whole columns by their distinct words.
 
+    The tokenizer's pattern always begins a piece at a space that comes before a character other than white space, and
+    joins bytes within pieces only, so the ids of such a word with its space don't depend on what is around it: the
+    distinct words of a column are tokenized as one text, which is cut where their bytes begin.
+    """
 
-def tokenizer(path: str):
+    def __init__(self, encoding) -> None:
+        self.encoding = encoding
+        self.length = np.array([len(encoding.decode_single_token_bytes(i)) for i in range(encoding.n_vocab)], dtype=np.int64)
+
+    def of(self, text: str) -> np.ndarray:
+        """The ids of a text by itself."""
+        return np.frombuffer(array("H", self.encoding.encode_ordinary(text)), dtype=np.uint16)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after the other; how many each has); a null has none."""
+        n = len(texts)
+        split = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        at = split.offsets.to_numpy().astype(np.int64)
+        at -= at[0]
+        flat = split.flatten()
+        coded = flat.dictionary_encode()
+        place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        words = coded.dictionary
+        odd = pc.match_substring_regex(words, r"^(\s|\pZ|\x{85}|[\x1c-\x1f]|$)").to_numpy(zero_copy_only=False)
+        bytes_of = np.where(odd, 0, pc.binary_length(words).to_numpy(zero_copy_only=False) + 1)
+        plain = words.filter(pa.array(~odd))
+        every = [self.of(" " + " ".join(plain.to_pylist())) if len(plain) else np.zeros(0, np.uint16)]
+        ends = np.r_[0, np.cumsum(self.length[every[0]])]
+        cuts = np.searchsorted(ends, np.r_[0, np.cumsum(bytes_of)])
+        size = np.diff(cuts)
+        # the first word of a text has no space before it
+        first = at[:-1]
+        every += [self.of(w) if w else np.zeros(0, np.uint16) for w in flat.take(pa.array(first)).to_pylist()]
+        base = len(words)
+        bad = odd[place]
+        bad[first] = False
+        place[first] = base + np.arange(n)
+        for r in np.unique(np.searchsorted(at, np.flatnonzero(bad), side="right") - 1).tolist():
+            # white space before white space: the pieces aren't those between spaces
+            place[at[r] : at[r + 1]] = base + n
+            place[at[r]] = base + r
+            every[1 + r] = self.of(texts[r].as_py())
+        size = np.r_[size, [len(p) for p in every[1:]], 0].astype(np.int64)
+        store = np.concatenate(every)
+        begin = np.cumsum(size) - size
+        each = size[place]
+        upto = np.cumsum(each)
+        out = store[np.repeat(begin[place] - (upto - each), each) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        return out, np.diff(np.r_[0, upto][at])
+
+
+_tokenizers: dict[str, Words] = {}
+
+
+def tokenizer(path: str) -> Words:
     """The byte-level tokenizer whose ranks are in the file at ``path``, loaded once per process."""
     if path not in _tokenizers:
         import tiktoken
@@ -284,23 +356,22 @@ def tokenizer(path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        _tokenizers[path] = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _tokenizers[path] = Words(tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}))
     return _tokenizers[path]
 
 
 def _blocks(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = tokenizer(path).encode_ordinary
+        words = tokenizer(path)
         for batch in batches:
             text = batch.column(1)
             for lo, hi in tk.spans(tk.buffers(text)[1], CHUNK):
-                coded = [np.array(of(t), dtype=np.uint16) if t else np.zeros(0, np.uint16) for t in text.slice(lo, hi - lo).to_pylist()]
-                n = np.array([len(c) for c in coded], dtype=np.int64)
+                ids, n = words.ids(text.slice(lo, hi - lo))
                 parts = np.maximum(1, -(-n // BLOCK))  # an empty text has one empty block
                 row = np.repeat(np.arange(hi - lo), parts)
                 number = np.arange(len(row)) - (np.cumsum(parts) - parts)[row]
                 sizes = np.minimum(BLOCK, n[row] - number * BLOCK)
-                data = encode(np.concatenate(coded), sizes)
+                data = encode(ids, sizes)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + row)), pa.array(number), pa.array(sizes), pa.array(data, pa.binary())], names=["doc_id", "block", "n_tokens", "data"])
 
     return run
