@@ -1,16 +1,285 @@
-"""Queries of the text-index and pattern operators, by name, and the SQL that must agree with each."""
+"""Queries of the text-index and pattern operators, by name, and the SQL that must agree with each.
+
+Every query runs over whole tables and whole texts. Suffix tables are checked by SQL on the tables of short texts, where
+SQL can sort all suffixes; their long-text forms are checked by SQL where the answer has another derivation
+(a text from its BWT, counts from intervals) and by brute force in the tests where it hasn't.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmine.functions import automata, pattern_columns, regex_ast, scalars
+from glyphmine.operators import global_index, index, match, search
+from glyphmine.sources import corpus, formats
+
+WORD = "ana"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the tables; texts that one file holds in one row group are spread before they are taken apart."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.repartition(spark.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() < 2 else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping occurrences of a literal per document, with the context of the first."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where(F.col("text").contains("ana"))
-    return docs.select("doc_id", F.regexp_count("text", F.lit("(?=ana)")).alias("cnt"), F.substring("text", F.instr("text", "ana"), 24).alias("context"))
+    """How often a word occurs in each document, where first, and what stands around it."""
+    docs = documents(spark, sf_dir)
+    first = F.instr("text", WORD)
+    around = docs.where(F.col("text").contains(WORD)).select("doc_id", (first - 1).alias("start"), F.substring("text", F.greatest(first - 10, F.lit(1)), F.lit(24)).alias("context"))
+    return search.count(docs, WORD).join(around, "doc_id")
+
+
+def literal_count(spark, sf_dir):
+    return search.count(documents(spark, sf_dir), WORD)
+
+
+def literal_locate(spark, sf_dir):
+    return search.locate(documents(spark, sf_dir), WORD, 8)
+
+
+def byte_histogram(spark, sf_dir):
+    return index.corpus_symbol_counts(documents(spark, sf_dir))
+
+
+def document_symbol_counts(spark, sf_dir):
+    return index.symbol_counts(documents(spark, sf_dir))
+
+
+def suffix_table(spark, sf_dir):
+    return index.occurrence_ranks(index.suffix_rows(parts(spark, sf_dir)))
+
+
+def suffix_table_reversed(spark, sf_dir):
+    return index.suffix_rows(parts(spark, sf_dir), orientation="reversed").select("doc_id", "rank", "pos")
+
+
+def suffix_greater_than_whole(spark, sf_dir):
+    return index.greater_than_whole(index.suffix_rows(parts(spark, sf_dir)))
+
+
+def document_index(spark, sf_dir):
+    """The index of every document as a row."""
+    built = index.build_index(documents(spark, sf_dir))
+    return built.select("doc_id", "n", "eof", F.hex("bwt").alias("bwt"), "sa", "lcp")
+
+
+def text_from_bwt(spark, sf_dir):
+    return index.texts_of(index.build_index(documents(spark, sf_dir))).select("doc_id", F.decode("data", "utf-8").alias("text"))
+
+
+def index_is_sorted(spark, sf_dir):
+    return index.is_sorted(index.build_index(documents(spark, sf_dir)))
+
+
+def index_literal_count(spark, sf_dir):
+    return search.interval(index.build_index(documents(spark, sf_dir)), WORD.encode()).select("doc_id", "cnt")
+
+
+def interval_search(spark, sf_dir):
+    return search.interval(index.build_index(parts(spark, sf_dir)), b"ol")
+
+
+def backward_search_steps(spark, sf_dir):
+    return search.backward_steps(index.build_index(parts(spark, sf_dir)), b"ol")
+
+
+def occ_at_rank(spark, sf_dir):
+    return search.occ(index.build_index(parts(spark, sf_dir)), ord("e"), 7)
+
+
+def extract_at_rank(spark, sf_dir):
+    return search.extract(index.build_index(parts(spark, sf_dir)), 5, 4).select("doc_id", F.decode("next", "utf-8").alias("next"), F.decode("prev", "utf-8").alias("prev"))
+
+
+def first_byte_at_rank(spark, sf_dir):
+    return search.first_byte(index.build_index(parts(spark, sf_dir)), 5)
+
+
+def text_tail(spark, sf_dir):
+    return search.tail(documents(spark, sf_dir), 100)
+
+
+def int_suffix_array(spark, sf_dir):
+    codes = parts(spark, sf_dir).select("doc_id", F.transform(F.split("text", ""), lambda c: F.ascii(c) * 1000).alias("codes"))
+    return index.int_suffix_arrays(codes, "doc_id", "codes").select("doc_id", F.posexplode("sa").alias("rank", "pos"))
+
+
+def global_suffixes(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("doc_id"), F.col("s_name").alias("text"))
+    return global_index.global_suffix_array(s)
+
+
+def global_bwt(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("doc_id"), F.col("s_name").alias("text"))
+    return global_index.global_bwt(s)
+
+
+_NAMES = "(a|b|c|d|e|f|g|h|i|j|k|l|m|n|o|p)*.*(e|r) .+"
+_DOCS = ".*(idiot|trash).*"
+
+
+def regex_full_match(spark, sf_dir):
+    return parts(spark, sf_dir).select("doc_id", pattern_columns.full_match(F.col("text"), _NAMES).alias("matched"))
+
+
+def regex_full_match_fold(spark, sf_dir):
+    return parts(spark, sf_dir).select("doc_id", pattern_columns.full_match(F.col("text"), "[a-z]+ .*n.*", engine="fold").alias("matched"))
+
+
+def regex_full_match_documents(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", pattern_columns.full_match(F.col("text"), _DOCS, engine="dfa").alias("matched"))
+
+
+def regex_full_match_native(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", pattern_columns.full_match(F.col("text"), "(T|A|O).*e.", engine="java").alias("matched"))
+
+
+def regex_prefix_match(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", pattern_columns.prefix_match(F.col("text"), "(T|A)[a-z]+ .*ing", engine="dfa").alias("matched"))
+
+
+def regex_substrings(spark, sf_dir):
+    return match.regex_matches(documents(spark, sf_dir), "(a|b)[a-z]*t", max_length=8)
+
+
+def regex_core_substrings(spark, sf_dir):
+    return match.regex_matches(documents(spark, sf_dir), ".*(a|b)le", core=True)
+
+
+def regex_hybrid(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return match.hybrid_matches(docs, "[a-z]*idiot[a-z]*", max_length=12, postings=match.ngram_postings(docs))
+
+
+def regex_on_index(spark, sf_dir):
+    found = match.index_matches(index.build_index(parts(spark, sf_dir), orientation="reversed"), "(a|b|e)[a-z]*n", max_length=6)
+    return match.result_text(found).select("doc_id", "match", "len", "cnt", "truncated", "shown")
+
+
+def ngram_counts(spark, sf_dir):
+    return match.ngram_counts(documents(spark, sf_dir))
+
+
+def dfa_buckets(spark, sf_dir):
+    rows = automata.compile_dfa("[cdfklm]b*c").transitions()
+    return spark.createDataFrame(rows, "state int, lo int, hi int, next int, is_final boolean")
+
+
+_POSTFIX = {"abc": "ab·c·", "a(bb)+a": "abb·+·a·", "(a|b)": "ab|", "((a|b)*aba*)*(a|b)(a|b)": "ab|*a·b·a*·*ab|·ab|·", "a|b|c": "abc||"}
+_REWRITES = {"(a*)*": "a*", "(a+)+": "a+", "(a?)?": "a?", "(a+)?": "a*", "a|(b|c)": "a|b|c", "a(b(cd))": "abcd"}
+_CORES = {"a*(b|a)*bB*cd*e*": "bB*c", "a*(b|a)*b?B*c?d*e*": None, ".*(a|b)ca": "(a|b)ca"}
+
+
+def regex_postfix(spark, sf_dir):
+    return spark.createDataFrame([(p, "".join(regex_ast.postfix(regex_ast.parse(p)))) for p in _POSTFIX], "pattern string, postfix string")
+
+
+def regex_rewrites(spark, sf_dir):
+    rows = [(p, str(regex_ast.rewrite(regex_ast.parse(p)))) for p in _REWRITES]
+    cores = [(p, None if (c := regex_ast.core(regex_ast.parse(p))) is None else str(c)) for p in _CORES]
+    return spark.createDataFrame(rows + cores, "pattern string, rewritten string")
+
+
+def kmp_borders(spark, sf_dir):
+    return parts(spark, sf_dir).select("doc_id", F.posexplode(scalars.kmp_borders(F.col("text"))).alias("i", "border"))
+
+
+def gamma_length(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.gamma_length(F.col("n_chars")).alias("bits"))
+
+
+def suffix_types(spark, sf_dir):
+    t = parts(spark, sf_dir).select("doc_id", scalars.suffix_types(F.col("text")).alias("types"))
+    return t.select("doc_id", "types", F.array_join(F.transform(scalars.lms_positions(F.col("types")), lambda x: x.cast("string")), ",").alias("lms"))
+
+
+def pretty_bytes(spark, sf_dir):
+    return byte_histogram(spark, sf_dir).select("c", scalars.pretty_byte(F.col("c")).alias("shown"))
+
+
+def joined_corpus(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return corpus.joined(docs.withColumn("text", corpus.escape(F.col("text"))), F.col("source"))
+
+
+def binary_texts(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", corpus.is_binary(F.encode("text", "utf-8")).alias("is_binary"))
+
+
+def index_files(spark, sf_dir):
+    return formats.files(index.build_index(parts(spark, sf_dir))).select("doc_id", "kind", F.length("content").alias("bytes"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        flagship, literal_count, literal_locate, byte_histogram, document_symbol_counts, suffix_table, suffix_table_reversed, suffix_greater_than_whole, document_index, text_from_bwt, index_is_sorted,
+        index_literal_count, interval_search, backward_search_steps, occ_at_rank, extract_at_rank, first_byte_at_rank, text_tail, int_suffix_array, global_suffixes, global_bwt,
+        regex_full_match, regex_full_match_fold, regex_full_match_documents, regex_full_match_native, regex_prefix_match, regex_substrings, regex_core_substrings, regex_hybrid, regex_on_index, ngram_counts,
+        dfa_buckets, regex_postfix, regex_rewrites, kmp_borders, gamma_length, suffix_types, pretty_bytes, joined_corpus, binary_texts, index_files,
+    )
+}
 
+#: Overlapping places of the word in each document, from 1.
+_AT = f"SELECT doc_id, text, unnest(list_filter(range(1, length(text) - {len(WORD) - 2}), lambda i: substring(text, i, {len(WORD)}) = '{WORD}')) AS i FROM documents WHERE contains(text, '{WORD}')"
+_CHARS = "SELECT doc_id, ch, count(*) AS k FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents WHERE text <> '') GROUP BY doc_id, ch"
+_BYTES = f"SELECT doc_id, c, CAST(sum(k) AS BIGINT) AS cnt FROM (SELECT doc_id, k, CAST(CAST('0x' || unnest(list_transform(range(0, length(h) // 2), lambda i: substring(h, 2 * i + 1, 2))) AS INTEGER) AS INTEGER) AS c FROM (SELECT doc_id, k, hex(encode(ch)) AS h FROM ({_CHARS}))) GROUP BY doc_id, c"
+#: Suffixes of short ASCII texts; rank 0 is the empty one.
+_SUFFIX = "SELECT doc_id, text, pos, row_number() OVER (PARTITION BY doc_id ORDER BY substring(text, pos + 1)) - 1 AS rank FROM (SELECT p_partkey AS doc_id, p_name AS text, unnest(range(0, length(p_name) + 1)) AS pos FROM part)"
+_ROWS = f"WITH s AS ({_SUFFIX}), b AS (SELECT s.*, CASE WHEN pos > 0 THEN ascii(substring(text, pos, 1)) END AS c FROM s)"
+_INTERVAL = "SELECT doc_id, CAST(min(rank) AS INTEGER) AS sp, CAST(max(rank) + 1 AS INTEGER) AS ep, CAST(count(*) AS INTEGER) AS cnt FROM s WHERE starts_with(substring(text, pos + 1), '{p}') GROUP BY doc_id"
+_JOINT = "j AS (SELECT string_agg(s_name || chr(1), '' ORDER BY s_suppkey) AS t FROM supplier), st AS (SELECT s_suppkey AS doc_id, s_name AS text, coalesce(sum(length(s_name) + 1) OVER (ORDER BY s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM supplier), g AS (SELECT doc_id, text, pos, CAST(start + pos AS BIGINT) AS p0 FROM (SELECT *, unnest(range(0, length(text) + 1)) AS pos FROM st)), r AS (SELECT doc_id, text, pos, row_number() OVER (ORDER BY substring((SELECT t FROM j), p0 + 1)) - 1 AS rank FROM g)"
+_ANY = r"[^\x00\x01]"
 
-QUERIES = {}
-ORACLE_SQL = {}
+ORACLE_SQL = {
+    "flagship": f"SELECT doc_id, count(*) AS cnt, min(i) - 1 AS start, any_value(substring(text, CASE WHEN f > 11 THEN f - 10 ELSE 1 END, 24)) AS context FROM (SELECT *, min(i) OVER (PARTITION BY doc_id) AS f FROM ({_AT})) GROUP BY doc_id",
+    "literal_count": f"SELECT doc_id, count(*) AS cnt FROM ({_AT}) GROUP BY doc_id",
+    "literal_locate": f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS start, CAST(i + {len(WORD) - 1} AS INTEGER) AS stop, substring(text, greatest(i - 8, 1), least(i - 1, 8)) AS before, substring(text, i + {len(WORD)}, 8) AS after FROM ({_AT})",
+    "byte_histogram": f"SELECT CAST(c AS INTEGER) AS c, CAST(sum(cnt) AS BIGINT) AS cnt, CAST(coalesce(sum(sum(cnt)) OVER (ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM ({_BYTES}) GROUP BY c",
+    "document_symbol_counts": f"SELECT doc_id, CAST(c AS INTEGER) AS c, cnt, CAST(coalesce(sum(cnt) OVER (PARTITION BY doc_id ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM ({_BYTES})",
+    "suffix_table": f"{_ROWS} SELECT b.doc_id, CAST(b.rank AS INTEGER) AS rank, CAST(b.pos AS INTEGER) AS pos, CAST(b.c AS INTEGER) AS c, CAST(nx.rank AS INTEGER) AS psi, CAST(pv.rank AS INTEGER) AS lf, CAST(CASE WHEN b.rank < length(b.text) THEN len(list_filter(range(1, length(b.text) + 1), lambda k: length(substring(b.text, b.pos + 1)) >= k AND length(substring(b.text, nr.pos + 1)) >= k AND substring(b.text, b.pos + 1, k) = substring(b.text, nr.pos + 1, k))) END AS INTEGER) AS lcp, CAST(CASE WHEN b.c IS NOT NULL THEN row_number() OVER (PARTITION BY b.doc_id, b.c ORDER BY b.rank) END AS INTEGER) AS occ FROM b JOIN b nx ON nx.doc_id = b.doc_id AND nx.pos = (b.pos + 1) % (length(b.text) + 1) JOIN b pv ON pv.doc_id = b.doc_id AND pv.pos = (b.pos + length(b.text)) % (length(b.text) + 1) LEFT JOIN b nr ON nr.doc_id = b.doc_id AND nr.rank = b.rank + 1",
+    "suffix_table_reversed": "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY substring(text, pos + 1)) - 1 AS INTEGER) AS rank, CAST(pos AS INTEGER) AS pos FROM (SELECT p_partkey AS doc_id, reverse(p_name) AS text, unnest(range(0, length(p_name) + 1)) AS pos FROM part)",
+    "suffix_greater_than_whole": f"WITH s AS ({_SUFFIX}) SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(rank - 1 AS INTEGER) AS rank, substring(text, pos + 1) > text AS greater FROM s WHERE rank > 0",
+    "text_from_bwt": "SELECT doc_id, text FROM documents WHERE text IS NOT NULL",
+    "index_is_sorted": "SELECT doc_id, true AS sorted FROM documents WHERE text IS NOT NULL",
+    "index_literal_count": f"SELECT doc_id, CAST(count(*) AS INTEGER) AS cnt FROM ({_AT}) GROUP BY doc_id",
+    "interval_search": f"WITH s AS ({_SUFFIX}) " + _INTERVAL.format(p="er"),
+    "backward_search_steps": f"WITH s AS ({_SUFFIX}), one AS ({_INTERVAL.format(p='l')}), two AS ({_INTERVAL.format(p='ol')}) SELECT doc_id, 1 AS step, {ord('l')} AS c, sp, ep FROM one UNION ALL SELECT doc_id, 2, {ord('o')}, sp, ep FROM two",
+    "occ_at_rank": f"{_ROWS} SELECT doc_id, CAST(1 + count(*) FILTER (c < {ord('e')}) AS INTEGER) AS cf, CAST(count(*) FILTER (c = {ord('e')} AND rank <= 7) AS INTEGER) AS occ FROM b GROUP BY doc_id",
+    "extract_at_rank": f"WITH s AS ({_SUFFIX}) SELECT doc_id, substring(text, pos + 1, 4) AS next, substring(text, greatest(pos - 3, 1), least(pos, 4)) AS prev FROM s WHERE rank = 5",
+    "first_byte_at_rank": f"WITH s AS ({_SUFFIX}) SELECT doc_id, CAST(CASE WHEN pos < length(text) THEN ascii(substring(text, pos + 1, 1)) END AS INTEGER) AS c FROM s WHERE rank = 5",
+    "text_tail": "SELECT doc_id, substring(text, 101) AS tail FROM documents",
+    "int_suffix_array": f"WITH s AS ({_SUFFIX}) SELECT doc_id, CAST(rank AS INTEGER) AS rank, CAST(pos AS INTEGER) AS pos FROM s",
+    "global_suffixes": f"WITH {_JOINT} SELECT doc_id, CAST(pos AS INTEGER) AS pos, rank FROM r",
+    "global_bwt": f"WITH {_JOINT} SELECT rank, CAST(CASE WHEN pos = 0 THEN 1 ELSE ascii(substring(text, pos, 1)) END AS INTEGER) AS c FROM r",
+    "regex_full_match": f"SELECT p_partkey AS doc_id, regexp_full_match(p_name, '[a-p]*{_ANY}*(e|r) {_ANY}+', 's') AS matched FROM part",
+    "regex_full_match_fold": f"SELECT p_partkey AS doc_id, regexp_full_match(p_name, '[a-z]+ {_ANY}*n{_ANY}*', 's') AS matched FROM part",
+    "regex_full_match_documents": f"SELECT doc_id, regexp_full_match(text, '{_ANY}*(idiot|trash){_ANY}*', 's') AS matched FROM documents",
+    "regex_full_match_native": f"SELECT doc_id, regexp_full_match(text, '(T|A|O){_ANY}*e{_ANY}', 's') AS matched FROM documents",
+    "regex_prefix_match": f"SELECT doc_id, regexp_matches(text, '^(?:(T|A)[a-z]+ {_ANY}*ing)', 's') AS matched FROM documents",
+    "regex_substrings": "SELECT doc_id, m AS match, CAST(length(m) AS INTEGER) AS len, CAST(count(*) AS INTEGER) AS cnt FROM (SELECT doc_id, left(w, l) AS m FROM (SELECT doc_id, w, unnest(range(2, length(w) + 1)) AS l FROM (SELECT doc_id, substring(text, i, 8) AS w FROM (SELECT doc_id, text, unnest(list_filter(range(1, length(text) + 1), lambda i: substring(text, i, 1) IN ('a', 'b'))) AS i FROM documents)))) WHERE regexp_full_match(m, '(a|b)[a-z]*t', 's') GROUP BY doc_id, m",
+    "regex_core_substrings": "SELECT doc_id, m AS match, 3 AS len, CAST(count(*) AS INTEGER) AS cnt FROM (SELECT doc_id, substring(text, i, 3) AS m FROM (SELECT doc_id, text, unnest(list_filter(range(1, length(text) - 1), lambda i: substring(text, i, 3) IN ('ale', 'ble'))) AS i FROM documents)) GROUP BY doc_id, m",
+    "regex_hybrid": "SELECT doc_id, m AS match, CAST(length(m) AS INTEGER) AS len, CAST(count(*) AS INTEGER) AS cnt FROM (SELECT doc_id, left(w, l) AS m FROM (SELECT doc_id, w, unnest(range(1, length(w) + 1)) AS l FROM (SELECT doc_id, substring(text, i, 12) AS w FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents WHERE contains(text, 'idiot'))))) WHERE regexp_full_match(m, '[a-z]*idiot[a-z]*', 's') GROUP BY doc_id, m",
+    "regex_on_index": "SELECT doc_id, m AS match, CAST(length(m) AS INTEGER) AS len, CAST(count(*) AS INTEGER) AS cnt, false AS truncated, CASE WHEN count(*) = 1 THEN m ELSE '[' || count(*) || ' Results] ' || m END AS shown FROM (SELECT doc_id, left(w, l) AS m FROM (SELECT doc_id, w, unnest(range(1, length(w) + 1)) AS l FROM (SELECT p_partkey AS doc_id, substring(p_name, i, 6) AS w FROM (SELECT p_partkey, p_name, unnest(range(1, length(p_name) + 1)) AS i FROM part)))) WHERE regexp_full_match(m, '(a|b|e)[a-z]*n', 's') GROUP BY doc_id, m",
+    "ngram_counts": "SELECT gram, count(*) AS docs, CAST(sum(k) AS BIGINT) AS cnt FROM (SELECT doc_id, gram, count(*) AS k FROM (SELECT doc_id, a || lead(a) OVER w || lead(a, 2) OVER w AS gram FROM (SELECT doc_id, unnest(string_split(text, '')) AS a, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE text <> '') WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE gram IS NOT NULL GROUP BY doc_id, gram) GROUP BY gram",
+    "dfa_buckets": "SELECT * FROM (VALUES (0, 99, 100, 1, false), (0, 102, 102, 1, false), (0, 107, 109, 1, false), (1, 98, 98, 2, false), (1, 99, 99, 3, true), (2, 98, 98, 2, false), (2, 99, 99, 3, true)) t(state, lo, hi, next, is_final)",
+    "regex_postfix": "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{x}')" for p, x in _POSTFIX.items()) + ") t(pattern, postfix)",
+    "regex_rewrites": "SELECT * FROM (VALUES " + ", ".join(f"('{p}', " + (f"'{x}'" if x else "NULL") + ")" for p, x in (_REWRITES | _CORES).items()) + ") t(pattern, rewritten)",
+    "kmp_borders": "SELECT doc_id, CAST(k - 1 AS INTEGER) AS i, CAST(coalesce(list_max(list_filter(range(1, k), lambda b: left(text, b) = substring(text, k - b + 1, b))), 0) AS INTEGER) AS border FROM (SELECT p_partkey AS doc_id, p_name AS text, unnest(range(1, length(p_name) + 1)) AS k FROM part)",
+    "gamma_length": "SELECT doc_id, CAST(CASE WHEN n_chars = 0 THEN -1 WHEN n_chars > 0 THEN 2 * length(bin(n_chars)) - 1 END AS INTEGER) AS bits FROM documents",
+    "suffix_types": "WITH t AS (SELECT p_partkey AS doc_id, array_to_string(list_transform(range(0, length(p_name) + 1), lambda i: CASE WHEN i = length(p_name) THEN 'S' WHEN i = length(p_name) - 1 THEN 'L' WHEN substring(p_name, i + 1) < substring(p_name, i + 2) THEN 'S' ELSE 'L' END), '') AS types FROM part) SELECT doc_id, types, array_to_string(list_filter(range(1, length(types)), lambda i: substring(types, i, 2) = 'LS'), ',') AS lms FROM t",
+    "pretty_bytes": f"SELECT DISTINCT CAST(c AS INTEGER) AS c, CASE WHEN c BETWEEN 32 AND 126 THEN chr(CAST(c AS INTEGER)) ELSE lpad(hex(c), 2, '0') END AS shown FROM ({_BYTES})",
+    "joined_corpus": r"SELECT source AS grp, string_agg(replace(replace(replace(text, chr(0), '\0'), chr(1), '\1'), 'ÿ', '\f') || chr(1), '' ORDER BY doc_id) AS text FROM documents GROUP BY source",
+    "binary_texts": "SELECT doc_id, CASE WHEN strlen(text) > 0 THEN regexp_matches(left(hex(encode(text)), 2048), '^(?:..)*00') END AS is_binary FROM documents",
+    "index_files": "SELECT p_partkey AS doc_id, kind, CAST(CASE kind WHEN 'bwt' THEN 17 + length(p_name) WHEN 'aux' THEN 2048 WHEN 'fm' THEN 13 + 4 * length(p_name) WHEN 'sa' THEN 4 + 4 * length(p_name) ELSE 4 * length(p_name) END AS INTEGER) AS bytes FROM part, (VALUES ('bwt'), ('aux'), ('fm'), ('sa'), ('lcp')) k(kind)",
+}
