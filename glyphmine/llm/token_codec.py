@@ -40,6 +40,8 @@ EVENT_TOTAL, HIGH_TOTAL, LOW_TOTAL = 1 << 12, 1 << 14, 1 << 16
 STEP_BITS = 26
 #: Text bytes coded side by side.
 CHUNK = 3 << 20
+#: Ids whose frequencies are computed at once: their arrays stay in a core's cache.
+TOGETHER = 1 << 15
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 _HIGH = 1 + 240 // (1 + np.arange(256))  # vocabularies are sorted by frequency
@@ -177,8 +179,10 @@ def _range_code(packed: np.ndarray, steps: np.ndarray) -> list[bytes]:
     size = steps[order]
     longest = int(size[0]) if n else 0
     low, rng = np.zeros(n, dtype=np.uint64), np.full(n, (1 << 56) - 1, dtype=np.uint64)
-    flat = np.zeros((2 * longest + 6) * n, dtype=np.uint32)  # a row of digits for each time the place moves on
-    put = np.arange(n)
+    room = 2 * size + 6  # digits of each block at most
+    begin = np.cumsum(room) - room
+    flat = np.zeros(int(room.sum()), dtype=np.uint32)
+    put = begin.copy()
     live = np.searchsorted(-size, -np.arange(longest), side="left")  # blocks with more than s steps
     bits, ones, sixteen, upper = np.uint64(STEP_BITS), np.uint64((1 << STEP_BITS) - 1), np.uint64(16), np.uint64(40)
     for s in range(longest):
@@ -196,7 +200,7 @@ def _range_code(packed: np.ndarray, steps: np.ndarray) -> list[bytes]:
             # a digit is 16 bits and perhaps a carry; it counts only if the place moves on
             flat[p] = lo >> upper
             short = r < _TOP
-            p += short * n
+            p += short
             np.copyto(lo, (lo & _MASK) << sixteen, where=short)
             np.left_shift(r, short * sixteen, out=r)
             if r.min() >= _TOP:
@@ -204,27 +208,30 @@ def _range_code(packed: np.ndarray, steps: np.ndarray) -> list[bytes]:
         rng[:k] = r
     for _ in range(4):
         flat[put] = low >> upper
-        put += n
+        put += 1
         low = (low & _MASK) << sixteen
-    digits = flat.reshape(-1, n) if n else flat.reshape(0, 0)
-    main, carry = np.ascontiguousarray(digits.T & 0xFFFF).astype(">u2"), np.ascontiguousarray(digits.T >> 16).astype(">u2")
     out: list[bytes] = [b""] * n
-    for j, (o, z) in enumerate(zip(order.tolist(), (put // max(1, n)).tolist(), strict=True)):
-        whole = int.from_bytes(main[j, :z].tobytes(), "big")
-        if carry[j, :z].any():
-            whole += int.from_bytes(carry[j, :z].tobytes(), "big") << 16
-        out[o] = whole.to_bytes(2 * z, "big").rstrip(b"\0")
+    for o, a, z in zip(order.tolist(), begin.tolist(), put.tolist(), strict=True):
+        digits = flat[a:z]
+        whole = int.from_bytes((digits & 0xFFFF).astype(">u2").tobytes(), "big") + (int.from_bytes((digits >> 16).astype(">u2").tobytes(), "big") << 16)
+        out[o] = whole.to_bytes(2 * (z - a), "big").rstrip(b"\0")
     return out
 
 
 def encode(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     """One block for each run of ``sizes`` ids (each at most ``BLOCK``, ids below 65536)."""
     n = len(sizes)
-    block = np.repeat(np.arange(n), sizes)
     start = np.cumsum(sizes) - sizes
-    place = np.arange(len(ids)) - start[block] if len(ids) else np.zeros(0, np.int64)
-    ids = ids.astype(np.int64)
-    codes = _range_code(*_steps(ids, block, place, sizes)) if len(ids) else [b""] * n
+    parts = []
+    for lo, hi in tk.spans(np.r_[0, np.cumsum(sizes)], TOGETHER):
+        part = sizes[lo:hi]
+        block = np.repeat(np.arange(hi - lo), part)
+        own = ids[start[lo] : start[lo] + len(block)].astype(np.int64)
+        if len(own):
+            parts.append(_steps(own, block, np.arange(len(own)) - (start[lo:hi] - start[lo])[block], part))
+        else:
+            parts.append((np.zeros(0, np.uint64), np.zeros(hi - lo, np.int64)))
+    codes = _range_code(*(np.concatenate(x) for x in zip(*parts, strict=True))) if len(ids) else [b""] * n
     raw = ids.astype("<u2").tobytes()
     return [int(z).to_bytes(2, "little") + zlib.crc32(raw[2 * a : 2 * (a + z)]).to_bytes(4, "little") + c for a, z, c in zip(start.tolist(), sizes.tolist(), codes, strict=True)]
 
@@ -320,7 +327,8 @@ class Words:
         odd = pc.match_substring_regex(words, r"^(\s|\pZ|\x{85}|[\x1c-\x1f]|$)").to_numpy(zero_copy_only=False)
         bytes_of = np.where(odd, 0, pc.binary_length(words).to_numpy(zero_copy_only=False) + 1)
         plain = words.filter(pa.array(~odd))
-        every = [self.of(" " + " ".join(plain.to_pylist())) if len(plain) else np.zeros(0, np.uint16)]
+        whole = pa.ListArray.from_arrays(pa.array([0, len(plain)], pa.int32()), plain)
+        every = [self.of(" " + pc.binary_join(whole, " ")[0].as_py()) if len(plain) else np.zeros(0, np.uint16)]
         ends = np.r_[0, np.cumsum(self.length[every[0]])]
         cuts = np.searchsorted(ends, np.r_[0, np.cumsum(bytes_of)])
         size = np.diff(cuts)
