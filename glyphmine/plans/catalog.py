@@ -253,7 +253,7 @@ ORACLE_SQL = {
     "text_from_bwt": "SELECT doc_id, text FROM documents WHERE text IS NOT NULL",
     "index_is_sorted": "SELECT doc_id, true AS sorted FROM documents WHERE text IS NOT NULL",
     "index_literal_count": f"SELECT doc_id, CAST(count(*) AS INTEGER) AS cnt FROM ({_AT}) GROUP BY doc_id",
-    "interval_search": f"WITH s AS ({_SUFFIX}) " + _INTERVAL.format(p="er"),
+    "interval_search": f"WITH s AS ({_SUFFIX}) " + _INTERVAL.format(p="ol"),
     "backward_search_steps": f"WITH s AS ({_SUFFIX}), one AS ({_INTERVAL.format(p='l')}), two AS ({_INTERVAL.format(p='ol')}) SELECT doc_id, 1 AS step, {ord('l')} AS c, sp, ep FROM one UNION ALL SELECT doc_id, 2, {ord('o')}, sp, ep FROM two",
     "occ_at_rank": f"{_ROWS} SELECT doc_id, CAST(1 + count(*) FILTER (c < {ord('e')}) AS INTEGER) AS cf, CAST(count(*) FILTER (c = {ord('e')} AND rank <= 7) AS INTEGER) AS occ FROM b GROUP BY doc_id",
     "extract_at_rank": f"WITH s AS ({_SUFFIX}) SELECT doc_id, substring(text, pos + 1, 4) AS next, substring(text, greatest(pos - 3, 1), least(pos, 4)) AS prev FROM s WHERE rank = 5",

@@ -42,7 +42,7 @@ def read_files(spark: SparkSession, path: str, max_bytes: int = 0, filter_binary
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, modified) of every file at and below ``path``; contents aren't read."""
+    """(path, length, modified) of every file at and below ``path`` that isn't empty; contents aren't read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.col("modificationTime").alias("modified"))
 
 
