@@ -39,7 +39,7 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in kn.passes(kn.buffers(batch.column(1))[1]):
+            for lo, hi in kn.passes(kn.buffers(batch.column(1))[1], kn.SORT_BYTES):
                 data, offs = kn.buffers(batch.column(1).slice(lo, hi - lo))
                 if orientation == "reversed":
                     data = kn.reverse_each(data, offs)
@@ -66,7 +66,7 @@ def suffix_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in kn.passes(kn.buffers(batch.column(1))[1]):
+            for lo, hi in kn.passes(kn.buffers(batch.column(1))[1], kn.SORT_BYTES):
                 data, offs = kn.buffers(batch.column(1).slice(lo, hi - lo))
                 if orientation == "reversed":
                     data = kn.reverse_each(data, offs)

@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that one pass of a kernel handles; a longer text is a pass of its own.
 CHUNK_BYTES = 1 << 20
+#: The same for sorting suffixes, whose many arrays then stay in a core's cache.
+SORT_BYTES = 1 << 15
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,17 +67,23 @@ class Suffixes:
     def _sort(self) -> None:
         total = len(self.symbol)
         end = self.first[1:][self.text] if total else np.zeros(0, np.int64)
-        if int(self.symbol.max(initial=0)) < 512:
-            width, key = 7, np.zeros(total, dtype=np.int64)
-            for k in range(7):
-                part = np.zeros(total, dtype=np.int64)
-                part[: max(0, total - k)] = self.symbol[k:]
+        # the first key: the text's number and as many symbols as fit beside it
+        bits = max(1, int(self.symbol.max(initial=0)).bit_length())
+        width = max(1, (62 - max(1, len(self.first)).bit_length()) // bits) if bits < 32 else 1
+        key = self.text.astype(np.int64)
+        for k in range(width):
+            part = np.zeros(total, dtype=np.int64)
+            part[: max(0, total - k)] = self.symbol[k:]
+            if k:
                 part[np.arange(total) + k >= end] = 0
-                key = key << 9 | part
+            key = key << bits | part
+        if bits >= 32:
+            order = np.lexsort((self.symbol, self.text))
+            new = np.r_[True, (self.symbol[order[1:]] != self.symbol[order[:-1]]) | (self.text[order[1:]] != self.text[order[:-1]])] if total else np.zeros(0, bool)
         else:
-            width, key = 1, self.symbol
-        order = np.lexsort((key, self.text))
-        new = np.r_[True, (key[order[1:]] != key[order[:-1]]) | (self.text[order[1:]] != self.text[order[:-1]])] if total else np.zeros(0, bool)
+            order = np.argsort(key)
+            key = key[order]
+            new = np.r_[True, key[1:] != key[:-1]] if total else np.zeros(0, bool)
         at = np.arange(total)
         rank = np.empty(total, dtype=np.int64)
         rank[order] = np.maximum.accumulate(np.where(new, at, 0))
@@ -87,7 +95,7 @@ class Suffixes:
                 break
             p = order[here]
             pair = rank[p] * (total + 1) + rank[p + width]  # a tied suffix is longer than ``width``
-            s = np.argsort(pair, kind="stable")
+            s = np.argsort(pair)
             order[here], pair = p[s], pair[s]
             new[here] = np.r_[True, pair[1:] != pair[:-1]]
             rank[order[here]] = np.maximum.accumulate(np.where(new[here], here, 0))

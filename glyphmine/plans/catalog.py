@@ -158,7 +158,7 @@ def regex_core_substrings(spark, sf_dir):
 
 def regex_hybrid(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return match.hybrid_matches(docs, "[a-z]*idiot[a-z]*", max_length=12, postings=match.ngram_postings(docs))
+    return match.hybrid_matches(docs, "[a-z]*idiot[a-z]*", max_length=12)
 
 
 def regex_on_index(spark, sf_dir):
