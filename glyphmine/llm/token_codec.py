@@ -287,6 +287,8 @@ def decode(block: bytes) -> list[int]:
         else:
             moved(r, below * HIGH_TOTAL, width * HIGH_TOTAL)
             x = guess[event]
+            if x < 0:
+                raise ValueError("a block is damaged")
         for t, (kind, symbol, add) in enumerate(((state, event, ADD_EVENT), (0, x >> 8, ADD_HIGH), (min(x >> 8, CLASSES - 1), x & 255, ADD_LOW))):
             now[t][kind][symbol] += add
         for o in (0, 1):

@@ -1,0 +1,298 @@
+"""Language ID, PII, toxicity, URL filter and decontamination against brute force, held-out data and odd inputs."""
+
+from __future__ import annotations
+
+import itertools
+import math
+import os
+import random
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from glyphmine.llm import decontam, langid, pii, toxicity, url_filter
+from glyphmine.llm import textkit as tk
+
+SF = "/root/testdata/sf0.01"
+needs_data = pytest.mark.skipif(not os.path.exists(SF), reason="no test tables")
+LONG = "the cat sat on the mat " * 10_000
+
+
+def brute_units(counts, order, text: bytes) -> int:
+    total = 0
+    for i, b in enumerate(text):
+        bits, k = 0.0, min(order, i)
+        # the deepest context such that it and all shorter ones are known
+        known = 0
+        while known < k and text[i - known - 1 : i] in EVERY:
+            known += 1
+        for d in range(known, -1, -1):
+            c = counts.get(text[i - d : i])
+            if c is None:
+                continue
+            n = sum(c.values())
+            if b in c:
+                bits += math.log2((n + len(c)) / c[b])
+                break
+            bits += math.log2((n + len(c)) / len(c))
+        else:
+            bits += 8
+        total += round(bits * langid.UNIT)
+    return total
+
+
+EVERY: set[bytes] = set()
+
+
+def test_code_lengths_are_those_of_each_tree():
+    samples = {"en": ["the cat and the dog", "a cat, a hat: the end"], "fr": ["le chat et le chien", "été là", ""], "xx": ["zzz qqq zzz"], "de": ["der hund und die katze"], "es": ["el gato y el perro"]}
+    m = langid.fit(samples, order=3, least=2)
+    EVERY.clear()
+    EVERY.update(*m.counts)
+    texts = ["The cat", "", "le chat!", "q", "日本語 text", "a" * 300, "... 12", "zzz the été"]
+    data, offs = tk.buffers(pa.array([t.lower() for t in texts]))
+    data, offs = langid.letters(data, offs)
+    got = langid.code_lengths(m, data, offs)
+    for k in range(len(texts)):
+        own = data[offs[k] : offs[k + 1]].tobytes()
+        for j, c in enumerate(m.counts):
+            assert abs(got[k, j] - brute_units(c, 3, own)) <= len(own), (texts[k], j)  # rounding order
+
+
+def test_letters():
+    out = []
+    data, offs = langid.letters(*tk.buffers(pa.array(["a1b", "  x!!", "", "é--", "9", "z"])))
+    for a, b in itertools.pairwise(offs.tolist()):
+        out.append(data[a:b].tobytes().decode())
+    assert out == ["a b", "x ", "", "é ", "", "z"]
+
+
+def test_identify(spark, clash):
+    samples = {"en": ["the cat sat on the mat and the dog ate the bone"] * 4, "fr": ["le chat est sur le tapis et le chien mange un os"] * 4}
+    m = langid.fit(samples, least=1)
+    rows = [(1, "The dog sat on the bone"), (2, "le chien est sur le tapis"), (3, None), (4, ""), (5, "123 !!"), (6, "xkq zvw jjq qqq wzx"), (7, LONG), (7, LONG), (None, "the mat")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", *clash, "'en' as lang", "1 as units", "2 as accepted")
+    got = Counter((r.doc_id, r.lang, r.accepted) for r in langid.identify(df, m).collect())
+    assert got == Counter([(1, "en", True), (2, "fr", True), (3, None, False), (4, None, False), (5, None, False), (6, got_lang(langid.identify(df, m), 6), False), (7, "en", True), (7, "en", True), (None, "en", True)])
+    kept = langid.drop_foreign(df, m)
+    assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 7, 7, None])
+    assert langid.identify(df.limit(0), m).count() == 0 and langid.drop_foreign(df.limit(0), m).count() == 0
+    assert not any(r.accepted for r in langid.identify(df, langid.fit(langid.sample(df.limit(0)))).collect())
+
+
+def got_lang(df, i):
+    return next(r.lang for r in df.collect() if r.doc_id == i)
+
+
+@needs_data
+def test_language_on_held_out(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    m = langid.fit(langid.sample(docs, most=30))
+    r = langid.identify(docs, m).join(docs.selectExpr("doc_id", "lang as truth"), "doc_id").where("coded > 40").collect()
+    assert sum(x.lang == x.truth for x in r) > 0.98 * len(r) and sum(x.accepted for x in r) > 0.98 * len(r)
+
+
+def brute_decode(m: pii.Model, toks: list[str]) -> float:
+    can = set()
+    for lo, hi in pii.stretches(toks):
+        can |= set(pii.candidates(toks, lo, hi))
+
+    def best(at: int, prev: int) -> float:
+        if at == len(toks):
+            return 0.0
+        out = m.move[prev, 0] + best(at + 1, 0)
+        for j in range(at + 1, min(at + pii.LONGEST, len(toks)) + 1):
+            if (at, j) in can:
+                s = m.span(toks, at, j)
+                out = max(out, *(m.move[prev, k + 1] + s[k] + best(j, k + 1) for k in range(len(s))))
+        return out
+
+    return best(0, 0)
+
+
+def score_of(m: pii.Model, toks: list[str], found: list[tuple[int, int, int]]) -> float:
+    at, prev, total, starts = 0, 0, 0.0, {i: (j, k) for i, j, k in found}
+    while at < len(toks):
+        j, k = starts.get(at, (at + 1, 0))
+        total += m.move[prev, k] + (m.span(toks, at, j)[k - 1] if k else 0)
+        prev, at = k, j
+    return total
+
+
+@pytest.fixture(scope="module")
+def field():
+    return pii.model()
+
+
+def test_decoding_is_the_best_segmentation(field):
+    rng = random.Random(8)
+    small = pii.Model({f: w + np.array([rng.gauss(0, 2) for _ in w]) for f, w in field.weights.items()}, field.move + np.array([[rng.gauss(0, 1) for _ in r] for r in field.move]))
+    for text in ["1@a.b", "x 12-3", "+1 (2) 3", "9.9.9.9", "a@b 5", "12 34", "(7) @"]:
+        toks = pii.tokens(text)
+        for m in (field, small):
+            base = m.move[0, 0]
+            m0 = pii.Model(m.weights, m.move.copy())
+            m0.move[0, 0] = base
+            assert abs(score_of(m0, toks, pii.decode(m0, toks)) - brute_decode(m0, toks)) < 1e-9, text
+
+
+def test_pii_finds(field):
+    for text, want in [("mail jo.x@mail7.example.com now", [("jo.x@mail7.example.com", "EMAIL")]), ("call +1 (017) 555-7713, or", [("+1 (017) 555-7713", "PHONE")]), ("card 9807915762804490***", [("9807915762804490", "CARD")]), ("at 97.51.17.173!!", [("97.51.17.173", "IP")]), ('token = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f" x', [("9c8b45435718dcc700c184a7e303cdc64c6a8f7f", "SECRET")]), ("License, version 3. CC BY-NC 4.0.", []), ("in 1999 there were 12 and 3.5%", [])]:
+        assert [(text[a:b], k) for a, b, k in pii.entities(field, text)] == want
+
+
+def test_pii_held_out(field):
+    rng = random.Random(999)
+    hit = found = gold_n = 0
+    for _ in range(150):
+        toks, gold = pii._example(rng)
+        got = set(pii.decode(field, toks))
+        hit, found, gold_n = hit + len(got & set(gold)), found + len(got), gold_n + len(gold)
+    assert hit > 0.9 * found and hit > 0.9 * gold_n
+
+
+def test_pii_odd_inputs(spark, clash, field):
+    rows = [(1, "a 1.2.3.4 b"), (1, "a 1.2.3.4 b"), (2, None), (3, ""), (4, LONG + "5.6.7.8 " + LONG), (None, "x 9.8.7.6"), (5, "no data"), (6, "@"), (7, "7" * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", *clash, "1 as start", "2 as kind", "3 as value")
+    got = Counter((r.doc_id, r.start, r.value) for r in pii.find(df, field).collect())
+    assert got == Counter([(1, 2, "1.2.3.4"), (1, 2, "1.2.3.4"), (4, len(LONG), "5.6.7.8"), (None, 2, "9.8.7.6")])
+    clean = pii.redact(df, field)
+    assert clean.columns == df.columns and Counter(r.text for r in clean.where("doc_id = 1").collect()) == Counter({"a <IP> b": 2})
+    assert pii.find(df.limit(0), field).count() == 0 and clean.where("doc_id = 2").first().text is None
+
+
+def test_machine_scores_all_pairs():
+    rng = np.random.default_rng(1)
+    w, v = np.r_[rng.normal(size=9), 0], np.r_[rng.normal(size=(9, toxicity.FACTORS)), np.zeros((1, toxicity.FACTORS))]
+    names = [f"w{k}" for k in range(9)]
+    at = np.full(1 << toxicity.BITS, 9, dtype=np.int32)
+    for k, n in enumerate(names):
+        at[tk.word_hash(n) >> (64 - toxicity.BITS)] = k
+    m = toxicity.Model(0.3, w, v, at)
+    texts = ["", "w1 w1 zzz", "w0 w2, w3! w8", " ".join(names)]
+    got = toxicity.scores(m, *tk.buffers(pa.array(texts)))
+    for t, s in zip(texts, got, strict=True):
+        x = [k for k, n in enumerate(names) if n in t]
+        assert abs(s - (0.3 + sum(w[k] for k in x) + sum(v[a] @ v[b] for a, b in itertools.combinations(x, 2)))) < 1e-9
+
+
+def test_machine_learns_a_pair():
+    rng = random.Random(2)
+    docs, y = [], []
+    for _ in range(600):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        text = " ".join(["insult"] * a + ["group"] * b + [f"f{rng.randrange(40)}" for _ in range(8)])
+        docs.append(toxicity.terms(*tk.buffers(pa.array([text])))[0])
+        y.append(int(a and b))
+    m = toxicity.fit(docs, y, steps=400)
+    s = toxicity.scores(m, *tk.buffers(pa.array(["insult f1", "group f1", "insult group f1", "f1 f2"])))
+    assert s[2] > 0 > max(s[0], s[1], s[3])
+
+
+@needs_data
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    m = toxicity.fit(*toxicity.sample(docs, labels.where("doc_id % 2 = 0")))
+    r = toxicity.score(docs, m).join(labels.where("doc_id % 2 = 1").selectExpr("doc_id", "toxic as y"), "doc_id").collect()
+    assert sum(x.toxic for x in r if x.y) > 0.8 * sum(x.y for x in r)
+    assert sum(x.toxic for x in r if not x.y) < 0.01 * len(r)
+
+
+def test_toxicity_odd_inputs(spark, clash):
+    m = toxicity.fit(*toxicity.sample(spark.createDataFrame([(1, "a")], "doc_id long, text string"), spark.createDataFrame([(None, 1)], "doc_id long, toxic int")))
+    rows = [(1, "x"), (1, "x"), (2, None), (3, ""), (None, "y"), (4, LONG)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", *clash, "1 as score", "2 as toxic")
+    assert Counter((r.doc_id, r.score is None, r.toxic) for r in toxicity.score(df, m).collect()) == Counter([(1, False, False)] * 2 + [(2, True, False), (3, False, False), (None, False, False), (4, False, False)])
+    assert toxicity.score(df.limit(0), m).count() == 0
+
+
+def url_rows():
+    rng = random.Random(4)
+    return [(k, f"http{'s' * (k % 2)}://{'www.' * (k % 3 == 0)}h{rng.randrange(40)}.com/p{rng.randrange(200)}{'/' * (k % 5 == 0)}{'#top' * (k % 7 == 0)}") for k in range(3000)] + [(1, None), (1, None), (None, "http://h1.com/p1"), (5, ""), (6, "HTTP://M.h2.com/" + "x" * 100_000)]
+
+
+@pytest.mark.parametrize("limit", [None, 8])
+def test_url_membership_is_exact(spark, clash, monkeypatch, limit):
+    if limit:  # too large to broadcast: filters and keys meet by shard
+        monkeypatch.setattr(url_filter, "BROADCAST_BYTES", limit)
+        monkeypatch.setattr(url_filter, "SHARD_BYTES", 300)
+    rows = url_rows()
+    df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("page_id", "url", *[c.replace("'y' as key", "'y' as listed") for c in clash], "1 as a", "2 as b")
+    keys = [r.k for r in df.select(url_filter.key_of(df.url).alias("k")).distinct().collect() if r.k is not None]
+    block = set(random.Random(1).sample(sorted(keys), len(keys) // 3)) | {"not in the corpus"}
+    listed = spark.createDataFrame([(k,) for k in block] * 2 + [(None,)], "key string")
+    got = url_filter.mark(df, listed).collect()
+    assert len(got) == len(rows) and all(r.listed == (r.key in block) for r in got)
+    if limit is None:
+        assert url_filter.mark(df.limit(0), listed).count() == 0
+        assert not any(r.listed for r in url_filter.mark(df, listed.limit(0)).collect())
+
+
+def test_cascade_answers_through_its_levels(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "BITS_PER_KEY", 2)  # many false positives, so many levels
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(2000)], "key string")
+    listed = keys.where("cast(substring(key, 2) as int) % 3 = 0")
+    assert url_filter.build(keys, listed).select("level").distinct().count() > 3
+    assert sum(r.listed for r in url_filter.mark(keys.selectExpr("1L as page_id", "concat('http://', key) as url"), listed).collect()) == 667
+
+
+def passage(rng, n):
+    return " ".join("".join(rng.choice(["ba", "du", "ke", "lo", "ri", "sto", "wen"]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+
+def edited(rng, text, n):
+    c = list(text)
+    for _ in range(n):
+        k = rng.randrange(len(c))
+        c[k] = rng.choice(["", "q", c[k] + "q"])
+    return "".join(c)
+
+
+def distance_within(window: bytes, text: bytes) -> int:
+    """Least edits of the window against any piece of the text, by the whole table."""
+    t, at = np.frombuffer(text, np.uint8), np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, dtype=np.int64)
+    for w in window:
+        new = row + 1
+        new[1:] = np.minimum(new[1:], row[:-1] + (t != w))
+        row = np.minimum.accumulate(new - at) + at
+    return int(row.min())
+
+
+def test_decontamination_is_that_of_full_alignment():
+    rng = random.Random(13)
+    items = [(k, passage(rng, rng.randint(5, 40)).capitalize() + ".") for k in range(12)] + [(50, "Tiny one"), (51, None), (52, "!!"), (53, "x" * 20)]
+    ix = decontam.index(items)
+    docs = []
+    for k in range(60):
+        t = passage(rng, rng.randint(0, 40))
+        if k % 2:
+            item = rng.choice(items[:12])[1]
+            cut = rng.randrange(max(1, len(item) // 3))
+            t += " " + edited(rng, item[cut:], rng.randrange(9)).upper() + ", " + passage(rng, 5)
+        docs.append(t)
+    docs += ["", "a tiny, ONE here", "atiny one", "x" * 19, "y " + "x" * 20]
+    got = {(r, ix.ids[i]) for r, i, _, _ in decontam.hits(ix, pa.array(docs))}
+    data, offs = decontam.normal(pa.array(docs))
+    want = set()
+    for r in range(len(docs)):
+        text = data[offs[r] : offs[r + 1]].tobytes()
+        want |= {(r, ix.ids[i]) for i, w, e in zip(ix.item.tolist(), ix.text, ix.edits.tolist(), strict=True) if distance_within(w, text) <= e}
+        want |= {(r, ix.ids[i]) for i, w in ix.short if b" " + w + b" " in b" " + text.strip() + b" "}
+    assert got == want and len(want) > 20
+
+
+def test_decontamination_odd_inputs(spark, clash):
+    rng = random.Random(3)
+    p = passage(rng, 40)
+    bench = spark.createDataFrame([(1, p), (1, p), (2, None), (None, passage(rng, 30)), (3, "")], "item_id long, text string").selectExpr("*", "1 as doc_id")
+    rows = [(1, "so " + p), (1, "so " + p), (2, None), (3, ""), (4, "clean"), (None, p), (5, LONG + p + LONG)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", *clash, "1 as item_id", "2 as windows")
+    assert Counter((r.doc_id, r.item_id) for r in decontam.contaminated(df, bench).collect()) == Counter([(1, 1), (1, 1), (None, 1), (5, 1)])
+    clean = decontam.drop_contaminated(df, bench)
+    assert clean.columns == df.columns and sorted(r.doc_id for r in clean.collect()) == [2, 3, 4]
+    assert decontam.contaminated(df.limit(0), bench).count() == 0 and decontam.contaminated(df, bench.limit(0)).count() == 0
+    assert decontam.drop_contaminated(df, bench.limit(0)).count() == len(rows)
