@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 RATIO = 0.3
 #: ... and on at least this many of them.
 LEAST_PAGES = 3
+#: A host is hot if it has more than one in ``HOT`` of all pages; its pages meet its boilerplate in ``SPREAD`` parts.
+HOT, SPREAD = 1000, 256
 
 #: What separates lines of HTML: scripts, styles and comments as a whole, any tag, and line ends.
 _BREAK = r"(?is)<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>|<!--.*?-->|<[^>]*>|[\r\n]+"
@@ -39,9 +41,15 @@ def drop_boilerplate(df: DataFrame, id_col: str = "page_id", url_col: str = "url
     """
     pages = df.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), lines_of(F.col(text_col).cast("string")).alias("line_list"))
     total = df.select(host_of(F.col(url_col)).alias("host")).groupBy("host").agg(F.count("*").alias("pages"))
+    # hosts of more than a thousandth of all pages are fewer than a thousand, however much there is: their rows are spread
+    hot = F.broadcast(total.crossJoin(F.broadcast(total.agg(F.sum("pages").alias("every")))).where(F.col("pages") > F.col("every") / HOT).select("host", F.col("pages").alias("hot_pages")))
     seen = pages.select("host", F.explode(F.array_distinct("line_list")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    seen = seen.join(hot, "host", "left").where(F.col("hot_pages").isNull() | (F.col("n") > F.lit(ratio) * F.col("hot_pages"))).drop("hot_pages")
     common = seen.join(total, "host").where(F.col("n") > F.lit(ratio) * F.col("pages")).groupBy("host").agg(F.collect_list("line").alias("common"))
-    both = pages.join(common, "host", "left").withColumn("stay", F.when(F.col("common").isNull(), F.col("line_list")).otherwise(F.filter("line_list", lambda x: ~F.array_contains(F.col("common"), x))))
+    parts = F.when(F.col("hot_pages").isNull(), 0).otherwise(SPREAD - 1)
+    common = common.join(hot, "host", "left").select("host", "common", F.explode(F.sequence(F.lit(0), parts)).alias("part"))
+    salt = F.when(F.col("hot_pages").isNull(), 0).otherwise(F.pmod(F.xxhash64("page_id", "line_list"), F.lit(SPREAD))).cast("int")
+    both = pages.join(hot, "host", "left").select("page_id", "host", "line_list", salt.alias("part")).join(common, ["host", "part"], "left").withColumn("stay", F.when(F.col("common").isNull(), F.col("line_list")).otherwise(F.filter("line_list", lambda x: ~F.array_contains(F.col("common"), x))))
     n = F.coalesce(F.size("line_list"), F.lit(0))
     return both.select("page_id", "host", F.when(F.col("line_list").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.when(F.col("line_list").isNull(), 0).otherwise(n - F.size("stay")).cast("long").alias("n_dropped"), F.array_join("stay", "\n").alias("clean"))
 

@@ -207,7 +207,9 @@ def brute_lines(rows, ratio, least):
     return Counter(out)
 
 
-def test_boilerplate(spark, clash):
+@pytest.mark.parametrize("hot", [1000, 2])  # every host is hot, or none to one
+def test_boilerplate(spark, clash, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
     rng = random.Random(6)
     rows = []
     for k in range(120):
