@@ -228,6 +228,7 @@ def _is_clean(df: DataFrame, ix: Index) -> Callable[[Column], Column]:
     def clean(text: pa.Array) -> pa.Array:
         out = np.ones(len(text), dtype=bool)
         out[[r for r, *_ in hits(shared.value, text)]] = False
+        tk.release()
         return pa.array(out)
 
     return clean

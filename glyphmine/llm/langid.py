@@ -194,6 +194,7 @@ def _scores(batches: Iterator[pa.RecordBatch], shared, max_bits: float) -> Itera
         cols = [batch.column(0), names.take(code), pa.array(size)]
         cols += [pc.if_else(blank, None, pa.array(every[:, j])) for j in range(len(model.languages))]
         yield pa.RecordBatch.from_arrays([*cols, pa.array(accepted)], names=["doc_id", "lang", "coded", *(f"units_{x}" for x in model.languages), "accepted"])
+    tk.release()
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", max_bits: float = MAX_BITS) -> DataFrame:
@@ -215,7 +216,9 @@ def accepts(df: DataFrame, model: Model, max_bits: float = MAX_BITS) -> Callable
 
     @F.arrow_udf("boolean")
     def accepted(text: pa.Array) -> pa.Array:
-        return pa.array(score(shared.value, text, max_bits)[3])
+        out = pa.array(score(shared.value, text, max_bits)[3])
+        tk.release()
+        return out
 
     return accepted
 

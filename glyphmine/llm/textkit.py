@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,6 +87,14 @@ def chunks(column: pa.Array, lower: bool = False, most: int = CHUNK_BYTES) -> It
         yield lo, hi, data, own
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker outlives its task, and its neighbours need the room."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 _powers: list[np.ndarray] = []
 
 

@@ -383,6 +383,7 @@ def _blocks(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 sizes = np.minimum(BLOCK, n[row] - number * BLOCK)
                 data = encode(ids, sizes)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + row)), pa.array(number), pa.array(sizes), pa.array(data, pa.binary())], names=["doc_id", "block", "n_tokens", "data"])
+        tk.release()
 
     return run
 
