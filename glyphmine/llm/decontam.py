@@ -209,7 +209,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     rows = df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
     out = df.sparkSession.createDataFrame([], "doc_id long, item_id long, windows long, edits long")
     for ix in _indexes(benchmark, item_col, item_text_col, rate):
-        shared = df.sparkSession.sparkContext.broadcast(ix)
+        shared = tk.small_batches(df).sparkSession.sparkContext.broadcast(ix)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -222,7 +222,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def _is_clean(df: DataFrame, ix: Index) -> Callable[[Column], Column]:
-    shared = df.sparkSession.sparkContext.broadcast(ix)
+    shared = tk.small_batches(df).sparkSession.sparkContext.broadcast(ix)
 
     @F.arrow_udf("boolean")
     def clean(text: pa.Array) -> pa.Array:

@@ -205,14 +205,14 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     byte. A null or empty text, or one without letters, has null lang and units and isn't accepted. Repeated rows and null ids are answered row by row; other columns
     are ignored; an empty table gives no rows. A model fitted on nothing costs 8 bits a byte and accepts none.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = tk.small_batches(df).sparkSession.sparkContext.broadcast(model)
     kinds = ", ".join(f"units_{x} long" for x in model.languages)
     return df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(lambda b: _scores(b, shared, max_bits), f"doc_id long, lang string, coded long, {kinds}, accepted boolean")
 
 
 def accepts(df: DataFrame, model: Model, max_bits: float = MAX_BITS) -> Callable[[Column], Column]:
     """A predicate on a text column: is it in one of the model's languages?"""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = tk.small_batches(df).sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("boolean")
     def accepted(text: pa.Array) -> pa.Array:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy pass handles; a longer document is a pass of its own.
 CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch of documents.
+BATCH_ROWS = 2500
 
 _PRIME = 0x9E3779B97F4A7C15 | 1
 _M64 = (1 << 64) - 1
@@ -48,6 +50,17 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of its session bounded to ``BATCH_ROWS`` rows if they are at Spark's default size.
+
+    A batch of documents is held by the JVM and by the Python worker at once, beside the executor's heap.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

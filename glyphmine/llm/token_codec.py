@@ -395,7 +395,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
     read). A null or empty text has one block of no ids. Rows that repeat have blocks of their own, null ids are
     carried along; other columns are ignored; an empty table gives no rows.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+    rows = tk.small_batches(df).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
     return rows.mapInArrow(_blocks(path), "doc_id long, block long, n_tokens long, data binary")
 
 
