@@ -1,10 +1,10 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Texts are compared lower-cased, with every run of characters other than letters and digits as one space. A benchmark
-item is cut into overlapping windows. A window of n bytes that occurs with at most e edits shares at least
-``n + 1 - q * (e + 1)`` q-grams with the place, on diagonals (place in the text less place in the window) no
-more than e apart. So shared q-grams are counted in diagonal bands of width 2e that overlap by e, which no
-such place can miss; bands that reach the bound are verified by a banded alignment of the window.
+Texts are compared lower-cased, with every run of characters other than letters and digits as one space. Every piece of
+``WINDOW`` bytes of a benchmark item is a window of it. A window of n bytes that occurs with at most e edits shares at least
+``n + 1 - q * (e + 1)`` q-grams with the place, on diagonals (place in the text less place in the item) no
+more than e apart. So shared q-grams are gathered in diagonal bands of width 2e that overlap by e, which no
+such place can miss; windows that hold as many places of a band's q-grams as the bound are verified by a banded alignment.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from glyphmine.llm import textkit as tk
 
 Q = 12
-#: Bytes of a window, and from one window's start to the next.
-WINDOW, STEP = 72, 36
+#: Bytes of a window; one begins at every byte of an item.
+WINDOW = 72
 #: Edits a window may have, as a share of its bytes.
 EDIT_RATE = 0.06
 #: Benchmark text of one pass; a larger benchmark is taken in several.
@@ -36,21 +36,49 @@ _KEEP[128:] = True
 
 @dataclass
 class Index:
-    """The windows of a benchmark and where their q-grams are."""
+    """The items of a benchmark, one after another, and where their q-grams are. A window is known by its first byte's place."""
 
-    item: np.ndarray  # of each window: the item's place in ``ids``
     ids: list[int | None]
-    text: list[bytes]  # of each window
-    edits: np.ndarray
+    data: np.ndarray
+    owner: np.ndarray  # of each item with windows: its place in ``ids``
+    begin: np.ndarray
+    end: np.ndarray
+    size: np.ndarray  # bytes of its windows
+    most: np.ndarray  # edits that they may have
     bound: np.ndarray
     grams: np.ndarray  # distinct, sorted
     first: np.ndarray  # of each gram's postings, one more at the end
-    window: np.ndarray  # of each posting
-    place: np.ndarray
+    place: np.ndarray  # of each posting
     bits: int
     seen: np.ndarray
     short: list[tuple[int, bytes]]  # items shorter than a q-gram
 
+    def _windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """(item with windows, place) of every window."""
+        n = self.end - self.size - self.begin + 1
+        return np.repeat(np.arange(len(n)), n), _ranges(self.begin, n)
+
+    @property
+    def item(self) -> np.ndarray:
+        """Of each window: the item's place in ``ids``."""
+        return self.owner[self._windows()[0]]
+
+    @property
+    def text(self) -> list[bytes]:
+        """Of each window."""
+        of, at = self._windows()
+        return [self.data[a : a + n].tobytes() for a, n in zip(at.tolist(), self.size[of].tolist(), strict=True)]
+
+    @property
+    def edits(self) -> np.ndarray:
+        """Of each window."""
+        return self.most[self._windows()[0]]
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The ``n`` integers from each of ``first`` on."""
+    return np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+
 
 def normal(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of the compared form of texts; a null has none."""
@@ -79,87 +107,125 @@ def allowed(n: int, rate: float = EDIT_RATE) -> int:
 def index(items: list[tuple[int | None, str | None]], rate: float = EDIT_RATE) -> Index:
     """The index of (id, text) pairs; null texts and texts without letters or digits have no windows."""
     data, offs = normal(pa.array([t for _, t in items], pa.large_string()))
-    of, text, short = [], [], []
+    owner, text, short = [], [], []
     for i, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
         raw = data[a:b].tobytes().strip()
-        if len(raw) < Q:
-            if raw:
-                short.append((i, raw))
-            continue
-        starts = range(0, len(raw) - WINDOW, STEP) if len(raw) > WINDOW else []
-        for s in [*starts, max(0, len(raw) - WINDOW)]:
-            of.append(i)
-            text.append(raw[s : s + WINDOW])
-    edits = np.array([allowed(len(t), rate) for t in text], dtype=np.int64)
-    size = np.array([len(t) for t in text], dtype=np.int64)
-    found = [gram_hashes(np.frombuffer(t, np.uint8)) for t in text]
-    all_grams = np.concatenate(found) if found else np.zeros(0, np.uint64)
-    window = np.repeat(np.arange(len(text)), [len(f) for f in found]) if found else np.zeros(0, np.int64)
-    place = np.concatenate([np.arange(len(f)) for f in found]) if found else np.zeros(0, np.int64)
+        if len(raw) >= Q:
+            owner.append(i)
+            text.append(raw)
+        elif raw:
+            short.append((i, raw))
+    end = np.cumsum([len(t) for t in text], dtype=np.int64)
+    begin = np.r_[0, end[:-1]].astype(np.int64)[: len(text)]
+    size = np.minimum(end - begin, WINDOW)
+    most = np.array([allowed(n, rate) for n in size.tolist()], dtype=np.int64)
+    joint = np.frombuffer(b"".join(text), np.uint8)
+    place = _ranges(begin, end - begin + 1 - Q)
+    all_grams = gram_hashes(joint)[place]
     order = np.argsort(all_grams, kind="stable")
     grams, first = np.unique(all_grams[order], return_index=True)
     bits = max(16, min(26, int(np.ceil(np.log2(max(1, len(grams)) * 64)))))
     seen = np.zeros(1 << bits, dtype=bool)
     seen[grams >> np.uint64(64 - bits)] = True
-    return Index(np.array(of, dtype=np.int64), [i for i, _ in items], text, edits, size + 1 - Q * (edits + 1), grams, np.r_[first, len(order)], window[order], place[order], bits, seen, short)
+    return Index([i for i, _ in items], joint, np.array(owner, dtype=np.int64), begin, end, size, most, size + 1 - Q * (most + 1), grams, np.r_[first, len(order)], place[order], bits, seen, short)
 
 
 def align(text: np.ndarray, lo: np.ndarray, doc_lo: np.ndarray, doc_hi: np.ndarray, pattern: np.ndarray, band: int) -> np.ndarray:
     """Least edits of each pattern row against the text from ``lo`` on, over ``band`` start diagonals; bytes outside a document match nothing."""
     n, size = pattern.shape
     if not n:
-        return np.zeros(0, np.int32)
-    k = np.arange(band)
-    cost = np.zeros((n, band), dtype=np.int32)
+        return np.zeros(0, np.int16)
+    at = lo + np.arange(size + band - 1)[:, None]
+    around = np.where((at >= doc_lo) & (at < doc_hi), text[np.clip(at, 0, len(text) - 1)], np.uint8(0))  # no compared text has a byte 0
+    own = np.ascontiguousarray(pattern.T)
+    cost = np.zeros((band, n), dtype=np.int16)
     for i in range(size):
-        at = lo[:, None] + i + k
-        inside = (at >= doc_lo[:, None]) & (at < doc_hi[:, None])
-        same = inside & (text[np.clip(at, 0, len(text) - 1)] == pattern[:, i : i + 1])
-        best = cost + ~same
-        best[:, :-1] = np.minimum(best[:, :-1], cost[:, 1:] + 1)
-        cost = np.minimum.accumulate(best - k, axis=1) + k
-    return cost.min(axis=1)
+        best = cost + (around[i : i + band] != own[i])
+        np.minimum(best[:-1], cost[1:] + np.int16(1), out=best[:-1])
+        for k in range(1, band):
+            np.minimum(best[k], best[k - 1] + np.int16(1), out=best[k])
+        cost = best
+    return cost.min(axis=0)
 
 
-def find(ix: Index, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, window, edits) of the windows found in normalised texts; a window may come more than once for a row."""
+def _shared(ix: Index, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in the texts, place in the items) of each q-gram that a text and an item share."""
+    none = np.zeros(0, np.int64)
     h = gram_hashes(data)
-    at = np.flatnonzero(ix.seen[h >> np.uint64(64 - ix.bits)]) if len(ix.grams) else np.zeros(0, np.int64)
+    at = np.flatnonzero(ix.seen[h >> np.uint64(64 - ix.bits)]) if len(ix.grams) else none
+    if not len(at):
+        return none, none, none
     g = np.searchsorted(ix.grams, h[at])
-    ok = np.flatnonzero(ix.grams[np.minimum(g, len(ix.grams) - 1)] == h[at]) if len(at) else at
+    ok = np.flatnonzero(ix.grams[np.minimum(g, len(ix.grams) - 1)] == h[at])
     at, g = at[ok], g[ok]
     row = np.searchsorted(offs, at, side="right") - 1
     inside = at + Q <= offs[row + 1]
     at, g, row = at[inside], g[inside], row[inside]
-    if not len(at):
-        return
     n = ix.first[g + 1] - ix.first[g]
-    post = np.repeat(ix.first[g] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-    w, row = ix.window[post], np.repeat(row, n)
-    diagonal = np.repeat(at, n) - ix.place[post]
-    step = np.maximum(ix.edits[w], 1)
-    shift = len(data) + WINDOW  # diagonals may begin before the data
-    key = []
-    for d in (0, 1):
-        band = (diagonal + shift) // step - d
-        key.append(np.stack([row * len(ix.text) + w, band]))
-    key = np.concatenate(key, axis=1)
-    flat, count = np.unique(key[0] * (2 * shift + 2) + key[1] + 1, return_counts=True)
-    rw, band = flat // (2 * shift + 2), flat % (2 * shift + 2) - 1
-    row, w = rw // len(ix.text), rw % len(ix.text)
-    enough = count >= ix.bound[w]
-    row, w, band = row[enough], w[enough], band[enough]
-    sizes = np.array([len(t) for t in ix.text])
-    for size in np.unique(sizes[w]):
-        for e in np.unique(ix.edits[w[sizes[w] == size]]):
-            mine = np.flatnonzero((sizes[w] == size) & (ix.edits[w] == e))
-            for part in np.array_split(mine, max(1, len(mine) // 2048)):
-                step_e = max(int(e), 1)
-                lo = band[part] * step_e - shift - e
-                pattern = np.frombuffer(b"".join(ix.text[x] for x in w[part]), np.uint8).reshape(len(part), size)
-                cost = align(data, lo, offs[row[part]], offs[row[part] + 1], pattern, 2 * step_e + 2 * int(e))
-                good = cost <= e
-                yield row[part][good], w[part][good], cost[good]
+    p, at, row = ix.place[_ranges(ix.first[g], n)], np.repeat(at, n), np.repeat(row, n)
+    same = np.ones(len(p), dtype=bool)
+    for k in range(Q):  # not only the hash
+        same &= data[at + k] == ix.data[p + k]
+    return row[same], at[same], p[same]
+
+
+def _verbatim(ix: Index, row: np.ndarray, at: np.ndarray, p: np.ndarray, item: np.ndarray, span: int) -> np.ndarray:
+    """Sorted keys (row and place) of the windows that occur without an edit: all their q-grams are on one diagonal."""
+    order = np.argsort((at - p + len(ix.data)) * (span + 1) + at)
+    row, at, p, item = row[order], at[order], p[order], item[order]
+    cut = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(p) != 1)])  # a text's and an item's last q-grams aren't followed by the next one's
+    n = np.diff(np.r_[cut, len(at)]) - (ix.size[item[cut]] - Q)
+    cut, n = cut[n > 0], n[n > 0]
+    return np.unique(np.repeat(row[cut], n) * len(ix.data) + _ranges(p[cut], n))
+
+
+def _candidates(ix: Index, row: np.ndarray, at: np.ndarray, p: np.ndarray, item: np.ndarray, shift: int) -> tuple[np.ndarray, ...]:
+    """(row, item, band, window's place) of the windows with as many q-grams of a band as the bound."""
+    by = np.maximum(ix.most[item], 1)
+    band = (at - p + shift) // by
+    row, item, p, band = np.tile(row, 2), np.tile(item, 2), np.tile(p, 2), np.r_[band, band - 1]
+    pair = row * len(ix.owner) + item
+    order = np.lexsort((p, band, pair))
+    pair, band, p = pair[order], band[order], p[order]
+    new = np.r_[True, (np.diff(pair) != 0) | (np.diff(band) != 0)]
+    once = new | np.r_[True, np.diff(p) != 0]
+    group = np.cumsum(new)[once]
+    pair, band, p = pair[once], band[once], p[once]
+    item = pair % len(ix.owner)
+    # a window holds the q-grams ``k`` to ``k + bound - 1`` of a band if it begins between these places
+    ahead = np.arange(len(p)) + ix.bound[item] - 1
+    last = np.minimum(ahead, len(p) - 1)
+    reach = ix.size[item] - Q
+    ok = np.flatnonzero((ahead < len(p)) & (group[last] == group) & (p[last] - p <= reach))
+    lo = np.maximum(p[last[ok]] - reach[ok], ix.begin[item[ok]])
+    hi = np.minimum(p[ok], (ix.end - ix.size)[item[ok]])
+    if len(ok):
+        again = group[ok][1:] == group[ok][:-1]
+        lo[1:] = np.where(again, np.maximum(lo[1:], hi[:-1] + 1), lo[1:])
+    n = np.maximum(hi - lo + 1, 0)
+    return np.repeat(pair[ok] // len(ix.owner), n), np.repeat(item[ok], n), np.repeat(band[ok], n), _ranges(lo, n)
+
+
+def find(ix: Index, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, window's place, edits) of the windows found in normalised texts; a window may come more than once for a row."""
+    row, at, p = _shared(ix, data, offs)
+    if not len(row):
+        return
+    item = np.searchsorted(ix.begin, p, side="right") - 1
+    exact = _verbatim(ix, row, at, p, item, len(data))
+    yield exact // len(ix.data), exact % len(ix.data), np.zeros(len(exact), np.int16)
+    shift = len(data) + len(ix.data)  # diagonals may begin before the data
+    row, item, band, w = _candidates(ix, row, at, p, item, shift)
+    rest = ~np.isin(row * len(ix.data) + w, exact)
+    row, item, band, w = row[rest], item[rest], band[rest], w[rest]
+    for size, e in np.unique(np.stack([ix.size[item], ix.most[item]], axis=1), axis=0).tolist():
+        mine = np.flatnonzero((ix.size[item] == size) & (ix.most[item] == e))
+        step = max(e, 1)
+        for part in np.array_split(mine, max(1, len(mine) // 2048)):
+            lo = band[part] * step - shift + w[part] - e
+            cost = align(data, lo, offs[row[part]], offs[row[part] + 1], ix.data[w[part][:, None] + np.arange(size)], 2 * step + 2 * e)
+            good = cost <= e
+            yield row[part][good], w[part][good], cost[good]
 
 
 def hits(ix: Index, column: pa.Array) -> Iterator[tuple[int, int, int, int]]:
@@ -169,13 +235,14 @@ def hits(ix: Index, column: pa.Array) -> Iterator[tuple[int, int, int, int]]:
         found = list(find(ix, data, offs))
         if found:
             row, w, cost = (np.concatenate(x) for x in zip(*found, strict=True))
-            key, back = np.unique(row * len(ix.text) + w, return_inverse=True)
+            key, back = np.unique(row * len(ix.data) + w, return_inverse=True)
             least = np.full(len(key), 1 << 30)
             np.minimum.at(least, back, cost)
-            pair = key // len(ix.text) * len(ix.ids) + ix.item[key % len(ix.text)]
+            pair = key // len(ix.data) * len(ix.owner) + np.searchsorted(ix.begin, key % len(ix.data), side="right") - 1
             both, at, n = np.unique(pair, return_index=True, return_counts=True)
-            for x, a, k in zip(both.tolist(), at.tolist(), n.tolist(), strict=True):
-                yield first + x // len(ix.ids), x % len(ix.ids), k, int(least[pair == x].min()) if k > 1 else int(least[a])
+            least = np.minimum.reduceat(least, at) if len(at) else least
+            for x, k, e in zip(both.tolist(), n.tolist(), least.tolist(), strict=True):
+                yield first + x // len(ix.owner), int(ix.owner[x % len(ix.owner)]), k, e
         if ix.short:
             raw = data.tobytes()
             for r, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
@@ -200,7 +267,7 @@ def _indexes(benchmark: DataFrame, id_col: str, text_col: str, rate: float) -> l
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = EDIT_RATE) -> DataFrame:
-    """(doc_id, item_id, windows, edits): items of which at least one window occurs in a document, with the windows found and the least edits.
+    """(doc_id, item_id, windows, edits): items of which at least one window (any 72 bytes of it, or a shorter one as a whole) occurs in a document, with the number of its windows found and the least edits.
 
     Every row is searched whole. Null and empty texts, on either side, match nothing. An item shorter than a q-gram
     is searched for as whole words. Rows that repeat give their answers as often; items that repeat as a whole count

@@ -286,6 +286,31 @@ def test_decontamination_is_that_of_full_alignment():
     assert got == want and len(want) > 20
 
 
+def test_decontamination_finds_every_passage():
+    rng = random.Random(31)
+    items = [(k, passage(rng, 40)) for k in range(6)] + [(6, passage(rng, 9)[:60])]
+    texts = [decontam.normal(pa.array([t]))[0].tobytes().strip() for _, t in items]
+    docs = []
+    for k in range(48):
+        item = texts[k % 6]
+        n = rng.choice([71, 72, 72, 73, 80, 95, 106])
+        cut = rng.randrange(len(item) - n)
+        docs.append("zz " * rng.randrange(8) + "zz" + edited(rng, item[cut : cut + n].decode(), k % 4 and rng.randrange(7)) + "zz zz")
+    docs += [texts[6].decode(), "zz " + edited(rng, texts[6].decode(), 2), "x", texts[0].decode() + " " + texts[1].decode()]
+    ix = decontam.index(items)
+    got = {(r, ix.ids[i]): (n, e) for r, i, n, e in decontam.hits(ix, pa.array(docs))}
+    data, offs = decontam.normal(pa.array(docs))
+    want = {}
+    for r in range(len(docs)):
+        text = data[offs[r] : offs[r + 1]].tobytes()
+        for i, item in enumerate(texts):
+            size = min(72, len(item))
+            e = [distance_within(item[s : s + size], text) for s in range(len(item) - size + 1)] if r % 6 == i or r >= 48 else []
+            if found := [x for x in e if x <= decontam.allowed(size)]:
+                want[r, i] = (len(found), min(found))
+    assert got == want and sum(r < 48 for r, _ in want) > 30
+
+
 def test_decontamination_odd_inputs(spark, clash):
     rng = random.Random(3)
     p = passage(rng, 40)
