@@ -124,6 +124,14 @@ def global_bwt(spark, sf_dir):
     return global_index.global_bwt(s)
 
 
+def global_suffixes_documents(spark, sf_dir):
+    return global_index.global_suffix_array(documents(spark, sf_dir))
+
+
+def global_bwt_documents(spark, sf_dir):
+    return global_index.global_bwt(documents(spark, sf_dir))
+
+
 _NAMES = "(a|b|c|d|e|f|g|h|i|j|k|l|m|n|o|p)*.*(e|r) .+"
 _DOCS = ".*(idiot|trash).*"
 
@@ -224,7 +232,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         flagship, literal_count, literal_locate, byte_histogram, document_symbol_counts, suffix_table, suffix_table_reversed, suffix_greater_than_whole, document_index, text_from_bwt, index_is_sorted,
-        index_literal_count, interval_search, backward_search_steps, occ_at_rank, extract_at_rank, first_byte_at_rank, text_tail, int_suffix_array, global_suffixes, global_bwt,
+        index_literal_count, interval_search, backward_search_steps, occ_at_rank, extract_at_rank, first_byte_at_rank, text_tail, int_suffix_array, global_suffixes, global_bwt, global_suffixes_documents, global_bwt_documents,
         regex_full_match, regex_full_match_fold, regex_full_match_documents, regex_full_match_native, regex_prefix_match, regex_substrings, regex_core_substrings, regex_hybrid, regex_on_index, ngram_counts,
         dfa_buckets, regex_postfix, regex_rewrites, kmp_borders, gamma_length, suffix_types, pretty_bytes, joined_corpus, binary_texts, index_files,
     )

@@ -123,6 +123,21 @@ def test_global_suffix_array(spark):
     assert bytes(r.c for r in global_index.global_bwt(df).orderBy("rank").collect()) == bytes(joint[p - 1] for p in sorted(range(len(joint)), key=lambda i: joint[i:]))
 
 
+def test_global_index_of_documents(spark, tmp_path):
+    from glyphmine.plans import catalog
+
+    rows = [(3, "ana b\u00e9 ana"), (1, "the same text twice"), (2, ""), (9, None), (7, "the same text twice")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = [(i, t.encode() + b"\1") for i, t in sorted(rows) if t is not None]
+    joint = b"".join(t for _, t in docs)
+    places = [(i, k) for i, t in docs for k in range(len(t))]
+    order = sorted(range(len(joint)), key=lambda i: joint[i:])
+    got = {r["rank"]: (r.doc_id, r.pos) for r in catalog.QUERIES["global_suffixes_documents"](spark, str(tmp_path)).collect()}
+    assert got == {r: places[p] for r, p in enumerate(order)}
+    bwt = catalog.QUERIES["global_bwt_documents"](spark, str(tmp_path)).orderBy("rank").collect()
+    assert bytes(r.c for r in bwt) == bytes(joint[p - 1] for p in order)
+
+
 def test_scalars(spark):
     from pyspark.sql import functions as F
 
