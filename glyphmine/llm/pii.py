@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 
 KINDS = ("O", "EMAIL", "PHONE", "CARD", "IP", "SECRET", "SSN")
-#: Tokens of an entity at most.
-LONGEST = 14
+#: Tokens of an entity at most; an e-mail address with many parts has the most.
+LONGEST = 25
 #: Generated sentences and passes over them.
 SENTENCES, PASSES = 320, 8
 SEED = 11
@@ -190,6 +190,10 @@ def _example(rng: random.Random) -> tuple[list[str], list[tuple[int, int, int]]]
 
     def entity() -> tuple[str, int]:
         k = rng.randrange(1, len(KINDS))
+        if KINDS[k] == "EMAIL" and rng.random() < 0.2:
+            label = lambda: word() + rng.choice(["", "", "-" + word()])
+            local = word() + "".join(rng.choice([".", "-", "+", "_"]) + rng.choice([word(), word(), digits(2)]) for _ in range(rng.randint(1, 3)))
+            return f"{local}@{'.'.join(label() for _ in range(rng.randint(1, 3)))}.{rng.choice(['com', 'org', 'de', 'co.uk', 'ac.jp'])}", k
         if KINDS[k] == "EMAIL":
             return f"{word()}{rng.choice(['.', '_', '', '-', '+'])}{rng.choice([word(), digits(2)])}@{word()}{rng.choice(['', digits(1)])}.{rng.choice(['', word() + '.'])}{rng.choice(['com', 'org', 'net', 'de', 'co.uk'])}", k
         if KINDS[k] == "PHONE":

@@ -143,6 +143,13 @@ def test_pii_finds(field):
         assert [(text[a:b], k) for a, b, k in pii.entities(field, text)] == want
 
 
+@pytest.mark.parametrize("mail", ["anna.b.smith-jones@mail.dept.example.co.uk", "first.middle.last-name+tag@mail.sub.example.co.uk", "a.b-c+d@x-y.dept-two.example-site.co.uk"])
+def test_pii_finds_long_addresses(field, mail):
+    assert 14 < len(pii.tokens(mail)) <= pii.LONGEST
+    for text in (f"write to {mail} now", f"({mail})", f"Mail {mail}, or call."):
+        assert [(text[a:b], k) for a, b, k in pii.entities(field, text)] == [(mail, "EMAIL")]
+
+
 def test_pii_held_out(field):
     rng = random.Random(999)
     hit = found = gold_n = 0
