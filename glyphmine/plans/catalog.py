@@ -228,6 +228,49 @@ def index_files(spark, sf_dir):
     return formats.files(index.build_index(parts(spark, sf_dir))).select("doc_id", "kind", F.length("content").alias("bytes"))
 
 
+def suffix_table_documents(spark, sf_dir):
+    return index.occurrence_ranks(index.suffix_rows(documents(spark, sf_dir)))
+
+
+def suffix_table_reversed_documents(spark, sf_dir):
+    return index.suffix_rows(documents(spark, sf_dir), orientation="reversed").select("doc_id", "rank", "pos")
+
+
+def suffix_greater_than_whole_documents(spark, sf_dir):
+    return index.greater_than_whole(index.suffix_rows(documents(spark, sf_dir)))
+
+
+def interval_search_documents(spark, sf_dir):
+    return search.interval(index.build_index(documents(spark, sf_dir)), b"ol")
+
+
+def backward_search_steps_documents(spark, sf_dir):
+    return search.backward_steps(index.build_index(documents(spark, sf_dir)), b"ol")
+
+
+def occ_at_rank_documents(spark, sf_dir):
+    return search.occ(index.build_index(documents(spark, sf_dir)), ord("e"), 7)
+
+
+def extract_at_rank_documents(spark, sf_dir):
+    """Bytes, not characters: they may begin or end within one."""
+    return search.extract(index.build_index(documents(spark, sf_dir)), 5, 4).select("doc_id", F.hex("next").alias("next"), F.hex("prev").alias("prev"))
+
+
+def first_byte_at_rank_documents(spark, sf_dir):
+    return search.first_byte(index.build_index(documents(spark, sf_dir)), 5)
+
+
+def regex_on_index_documents(spark, sf_dir):
+    """Matches of any length."""
+    found = match.index_matches(index.build_index(documents(spark, sf_dir), orientation="reversed"), "(a|b|e)[a-z]*n")
+    return match.result_text(found).select("doc_id", "match", "len", "cnt", "truncated", "shown")
+
+
+def index_files_documents(spark, sf_dir):
+    return formats.files(index.build_index(documents(spark, sf_dir))).select("doc_id", "kind", F.length("content").alias("bytes"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -235,6 +278,8 @@ QUERIES = {
         index_literal_count, interval_search, backward_search_steps, occ_at_rank, extract_at_rank, first_byte_at_rank, text_tail, int_suffix_array, global_suffixes, global_bwt, global_suffixes_documents, global_bwt_documents,
         regex_full_match, regex_full_match_fold, regex_full_match_documents, regex_full_match_native, regex_prefix_match, regex_substrings, regex_core_substrings, regex_hybrid, regex_on_index, ngram_counts,
         dfa_buckets, regex_postfix, regex_rewrites, kmp_borders, gamma_length, suffix_types, pretty_bytes, joined_corpus, binary_texts, index_files,
+        suffix_table_documents, suffix_table_reversed_documents, suffix_greater_than_whole_documents, interval_search_documents, backward_search_steps_documents, occ_at_rank_documents, extract_at_rank_documents, first_byte_at_rank_documents,
+        regex_on_index_documents, index_files_documents,
     )
 }
 

@@ -138,6 +138,33 @@ def test_global_index_of_documents(spark, tmp_path):
     assert bytes(r.c for r in bwt) == bytes(joint[p - 1] for p in order)
 
 
+def test_index_queries_of_documents(spark, tmp_path):
+    import re
+
+    from glyphmine.plans import catalog
+
+    rows = [(3, "an abandoned citizen olé " * 3), (1, "beautification of the old garden"), (2, "éolé bcdefghijklmn"), (9, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: catalog.QUERIES[f"{name}_documents"](spark, str(tmp_path)).collect()
+    texts = {i: t.encode() for i, t in rows if t}
+    order = {i: sorted(range(len(t) + 1), key=lambda p, t=t: t[p:]) for i, t in texts.items()}
+    assert {(r.doc_id, r["rank"], r.pos) for r in run("suffix_table")} == {(i, k, p) for i, o in order.items() for k, p in enumerate(o)}
+    back = {(i, k, p) for i, t in texts.items() for k, p in enumerate(sorted(range(len(t) + 1), key=lambda p, t=t[::-1]: t[p:]))}
+    assert {(r.doc_id, r["rank"], r.pos) for r in run("suffix_table_reversed")} == back
+    assert {(r.doc_id, r.pos): r.greater for r in run("suffix_greater_than_whole")} == {(i, p): t[p:] > t for i, t in texts.items() for p in range(len(t))}
+    held = {i: [k for k, p in enumerate(order[i]) if t[p:].startswith(b"ol")] for i, t in texts.items()}
+    assert {(r.doc_id, r.sp, r.ep, r.cnt) for r in run("interval_search")} == {(i, h[0], h[-1] + 1, len(h)) for i, h in held.items() if h}
+    assert {(r.doc_id, r.sp, r.ep) for r in run("backward_search_steps") if r.step == 2} == {(i, h[0], h[-1] + 1) for i, h in held.items() if h}
+    assert {r.doc_id: r.occ for r in run("occ_at_rank")} == {i: sum(p > 0 and t[p - 1] == ord("e") for p in order[i][:8]) for i, t in texts.items()}
+    assert {r.doc_id: (r.next, r.prev) for r in run("extract_at_rank")} == {i: (t[p : p + 4].hex().upper(), t[max(0, p - 4) : p].hex().upper()) for i, t in texts.items() for p in [order[i][5]]}
+    assert {r.doc_id: r.c for r in run("first_byte_at_rank")} == {i: t[order[i][5]] for i, t in texts.items()}
+    pieces = {(i, t[a:b].decode()): 0 for i, t in texts.items() for a in range(len(t)) for b in range(a + 1, len(t) + 1) if re.fullmatch(rb"[abe][a-z]*n", t[a:b])}
+    for i, m in pieces:
+        pieces[i, m] = sum(texts[i].startswith(m.encode(), a) for a in range(len(texts[i])))
+    assert {(r.doc_id, r.match): r.cnt for r in run("regex_on_index")} == pieces and any(len(m) > 12 for _, m in pieces)
+    assert {r.doc_id: r.bytes for r in run("index_files") if r.kind == "bwt"} == {i: 17 + len(t) for i, t in texts.items()}
+
+
 def test_scalars(spark):
     from pyspark.sql import functions as F
 
