@@ -1,14 +1,18 @@
-"""Token ids as compressed blocks: an adaptive range coder that mixes order-2, order-1 and order-0 predictions.
+"""Token ids as compressed blocks: a range coder driven by mixed order-0, order-1 and order-2 predictions.
 
 A document's ids are cut into blocks of up to ``BLOCK`` ids, each coded from a reset model and checksummed, so that any block
-can be read by itself. For each id
-  * order 2 predicts the id that last followed the two before, order 1 the one that last followed the one before;
-  * which of them is right is coded first, with weights learned from how often each was right so far in the same
-    state (has each a prediction, was its last one right, do they agree);
-  * if neither is, order 0 codes the id's high byte and then its low byte, with frequencies of the block so far.
-The encoder knows all ids, so it computes every frequency for all blocks at once by sorting and running sums, and only the
-arithmetic of the range coder steps along the ids, for all blocks of a chunk side by side. The decoder rebuilds the
-model id by id.
+can be read by itself. For each id there are three distributions over the vocabulary, of all ids of the block before it:
+  * order 0: how often each id occurred, over a fixed prior by the id's number (vocabularies are sorted by frequency);
+  * order 1 and order 2: how often each id followed the one or two ids before this one.
+They are mixed with weights, and the id is coded in one step by its share of the mixture. The weights of a state (how
+often each of the two contexts was seen) move after every id of that state towards each order's part in what was
+predicted, which is an online EM step on the code length. Counts and weights are brought up to date at every id.
+
+An id's share of a distribution, and that of all lesser ids, are counts of earlier ids of its context that are equal or
+less. The encoder gets those for all ids of many blocks at once by sorts and one stable partition for each bit of the
+place in a context; only the mixing and the coder's arithmetic step along the ids, all blocks of a chunk side by side. The decoder counts
+in sorted lists and finds an id by bisection. Both use the same sums, products and quotients of doubles in the same order,
+which are exact alike everywhere.
 
 Block: the ids' count (uint16), CRC-32 of the ids as little-endian uint16s (uint32), then the code bytes, trimmed of zeros.
 """
@@ -18,6 +22,7 @@ from __future__ import annotations
 import base64
 import zlib
 from array import array
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,178 +34,197 @@ from pyspark.sql import functions as F
 from glyphmine.llm import textkit as tk
 
 BLOCK = 1024
-#: Ids after which the frequencies of which order is right, of high and of low bytes are brought up to date.
-SEGMENT = 128
-#: What an id adds to those frequencies.
-ADD_EVENT, ADD_HIGH, ADD_LOW = 8, 8, 24
-#: High bytes with low-byte frequencies of their own; the rest share one table.
-CLASSES = 4
-#: Frequencies are coded as shares of these; a step has room for an event and a high byte.
-EVENT_TOTAL, HIGH_TOTAL, LOW_TOTAL = 1 << 12, 1 << 14, 1 << 16
-STEP_BITS = 26
+#: Ids are below this.
+VOCABULARY = 1 << 16
+#: What an occurrence adds to an id's prior at order 0.
+ADD = 2000
+#: A mixture is coded in shares of this.
+SHARE_BITS = 32
+#: How far the weights of a state move at an id, and what order 0 keeps at least.
+MOVE, FLOOR = 5 / 64, 1 / 256
 #: Text bytes coded side by side.
-CHUNK = 3 << 20
-#: Ids whose frequencies are computed at once: their arrays stay in a core's cache.
+CHUNK = 2 << 20
+#: Ids that are counted at once: their arrays stay in a core's cache.
 TOGETHER = 1 << 15
+#: Contexts of up to 2**PIECE_BITS ids, and such pieces of larger ones, are counted by comparing all pairs; 7 at most.
+PIECE_BITS = 6
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
-_HIGH = 1 + 240 // (1 + np.arange(256))  # vocabularies are sorted by frequency
-_LOW = np.full(256, 4)
-_EVENT_START = np.array([4, 2, 6])
+_PRIOR = 1 + 20_000 // (10 + np.arange(VOCABULARY, dtype=np.int64))
+_BELOW = np.r_[0, np.cumsum(_PRIOR)]
+_PRIOR_TOTAL = int(_BELOW[-1])
+#: A little less than all shares, so that rounding can't pass them.
+_SHARES = float((1 << SHARE_BITS) - 64)
+#: By state (4 times how often the last id was seen before, up to 3, and how often the last two were): first weights.
+_START = np.array([[1 - b - a, a, b] for x in range(4) for y in range(4) for b in [(0, 0.4, 0.6, 0.75)[y]] for a in [(1 - b) * (0.1 + 0.1 * x) if x else 0.0]])
+#: Bits of the place in a slot that holds so many ids.
+_SLOT_BITS = np.ceil(np.log2(np.maximum(np.arange(BLOCK + 1), 1))).astype(np.int8)
 _TOP = np.uint64(1 << 40)
 _MASK = np.uint64((1 << 40) - 1)
 
 
-def _context(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A 22-bit mark of an order-2 context; contexts that share one are one context, for encoder and decoder alike."""
-    return ((a * 40_503 + b * 2_654_435) >> 3) & ((1 << 22) - 1)
-
-
-def _last(key: np.ndarray, bits: int) -> np.ndarray:
-    """For each place the one before it with the same key (of ``bits`` bits), or -1."""
-    n = len(key)
-    shift = max(1, int(n).bit_length())
-    if bits + shift > 63:
-        raise ValueError("too many ids at once")
-    s = np.sort(key << shift | np.arange(n))
-    order = s & ((1 << shift) - 1)
-    same = np.flatnonzero(s[1:] >> shift == s[:-1] >> shift)
-    prev = np.full(n, -1, dtype=np.int64)
-    prev[order[same + 1]] = order[same]
-    return prev
-
-
-def _states(ids: np.ndarray, block: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each id: the state (0..31) and which event it is: 0 order 2 is right, 1 order 1 is, 2 neither."""
-    one, two = np.r_[0, ids[:-1]], np.r_[0, 0, ids[:-2]] if len(ids) > 1 else np.zeros(len(ids), np.int64)
-    wide = int(block[-1]).bit_length() if len(block) else 1
-    mark, right, guess = [], [], []
-    for context, least, bits in ((_context(two, one), 2, 22), (one, 1, 16)):
-        context = np.where(place < least, 1 << bits, context)  # a block's first ids have no context
-        prev = _last(context << wide | block, bits + 1 + wide)
-        prev[place < least] = -1
-        have = prev >= 0
-        g = np.where(have, ids[prev], -1)
-        ok = g == ids
-        # 0: no prediction; 1: the first; 2: the last was wrong; 3: right
-        mark.append(np.where(have, np.where(have[prev], 2 + ok[prev], 1), 0))
-        right.append(ok)
-        guess.append(g)
-    agree = (guess[0] == guess[1]) & (guess[0] >= 0)
-    event = np.where(right[0], 0, np.where(right[1], 1, 2))
-    return mark[0] * 8 + mark[1] * 2 + agree, event
-
-
-class _Table:
-    """Frequencies of symbols by kind for all blocks side by side; only whole segments that are over count."""
-
-    def __init__(self, symbol: np.ndarray, kind: np.ndarray | None, kinds: int, prior: np.ndarray, add: int, total: int, n: int) -> None:
-        self.symbol, self.kinds, self.prior, self.add, self.total = symbol, kinds, prior.astype(np.int32), add, float(total)
-        self.kind = kind
-        self.now: np.ndarray | None = None
-        self.cum, self.freq = np.zeros(n, dtype=np.int64), np.full(n, total, dtype=np.int64)
-
-    def look(self, i: np.ndarray, row: np.ndarray, n: int) -> None:
-        """Shares of the ids at ``i``, which are in blocks ``row``."""
-        c, width = self.symbol[i], len(self.prior)
-        if self.now is None:
-            sums = np.cumsum(self.prior)
-            f, upto, total = self.prior[c], sums[c], float(sums[-1])
-        else:
-            part = self.now[:n].reshape(-1, width)
-            sums = np.cumsum(part, axis=1, dtype=np.int32)
-            base = (row if self.kind is None else row * self.kinds + self.kind[i]) * width
-            at = base + c
-            f, upto, total = part.reshape(-1).take(at), sums.reshape(-1).take(at), sums.reshape(-1).take(base + (width - 1)).astype(np.float64)
-        scale = self.total / total
-        del total
-        # shares are rounded down at both ends; the decoder does the same sum in the same order
-        lo = np.floor((upto - f) * scale)
-        self.cum[i] = lo
-        self.freq[i] = np.floor(upto * scale) - lo
-
-    def learn(self, i: np.ndarray, row: np.ndarray, more: int) -> None:
-        """Counts the ids at ``i``; ``more`` blocks go on."""
-        width = self.kinds * len(self.prior)
-        if self.now is None:
-            self.now = np.tile(self.prior, (more, self.kinds))
-        cell = self.symbol[i] if self.kind is None else self.kind[i] * len(self.prior) + self.symbol[i]
-        count = np.bincount(row * width + cell, minlength=more * width)
-        count *= self.add
-        self.now[:more] += count.reshape(more, width)
-
-
-def _steps(ids: np.ndarray, block: np.ndarray, place: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(cumulative and frequency, of ``STEP_BITS`` bits each) of all coding steps in order, and the steps of each block."""
+def _pairs(values: np.ndarray) -> np.ndarray:
+    """How many of the rows above have a lesser value in the column; there are at most 255 rows above."""
+    out = np.zeros(values.shape, dtype=np.uint8)
+    for d in range(1, len(values)):
+        np.add(out[d:], (values[:-d] < values[d:]).view(np.uint8), out=out[d:])
+    return out
+
+
+def _counts(group: np.ndarray, ids: np.ndarray, together: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each id: how many ids of its group came before it, how many of them are equal and how many are less; and a number of its group.
+
+    ``together``: the groups come one after another already. A group has at most ``BLOCK`` ids.
+    """
     n = len(ids)
-    state, event = _states(ids, block, place)
-    some, far = state >= 2, event == 2
-    hi, lo = ids >> 8, ids & 255
-    tables = [_Table(event, state, 32, _EVENT_START, ADD_EVENT, EVENT_TOTAL, n), _Table(hi, None, 1, _HIGH, ADD_HIGH, HIGH_TOTAL, n), _Table(lo, np.minimum(hi, CLASSES - 1), CLASSES, _LOW, ADD_LOW, LOW_TOTAL, n)]
-    # all blocks go through their k-th segments together, the longest ones first
-    order = np.argsort(-sizes, kind="stable")
-    start, size = (np.cumsum(sizes) - sizes)[order], sizes[order]
-    for k in range(int(size[0]) // SEGMENT + 1):
-        live = int(np.searchsorted(-size, -k * SEGMENT, side="left"))
-        if not live:
-            break
-        here = np.minimum(SEGMENT, size[:live] - k * SEGMENT)
-        row = np.repeat(np.arange(live), here)
-        i = np.repeat(start[:live] + k * SEGMENT - (np.cumsum(here) - here), here) + np.arange(len(row))
-        w = np.flatnonzero(some[i])
-        tables[0].look(i[w], row[w], live)
-        w = np.flatnonzero(far[i])
-        for t in tables[1:]:
-            t.look(i[w], row[w], live)
-        more = int(np.searchsorted(-size, -(k + 1) * SEGMENT, side="left"))
-        if more:
-            upto = int(np.searchsorted(row, more))
-            for t in tables:
-                t.learn(i[:upto], row[:upto], more)
-    # which order is right, with the high byte if neither is; then the low byte if neither is
-    cum, freq = tables[0].cum * HIGH_TOTAL, tables[0].freq * HIGH_TOTAL
-    f = np.flatnonzero(far)
-    cum[f] += tables[0].freq[f] * tables[1].cum[f]
-    freq[f] = tables[0].freq[f] * tables[1].freq[f]
-    n_steps = 1 + far
-    at = np.cumsum(n_steps) - n_steps
-    out = np.empty(n + len(f), dtype=np.uint64)
-    out[at] = cum << STEP_BITS | freq - 1
-    wider = (1 << STEP_BITS) // LOW_TOTAL
-    out[at[f] + 1] = tables[2].cum[f] * wider << STEP_BITS | tables[2].freq[f] * wider - 1
-    return out, np.bincount(block, weights=n_steps, minlength=len(sizes)).astype(np.int64)
-
-
-def _range_code(packed: np.ndarray, steps: np.ndarray) -> list[bytes]:
-    """The code of each block: its steps one after the other, all blocks side by side."""
-    n = len(steps)
-    order = np.argsort(-steps, kind="stable")
-    at = (np.cumsum(steps) - steps)[order]
-    size = steps[order]
+    every, equal, less, number = (np.zeros(n, dtype=np.int64) for _ in range(4))
+    if together:
+        place, s = np.arange(n), group
+    else:
+        shift = int(n).bit_length()
+        s = np.sort(group << shift | np.arange(n))
+        place, s = s & ((1 << shift) - 1), s >> shift
+    new = np.r_[True, s[1:] != s[:-1]]
+    first = np.flatnonzero(new)
+    size = np.diff(np.r_[first, n])
+    every[place] = np.arange(n) - np.repeat(first, size)
+    number[place] = np.repeat(np.arange(len(size)), size)
+    shared = np.repeat(size > 1, size)
+    place, size = place[shared], size[size > 1]
+    if not len(size):
+        return every, equal, less, number
+    # each group has a slot of a power of two of cells, the largest first, so that every slot is aligned; empty cells are last
+    bits = _SLOT_BITS[size]
+    largest = np.argsort(-bits, kind="stable")
+    ends = np.cumsum(1 << bits[largest].astype(np.int64))
+    start = np.empty(len(size), dtype=np.int64)
+    start[largest] = ends - (1 << bits[largest].astype(np.int64))
+    slot = np.repeat(start, size)
+    cell = slot + every[place]
+    cells = int(ends[-1])
+    # a slot's ids by value, of equal ones the last first
+    wide = int(cells).bit_length()
+    k = np.sort((slot << 16 | ids[place]) << wide | ((1 << wide) - 1 - cell))
+    by_value, k = (1 << wide) - 1 - (k & ((1 << wide) - 1)), k >> wide
+    last = np.flatnonzero(np.r_[k[1:] != k[:-1], True])
+    same = np.empty(cells, dtype=np.int64)
+    same[by_value] = np.repeat(last, np.diff(np.r_[-1, last])) - np.arange(len(k))
+    equal[place] = same[cell]
+    value = np.zeros(cells, dtype=np.uint16)
+    value[cell] = ids[place]
+    upto = np.r_[ends, 0][np.searchsorted(-bits[largest], -np.arange(int(bits.max()) + 2), side="right") - 1]  # cells of slots of 2**b or more
+    out = np.zeros(cells, dtype=np.int32)
+    # small slots, and pieces of large ones, by comparing all pairs
+    for b in range(1, PIECE_BITS + 1):
+        lo, hi = int(upto[b + 1]) if b < PIECE_BITS and b < len(upto) - 1 else 0, int(upto[b]) if b < len(upto) else 0
+        if lo < hi:
+            out[lo:hi] = _pairs(np.ascontiguousarray(value[lo:hi].reshape(-1, 1 << b).T)).T.reshape(-1)
+    # from the highest bit of a cell down: cells alike above bit b stand together by value; those with the bit are later
+    if bits.max() > PIECE_BITS:
+        order = np.arange(int(upto[PIECE_BITS + 1]), dtype=np.int32)
+        large = by_value < len(order)
+        order[np.sort(cell[cell < len(order)])] = by_value[large]
+        for b in range(int(bits.max()) - 1, PIECE_BITS - 1, -1):
+            m = int(upto[b + 1])
+            here = order[:m]
+            bit = here & (1 << b)
+            early, late = np.flatnonzero(bit == 0), np.flatnonzero(bit)
+            later = here[late]
+            out[later] += (late - np.arange(len(late)) - (later >> (b + 1) << b)).astype(np.int32)
+            if b > PIECE_BITS:
+                order[:m] = np.concatenate([here[early].reshape(-1, 1 << b), later.reshape(-1, 1 << b)], axis=1).reshape(-1)
+    less[place] = out[cell]
+    return every, equal, less, number
+
+
+def _predictions(ids: np.ndarray, block: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each id its state, and by order (rows) the share of all lesser ids and that of the id and them."""
+    n = len(ids)
+    one, two = np.r_[0, ids[:-1]], np.r_[0, 0, ids[:-2]] if n > 1 else np.zeros(n, np.int64)
+    below, upto = np.zeros((3, n)), np.zeros((3, n))
+    _, equal, less, _ = _counts(block, ids, True)
+    total = (ADD * place + _PRIOR_TOTAL).astype(np.float64)
+    below[0] = (ADD * less + _BELOW[ids]) / total
+    upto[0] = (ADD * (less + equal) + _BELOW[ids + 1]) / total
+    every, equal, less, number = _counts(np.where(place >= 1, one, VOCABULARY) | block << 17, ids)
+    state = 4 * np.minimum(every, 3)
+    size = np.maximum(every, 1)
+    below[1], upto[1] = less / size, (less + equal) / size
+    # what is alone after one id is alone after two
+    some = np.flatnonzero(np.bincount(number)[number] > 1)
+    if len(some):
+        every, equal, less, _ = _counts(number[some] << 17 | np.where(place >= 2, two, VOCABULARY)[some], ids[some])
+        state[some] += np.minimum(every, 3)
+        size = np.maximum(every, 1)
+        below[2, some], upto[2, some] = less / size, (less + equal) / size
+    return state, below, upto
+
+
+def _code(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The code of each block, all blocks side by side."""
+    n = len(sizes)
+    rank_of = np.argsort(-sizes, kind="stable")  # the longest first
+    size = sizes[rank_of]
+    rank = np.empty(n, dtype=np.int64)
+    rank[rank_of] = np.arange(n)
     longest = int(size[0]) if n else 0
+    live = np.searchsorted(-size, -np.arange(longest), side="left")  # blocks of more than s ids
+    step = np.r_[0, np.cumsum(live)]
+    # ids by place and then by block, as they are coded
+    state = np.empty(len(ids), dtype=np.int64)
+    below, upto = np.empty((3, len(ids))), np.empty((3, len(ids)))
+    start = np.cumsum(sizes) - sizes
+    for lo, hi in tk.spans(np.r_[0, np.cumsum(sizes)], TOGETHER):
+        block = np.repeat(np.arange(hi - lo), sizes[lo:hi])
+        if len(block):
+            place = np.arange(len(block)) - (start[lo:hi] - start[lo])[block]
+            own, *found = _predictions(ids[start[lo] : start[lo] + len(block)].astype(np.int64), block, place)
+            row = rank[lo:hi][block]
+            to = step[place] + row
+            state[to] = own + 16 * row
+            for rows, part in zip((below, upto), found, strict=True):
+                for k in range(3):
+                    rows[k][to] = part[k]
+    weights, held = np.tile(_START.T, n), np.empty((3, n))
     low, rng = np.zeros(n, dtype=np.uint64), np.full(n, (1 << 56) - 1, dtype=np.uint64)
     room = 2 * size + 6  # digits of each block at most
     begin = np.cumsum(room) - room
     flat = np.zeros(int(room.sum()), dtype=np.uint32)
     put = begin.copy()
-    live = np.searchsorted(-size, -np.arange(longest), side="left")  # blocks with more than s steps
-    bits, ones, sixteen, upper = np.uint64(STEP_BITS), np.uint64((1 << STEP_BITS) - 1), np.uint64(16), np.uint64(40)
+    bits, sixteen, upper = np.uint64(SHARE_BITS), np.uint64(16), np.uint64(40)
     for s in range(longest):
-        k = int(live[s])
-        x = packed[at[:k]]
-        at[:k] += 1
+        k, here = int(live[s]), slice(int(step[s]), int(step[s + 1]))
+        at = state[here]
+        w = held[:, :k]
+        for j in range(3):
+            np.take(weights[j], at, out=w[j], mode="clip")
+        b, u = below[:, here], upto[:, here]
+        part = u - b
+        part *= w
+        scale = _SHARES / (w[0] + w[1] + w[2])
+        x = w * b
+        c = ((x[0] + x[1] + x[2]) * scale).astype(np.uint64)
+        np.multiply(w, u, out=x)
+        f = ((x[0] + x[1] + x[2]) * scale).astype(np.uint64)
+        f -= c
+        part /= part[0] + part[1] + part[2]
+        part -= w
+        part *= MOVE
+        part += w
+        np.maximum(part[0], FLOOR, out=part[0])
+        for j in range(3):
+            weights[j][at] = part[j]
         r = rng[:k] >> bits
         lo = low[:k]
-        lo += r * (x >> bits)
-        x &= ones
-        x += np.uint64(1)
-        r *= x
-        p = put[:k]
+        c *= r
+        lo += c
+        r *= f
+        q = put[:k]
         while True:
             # a digit is 16 bits and perhaps a carry; it counts only if the place moves on
-            flat[p] = lo >> upper
+            flat[q] = lo >> upper
             short = r < _TOP
-            p += short
+            q += short
             np.copyto(lo, (lo & _MASK) << sixteen, where=short)
             np.left_shift(r, short * sixteen, out=r)
             if r.min() >= _TOP:
@@ -211,7 +235,7 @@ def _range_code(packed: np.ndarray, steps: np.ndarray) -> list[bytes]:
         put += 1
         low = (low & _MASK) << sixteen
     out: list[bytes] = [b""] * n
-    for o, a, z in zip(order.tolist(), begin.tolist(), put.tolist(), strict=True):
+    for o, a, z in zip(rank_of.tolist(), begin.tolist(), put.tolist(), strict=True):
         digits = flat[a:z]
         whole = int.from_bytes((digits & 0xFFFF).astype(">u2").tobytes(), "big") + (int.from_bytes((digits >> 16).astype(">u2").tobytes(), "big") << 16)
         out[o] = whole.to_bytes(2 * (z - a), "big").rstrip(b"\0")
@@ -219,20 +243,10 @@ def _range_code(packed: np.ndarray, steps: np.ndarray) -> list[bytes]:
 
 
 def encode(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """One block for each run of ``sizes`` ids (each at most ``BLOCK``, ids below 65536)."""
-    n = len(sizes)
-    start = np.cumsum(sizes) - sizes
-    parts = []
-    for lo, hi in tk.spans(np.r_[0, np.cumsum(sizes)], TOGETHER):
-        part = sizes[lo:hi]
-        block = np.repeat(np.arange(hi - lo), part)
-        own = ids[start[lo] : start[lo] + len(block)].astype(np.int64)
-        if len(own):
-            parts.append(_steps(own, block, np.arange(len(own)) - (start[lo:hi] - start[lo])[block], part))
-        else:
-            parts.append((np.zeros(0, np.uint64), np.zeros(hi - lo, np.int64)))
-    codes = _range_code(*(np.concatenate(x) for x in zip(*parts, strict=True))) if len(ids) else [b""] * n
+    """One block for each run of ``sizes`` ids (each at most ``BLOCK``, ids below ``VOCABULARY``)."""
+    codes = _code(ids, sizes) if len(ids) else [b""] * len(sizes)
     raw = ids.astype("<u2").tobytes()
+    start = np.cumsum(sizes) - sizes
     return [int(z).to_bytes(2, "little") + zlib.crc32(raw[2 * a : 2 * (a + z)]).to_bytes(4, "little") + c for a, z, c in zip(start.tolist(), sizes.tolist(), codes, strict=True)]
 
 
@@ -243,63 +257,66 @@ def decode(block: bytes) -> list[int]:
     code, at = int.from_bytes(data[:7].ljust(7, b"\0"), "big"), 7
     rng = (1 << 56) - 1  # ``code`` is kept relative to the low end of the range
     ids: list[int] = []
-    last: tuple[dict, dict] = ({}, {})  # context: (id that followed, was the last prediction right)
-    tables = [[_EVENT_START.tolist() for _ in range(32)], [_HIGH.tolist()], [_LOW.tolist() for _ in range(CLASSES)]]
-    now = [[x[:] for x in t] for t in tables]
-
-    def share(freqs: list[int], shares: int, value: int) -> tuple[int, int, int]:
-        """(symbol, low end, width) of the share that holds ``value``."""
-        scale, upto = float(shares) / float(sum(freqs)), 0
-        for x, f in enumerate(freqs):
-            below, upto = int(upto * scale), upto + f
-            if value < int(upto * scale):
-                return x, below, int(upto * scale) - below
-        raise ValueError("a block is damaged")
-
-    def moved(r: int, below: int, width: int) -> None:
-        nonlocal code, rng, at
-        code -= r * below
-        rng = r * width
+    seen: list[int] = []
+    after_one: dict[int, list[int]] = {}
+    after_two: dict[tuple[int, int], list[int]] = {}
+    weights = _START.tolist()
+    below, none = _BELOW_LIST, []
+    for i in range(n):
+        key = (ids[-2], ids[-1]) if i >= 2 else None
+        one = after_one.get(ids[-1], none) if i else none
+        two = after_two.get(key, none) if key else none
+        w = weights[4 * min(len(one), 3) + min(len(two), 3)]
+        w0, w1, w2 = w
+        total, n1, n2 = float(ADD * i + _PRIOR_TOTAL), max(len(one), 1), max(len(two), 1)
+        scale = _SHARES / (w0 + w1 + w2)
+
+        def upto(x: int) -> int:
+            """Shares of the ids less than x."""
+            return int((w0 * ((ADD * bisect_left(seen, x) + below[x]) / total) + w1 * (bisect_left(one, x) / n1) + w2 * (bisect_left(two, x) / n2)) * scale)
+
+        r = rng >> SHARE_BITS
+        value = code // r
+        x, end = 0, VOCABULARY
+        while end - x > 1:
+            middle = (x + end) >> 1
+            if upto(middle) <= value:
+                x = middle
+            else:
+                end = middle
+        c = upto(x)
+        f = upto(x + 1) - c
+        code -= r * c
+        rng = r * f
+        if not 0 <= code < rng:
+            raise ValueError("a block is damaged")
         while rng < 1 << 40:
             code = code << 16 | int.from_bytes(data[at : at + 2].ljust(2, b"\0"), "big")
             at += 2
             rng <<= 16
-
-    wider = (1 << STEP_BITS) // LOW_TOTAL
-    for i in range(n):
-        if i and i % SEGMENT == 0:
-            tables = [[x[:] for x in t] for t in now]
-        keys = (int(_context(np.int64(ids[i - 2]), np.int64(ids[i - 1]))) if i >= 2 else None, ids[i - 1] if i >= 1 else None)
-        known = [last[o].get(keys[o]) if keys[o] is not None else None for o in (0, 1)]
-        guess = [k[0] if k else -1 for k in known]
-        mark = [0 if k is None else 1 if k[1] is None else 2 + k[1] for k in known]
-        state = mark[0] * 8 + mark[1] * 2 + (guess[0] == guess[1] and guess[0] >= 0)
-        r = rng >> STEP_BITS
-        value = code // r
-        event, below, width = share(tables[0][state], EVENT_TOTAL, value // HIGH_TOTAL) if state >= 2 else (2, 0, EVENT_TOTAL)
-        if event == 2:
-            h, b, w = share(tables[1][0], HIGH_TOTAL, (value - below * HIGH_TOTAL) // width)
-            moved(r, below * HIGH_TOTAL + width * b, width * w)
-            r = rng >> STEP_BITS
-            c, b, w = share(tables[2][min(h, CLASSES - 1)], LOW_TOTAL, code // r // wider)
-            moved(r, b * wider, w * wider)
-            x = h << 8 | c
-        else:
-            moved(r, below * HIGH_TOTAL, width * HIGH_TOTAL)
-            x = guess[event]
-            if x < 0:
-                raise ValueError("a block is damaged")
-        for t, (kind, symbol, add) in enumerate(((state, event, ADD_EVENT), (0, x >> 8, ADD_HIGH), (min(x >> 8, CLASSES - 1), x & 255, ADD_LOW))):
-            now[t][kind][symbol] += add
-        for o in (0, 1):
-            if keys[o] is not None:
-                last[o][keys[o]] = (x, None if known[o] is None else int(guess[o] == x))
+        lesser, greater = (bisect_left(seen, x), bisect_left(one, x), bisect_left(two, x)), (bisect_left(seen, x + 1), bisect_left(one, x + 1), bisect_left(two, x + 1))
+        got = [
+            w0 * ((ADD * greater[0] + below[x + 1]) / total - (ADD * lesser[0] + below[x]) / total),
+            w1 * (greater[1] / n1 - lesser[1] / n1),
+            w2 * (greater[2] / n2 - lesser[2] / n2),
+        ]
+        p = got[0] + got[1] + got[2]
+        w[:] = [(part / p - old) * MOVE + old for old, part in zip(w, got, strict=True)]
+        w[0] = max(w[0], FLOOR)
+        insort(seen, x)
+        if i:
+            insort(after_one.setdefault(ids[-1], []), x)
+        if key:
+            insort(after_two.setdefault(key, []), x)
         ids.append(x)
     if zlib.crc32(np.array(ids, dtype="<u2").tobytes()) != crc:
         raise ValueError("a block doesn't have its checksum")
     return ids
 
 
+_BELOW_LIST = _BELOW.tolist()
+
+
 class Words:
     """Tokenizes whole columns by their distinct words.
 

@@ -41,6 +41,53 @@ def test_whole_blocks_round_trip():
     assert token_codec.encode(ids[:1024].astype(np.uint16), sizes[:1]) == out[:1]
 
 
+def plain_bits(ids: list[int]) -> float:
+    """The code length of a block by a model that counts afresh at every id."""
+    weights = [row[:] for row in token_codec._START.tolist()]
+    prior = token_codec._PRIOR.tolist()
+    bits = 0.0
+    for i, x in enumerate(ids):
+        one = [ids[j] for j in range(1, i) if ids[j - 1] == ids[i - 1]]
+        two = [ids[j] for j in range(2, i) if ids[j - 2 : j] == ids[i - 2 : i]] if i >= 2 else []
+        w = weights[4 * min(len(one), 3) + min(len(two), 3)]
+        p = [(token_codec.ADD * ids[:i].count(x) + prior[x]) / (token_codec.ADD * i + sum(prior)), one.count(x) / max(len(one), 1), two.count(x) / max(len(two), 1)]
+        mixed = sum(a * b for a, b in zip(w, p, strict=True))
+        bits -= np.log2(mixed / sum(w))
+        w[:] = [a + token_codec.MOVE * (a * b / mixed - a) for a, b in zip(w, p, strict=True)]
+        w[0] = max(w[0], token_codec.FLOOR)
+    return bits
+
+
+def test_code_lengths_are_those_of_the_plain_model():
+    rng = np.random.default_rng(5)
+    for ids in (rng.zipf(1.3, 400) % 5000, np.tile(rng.integers(0, 50_000, 60), 7)[:400], rng.integers(0, 3, 300), np.full(200, 65535), rng.integers(0, 65536, 150)):
+        block = token_codec.encode(ids.astype(np.uint16), np.array([len(ids)]))[0]
+        assert abs(8 * (len(block) - 6) - plain_bits(ids.tolist())) < 64 + 0.01 * len(ids)
+
+
+def test_counts_are_those_of_all_earlier_ids(monkeypatch):
+    rng = np.random.default_rng(6)
+    for bits in (1, 3, 7):
+        monkeypatch.setattr(token_codec, "PIECE_BITS", bits)
+        for n, groups, kinds in ((1, 1, 1), (40, 3, 5), (700, 9, 50), (1000, 1, 65536), (900, 400, 3)):
+            g, x = rng.integers(0, groups, n), rng.integers(0, kinds, n)
+            before = (g[None, :] == g[:, None]) & (np.arange(n)[None, :] < np.arange(n)[:, None])
+            every, equal, less, number = token_codec._counts(g, x)
+            assert (every == before.sum(1)).all() and (equal == (before & (x[None, :] == x[:, None])).sum(1)).all() and (less == (before & (x[None, :] < x[:, None])).sum(1)).all()
+            assert ((number[None, :] == number[:, None]) == (g[None, :] == g[:, None])).all()
+
+
+@needs_tokenizer
+def test_mixing_beats_a_dictionary_coder():
+    import zlib
+
+    words = [w + " " for w in "the of and to in model data token block order count share weight mix code text page line".split()]
+    rng = random.Random(2)
+    ids, _ = token_codec.tokenizer(token_codec.TOKENIZER).ids(pa.array(["".join(rng.choice(words) for _ in range(1500))]))
+    ids = ids[:1024]
+    assert len(token_codec.encode(ids, np.array([1024]))[0]) < 0.8 * len(zlib.compress(ids.astype("<u2").tobytes(), 9))
+
+
 def test_damage_is_noticed():
     ids = np.arange(300, dtype=np.uint16)
     block = bytearray(token_codec.encode(ids, np.array([300]))[0])
