@@ -318,6 +318,43 @@ def test_decontamination_finds_every_passage():
     assert got == want and sum(r < 48 for r, _ in want) > 30
 
 
+def test_decontamination_in_slices_and_ranges_of_items(monkeypatch):
+    rng = random.Random(23)
+    stem = passage(rng, 12)
+    items = [(k, f"{stem} {passage(rng, 9)}") for k in range(6)] + [(40, "0" * 300), (41, "ab" * 200 + passage(rng, 14))]
+    docs = [edited(rng, rng.choice(items)[1], rng.randrange(4)) + passage(rng, 3) for _ in range(8)] + ["0" * 900, "xy " + "ab" * 200 + "0" * 90, stem + " z", stem * 4]
+    ix = decontam.index(items)
+    whole = sorted(decontam.hits(ix, pa.array(docs)))
+    monkeypatch.setattr(decontam, "SLICE", 400)
+    assert sorted(decontam.hits(ix, pa.array(docs))) == whole and len(whole) > 8
+    # equal windows of one item are one, and a text that repeats itself is what it says once
+    assert (8, 6, 1, 0) in whole and any(r == 9 and i == 7 and n >= 2 and e == 0 for r, i, n, e in whole)
+
+
+def test_decontamination_is_bounded_on_repetition():
+    import tracemalloc
+
+    ix = decontam.index([(1, "0" * 300), (2, "abc de " * 9000)])
+    tracemalloc.start()
+    assert list(decontam.hits(ix, pa.array(["0" * 1_000_000]))) == [(0, 0, 1, 0)]
+    assert list(decontam.hits(ix, pa.array(["abc de " * 150_000]))) == [(0, 1, 7, 0)]
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+
+
+def test_decontamination_in_passes(spark, monkeypatch):
+    rng = random.Random(29)
+    items = [(k, passage(rng, 30)) for k in range(9)] + [(9, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(k, passage(rng, 5) + " " + (items[k % 9][1] if k % 3 else "")) for k in range(20)] + [(20, None), (21, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as leaked_digest")
+    one, kept = sorted(decontam.contaminated(df, bench).collect()), sorted(r.doc_id for r in decontam.drop_contaminated(df, bench).collect())
+    monkeypatch.setattr(decontam, "PASS_BYTES", 500)
+    assert sorted(decontam.contaminated(df, bench).collect()) == one and len(one) == 13
+    clean = decontam.drop_contaminated(df, bench)
+    assert clean.columns == df.columns and sorted(r.doc_id for r in clean.collect()) == kept and len(kept) == 9
+
+
 def test_decontamination_odd_inputs(spark, clash):
     rng = random.Random(3)
     p = passage(rng, 40)
