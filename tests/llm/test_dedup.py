@@ -103,6 +103,48 @@ def test_near_groups_are_those_of_all_pairs(spark):
     assert sum(got[i] == want[i] for i in got) >= 0.97 * len(got)
 
 
+def test_wide_segments_find_the_same_groups(spark, monkeypatch):
+    rows = near_corpus()
+    narrow = {r.doc_id: r.group_id for r in simhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    form = simhash.shape(1 << 24)
+    assert form.width == 38 and form.segments >= 8 and len(form.lanes) * 64 >= form.segments * 38 and simhash.shape(1 << 18) == simhash.Shape()
+    assert [simhash.shape(n).width for n in (0, 1, 1 << 30, 5 * 10**10)] == [32, 32, 44, 50]
+    monkeypatch.setattr(simhash, "shape", lambda n: form)
+    wide = {r.doc_id: r.group_id for r in simhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(wide[i] == narrow[i] for i in narrow) >= 0.97 * len(narrow)
+
+
+def test_hot_buckets_are_searched_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 62, (5, 4), dtype=np.uint64)
+    lanes = base[rng.choice(5, 260, p=[0.7, 0.1, 0.1, 0.05, 0.05])].copy()
+    for row in lanes:
+        for b in rng.integers(0, 256, 22):
+            row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    rows = [(7, i, *lanes[i].view(np.int64).tolist()) for i in range(200)] + [(8, i, *lanes[i].view(np.int64).tolist()) for i in range(150, 170)] + [(9, i, *lanes[i].view(np.int64).tolist()) for i in range(200, 260)]
+    df = spark.createDataFrame(rows, "k long, id long, f0 long, f1 long, f2 long, f3 long")
+    edges = {hot: [tuple(r) for r in simhash._in_buckets(df, 40, ["f0", "f1", "f2", "f3"], hot).collect()] for hot in (16, 1000)}
+
+    def parts(pairs):
+        root = list(range(260))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        return [find(x) for x in range(260)]
+
+    near = np.bitwise_count(lanes[:, None] ^ lanes[None]).sum(axis=2) <= 40
+    same = np.array([[any(lo <= a < hi and lo <= b < hi for lo, hi in ((0, 200), (150, 170), (200, 260))) for b in range(260)] for a in range(260)])
+    want = parts(zip(*np.where(near & same), strict=True))
+    assert parts(edges[16]) == parts(edges[1000]) == want and 4 < len(set(want)) < 260
+    assert all(near[a, b] for e in edges.values() for a, b in e)
+
+
 def test_search_in_a_large_bucket_gives_the_components_of_all_pairs():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, (6, 4), dtype=np.uint64)
@@ -133,12 +175,16 @@ def test_search_in_a_large_bucket_gives_the_components_of_all_pairs():
 def test_near_on_odd_inputs(spark, clash):
     rows = [(1, "alpha beta gamma delta " * 9), (2, "Alpha, beta gamma DELTA! " * 9), (2, "Alpha, beta gamma DELTA! " * 9), (3, None), (4, ""), (5, ""), (6, "!!! ???"), (None, "alpha beta gamma delta"), (7, LONG), (8, LONG + "."), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", *clash)
-    got = sorted((r.doc_id, r.group_id, r.kept) for r in simhash.groups(df).collect())
+    got = sorted(((r.doc_id, r.group_id, r.kept) for r in simhash.groups(df).collect()), key=lambda x: (x[0] is not None, x[0] or 0))
+    assert Counter(got[:2]) == Counter([(None, 1, False), (None, None, True)])
+    got = [x for x in got if x[0] is not None]
     assert got == [(1, 1, True), (2, 1, False), (2, 1, False), (3, 3, True), (4, 4, True), (5, 5, True), (6, 6, True), (7, 7, True), (8, 7, False)]
     left = simhash.drop_near_duplicates(df)
-    assert left.columns == df.columns and Counter(r.doc_id for r in left.collect()) == Counter([1, 3, 4, 5, 6, 7, None, None])
+    assert left.columns == df.columns and Counter(r.doc_id for r in left.collect()) == Counter([1, 3, 4, 5, 6, 7, None])
     twice = spark.createDataFrame([(2, "b c d"), (2, "b c d"), (9, "x y z")], "doc_id long, text string")
     assert Counter(r.doc_id for r in simhash.drop_near_duplicates(twice).collect()) == Counter([2, 9])
+    other = spark.createDataFrame([(2, "b c d"), (2, "x y z"), (3, "Z, y x"), (2, None), (2, None)], "doc_id long, text string")
+    assert Counter(simhash.drop_near_duplicates(other).collect()) == Counter([(2, "b c d"), (2, "x y z"), (2, None), (2, None)])
     assert simhash.groups(df.limit(0)).count() == 0 and simhash.drop_near_duplicates(df.limit(0)).count() == 0
 
 
