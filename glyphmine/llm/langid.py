@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmine.llm import textkit as tk
@@ -170,14 +170,13 @@ def score(model: Model, text: pa.Array, max_bits: float) -> tuple[np.ndarray, np
 
 
 def sample(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, most: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
-    """Up to ``most`` labelled texts of each language: those with the least hashes of their ids."""
-    ids = docs.select(F.col(id_col).cast("long").alias("i"), F.col(lang_col).alias("l")).where("i is not null")
-    chosen: dict[int, str] = {}
-    for x in languages:
-        chosen |= {r.i: x for r in ids.where(F.col("l") == x).orderBy(F.xxhash64("i"), "i").limit(most).collect()}
+    """Up to ``most`` labelled texts of each language: those with the least hashes of their ids; of an id of several texts the least."""
+    ids = docs.select(F.col(id_col).cast("long").alias("i"), F.col(lang_col).alias("l")).where("i is not null").where(F.col("l").isin(list(languages)))
+    place = F.dense_rank().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i"))
+    chosen: dict[int, str] = {r.i: r.l for r in ids.distinct().withColumn("k", place).where(F.col("k") <= most).collect()}
     out: dict[str, list[str]] = {x: [] for x in languages}
     if chosen:
-        rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where(F.col("i").isin(list(chosen)))
+        rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where(F.col("i").isin(list(chosen))).groupBy("i").agg(F.min("t").alias("t"))
         for r in sorted(rows.collect(), key=lambda r: (r.i, r.t or "")):
             out[chosen[r.i]].append(r.t or "")
     return out

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: A line goes if it is on more than this share of its host's pages ...
 RATIO = 0.3
-#: ... and on at least this many of them.
-LEAST_PAGES = 3
+#: ... and on at least this many of them: a line that no other page has isn't repeated, whatever its share.
+LEAST_PAGES = 2
 #: A host is hot if it has more than one in ``HOT`` of all pages; its pages meet its boilerplate in ``SPREAD`` parts.
 HOT, SPREAD = 1000, 256
 

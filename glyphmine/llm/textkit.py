@@ -138,10 +138,11 @@ def mix64_int(x: int) -> int:
     return int(mix64(np.array([x & _M64], dtype=np.uint64))[0])
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offs: np.ndarray, beginnings: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word occurrence and the row that holds it.
 
-    A word is a longest run of ASCII letters, digits, underscores and non-ASCII bytes.
+    A word is a longest run of ASCII letters, digits, underscores and non-ASCII bytes. ``beginnings``: the first so many bytes of
+    each longer word count as words as well, after the whole ones.
     """
     n = len(data)
     if not n:
@@ -159,7 +160,15 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     p, inv = _pow(n)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[:n], out=sums[1:])
-    return mix64((sums[end] - sums[start]) * inv[start]), np.searchsorted(offs, start, side="right") - 1
+    row = np.searchsorted(offs, start, side="right") - 1
+    starts, ends, rows = [start], [end], [row]
+    for n_bytes in beginnings:
+        longer = end - start > n_bytes
+        starts.append(start[longer])
+        ends.append(start[longer] + n_bytes)
+        rows.append(row[longer])
+    start, end = np.concatenate(starts), np.concatenate(ends)
+    return mix64((sums[end] - sums[start]) * inv[start]), np.concatenate(rows)
 
 
 def word_hash(word: str) -> int:

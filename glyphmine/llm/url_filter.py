@@ -19,12 +19,14 @@ from glyphmine.llm import textkit as tk
 
 #: Bits a key and hash functions of a level: about 1 in 120 other keys pass.
 BITS_PER_KEY, HASHES = 10, 7
-#: Levels at most; keys that still confuse each other (equal 128-bit hashes) are then held as they are.
+#: Levels at most. A level leaves about one in 120 of the other kind's keys, so only keys with equal 128-bit hashes get here: an error.
 DEEPEST = 24
 #: A cascade of more bytes than this isn't broadcast: keys and filters are brought together by shard.
 BROADCAST_BYTES = 64 << 20
-#: Bytes of filter of a shard.
-SHARD_BYTES = 8 << 20
+#: Bytes of filter of a shard, and rows that one task asks it about.
+SHARD_BYTES, SHARD_ROWS = 8 << 20, 1 << 20
+#: Words of a filter that go to the driver as one row.
+PACK_WORDS = 1 << 13
 
 #: Domains whose pages the production list holds.
 BLOCKED = ("casino-win.example.com", "free-bets.example.com", "cheap-pills.example.com", "ads-track.example.com")
@@ -42,12 +44,10 @@ _KEY_SQL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(t
 
 @dataclass
 class Cascade:
-    """Bit arrays of the levels (shards side by side), bits of each shard of a level, and the keys held as they are."""
+    """Bits and bit arrays of the levels."""
 
-    shards: int
     bits: list[int] = field(default_factory=list)
     words: list[np.ndarray] = field(default_factory=list)
-    rest: frozenset = frozenset()
 
 
 def _positions(a: Column, b: Column, level: int, bits: int) -> Column:
@@ -77,7 +77,7 @@ def build(keys: DataFrame, listed: DataFrame, key_col: str = "key") -> DataFrame
     # what is still in play: (key, hashes, listed); each level keeps those that it can't tell
     play = tk.cut(h.select("k", F.xxhash64("k").alias("a"), F.xxhash64(F.lit("second"), "k").alias("b"), "l"))
     n = play.where("l = 1").count()
-    shards = max(1, -(-n * BITS_PER_KEY // (8 * SHARD_BYTES))) if n * BITS_PER_KEY > 8 * BROADCAST_BYTES else 1
+    shards = max(-(-n * BITS_PER_KEY // (8 * SHARD_BYTES)), -(-play.count() // SHARD_ROWS)) if n * BITS_PER_KEY > 8 * BROADCAST_BYTES else 1
     levels = []
     for level in range(DEEPEST):
         if not n:
@@ -99,12 +99,29 @@ def build(keys: DataFrame, listed: DataFrame, key_col: str = "key") -> DataFrame
     return out
 
 
+def _packed(words: DataFrame) -> DataFrame:
+    """(level, block, bits): the words (level, word, value) of filters as binary blocks of ``PACK_WORDS``, put together in tasks."""
+
+    def run(part: pa.Table) -> pa.Table:
+        flat = np.zeros(PACK_WORDS, dtype=np.uint64)
+        flat[part.column("word").to_numpy() % PACK_WORDS] = part.column("value").to_numpy().view(np.uint64)
+        return pa.table({"level": part.column("level").slice(0, 1), "block": part.column("block").slice(0, 1), "bits": pa.array([flat.tobytes()], pa.binary())})
+
+    return words.withColumn("block", F.expr(f"word div {PACK_WORDS}")).select("level", "block", "word", "value").groupBy("level", "block").applyInArrow(run, "level int, block long, bits binary")
+
+
+def _fill(flat: np.ndarray, block: int, bits: bytes) -> None:
+    at = block * PACK_WORDS
+    part = np.frombuffer(bits, dtype=np.uint64)[: len(flat) - at]
+    flat[at : at + len(part)] = part
+
+
 def _ask(asked: DataFrame, words: DataFrame, shards: int, bits: int) -> DataFrame:
     """The rows (k, a, b, l) of ``asked`` whose bits at one level are all set."""
     if shards == 1:
         flat = np.zeros(bits // 64, dtype=np.uint64)
-        for r in words.toLocalIterator():
-            flat[r.word] = r.value & 0xFFFFFFFFFFFFFFFF
+        for r in _packed(words.withColumn("level", F.lit(0))).toLocalIterator():
+            _fill(flat, r.block, r.bits)
         shared = asked.sparkSession.sparkContext.broadcast(flat)
 
         @F.arrow_udf("boolean")
@@ -128,9 +145,9 @@ def load(cascade: DataFrame) -> Cascade | None:
     sizes = cascade.groupBy("level").agg(F.max("bits").alias("bits"), F.max("shard").alias("s")).orderBy("level").collect()
     if any(r.s for r in sizes) or sum(r.bits for r in sizes) > 8 * BROADCAST_BYTES:
         return None
-    out = Cascade(1, [r.bits for r in sizes], [np.zeros(r.bits // 64, dtype=np.uint64) for r in sizes])
-    for r in cascade.toLocalIterator():
-        out.words[r.level][r.word] = r.value & 0xFFFFFFFFFFFFFFFF
+    out = Cascade([r.bits for r in sizes], [np.zeros(r.bits // 64, dtype=np.uint64) for r in sizes])
+    for r in _packed(cascade).toLocalIterator():
+        _fill(out.words[r.level], r.block, r.bits)
     return out
 
 
@@ -158,18 +175,23 @@ def mark(df: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str
         shards = cascade.agg(F.max("shard")).first()[0] + 1
         at = rows.select("page_id", "key", F.xxhash64("key").alias("a"), F.xxhash64(F.lit("second"), "key").alias("b"))
         at = at.withColumn("shard", F.pmod(F.xxhash64("a", F.lit("shard")), F.lit(shards)))
+        # a URL of many pages, or chance, may give a shard more rows than a task should hold: its filter is then there in several parts
+        parts = tk.cut(at.where("key is not null").groupBy("shard").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("parts")))
+        cascade = cascade.join(parts, "shard").select("level", "shard", "word", "value", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        at = at.join(F.broadcast(parts), "shard").withColumn("part", F.pmod(F.xxhash64("page_id", "key"), F.col("parts")).cast("int"))
         for level, bits in levels:
             at = at.withColumn(f"p{level}", _positions(F.col("a"), F.col("b"), level, bits))
 
         def run(pages: pa.Table, filt: pa.Table) -> pa.Table:
-            own = Cascade(1, [b for _, b in levels], [np.zeros(b // 64, dtype=np.uint64) for _, b in levels])
+            own = Cascade([b for _, b in levels], [np.zeros(b // 64, dtype=np.uint64) for _, b in levels])
             lv, w, v = (filt.column(c).to_numpy() for c in ("level", "word", "value"))
             for level, _ in levels:
                 own.words[level][w[lv == level]] = v[lv == level].view(np.uint64)
             yes = contains(own, [_lists(pages.column(f"p{x}").combine_chunks()) for x, _ in levels], pages.num_rows)
             return pages.select(["page_id", "key"]).append_column("listed", pa.array(yes))
 
-        known = at.where("key is not null").groupBy("shard").cogroup(cascade.groupBy("shard")).applyInArrow(run, f"page_id {dict(rows.dtypes)['page_id']}, key string, listed boolean")
+        known = at.where("key is not null").groupBy("shard", "part").cogroup(cascade.groupBy("shard", "part")).applyInArrow(run, f"page_id {dict(rows.dtypes)['page_id']}, key string, listed boolean")
+        # a null key is in no shard
         return known.unionByName(rows.where("key is null").withColumn("listed", F.lit(False)))
     if not small.words:
         return rows.withColumn("listed", F.lit(False))

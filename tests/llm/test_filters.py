@@ -282,6 +282,39 @@ def test_machine_scores_all_pairs():
         assert abs(s - (0.3 + sum(w[k] for k in x) + sum(v[a] @ v[b] for a, b in itertools.combinations(x, 2)))) < 1e-9
 
 
+def test_machine_gradients():
+    rng = np.random.default_rng(1)
+    x, row = np.array([0, 2, 1, 3, 0, 4, 2]), np.array([0, 0, 1, 1, 2, 2, 2])
+    y, w, v = np.array([1.0, 0.0, 1.0]), rng.normal(0, 1, 5), rng.normal(0, 1, (5, 3))
+
+    def loss():
+        z, _ = toxicity._logits(0.3, w, v, x, row, 3)
+        return float(np.mean(np.log1p(np.exp(z)) - y * z))
+
+    _, by_w, by_v = toxicity.gradients(0.3, w, v, x, row, y)
+    for array, grad, at in [(w, by_w, (k,)) for k in range(5)] + [(v, by_v, (k, f)) for k in range(5) for f in range(3)]:
+        array[at] += 1e-6
+        up = loss()
+        array[at] -= 2e-6
+        assert abs((up - loss()) / 2e-6 - grad[at]) < 1e-6
+        array[at] += 1e-6
+
+
+def test_fit_leaves_out_no_term_that_would_move():
+    rng = random.Random(6)
+    docs = [np.unique(np.array([rng.randrange(400) for _ in range(12)] + ([500] if k % 3 == 0 else []))) for k in range(300)]
+    y = [int(k % 3 == 0) for k in range(300)]
+    m = toxicity.fit(docs, y, steps=60)
+    kept = np.flatnonzero(m.at < len(m.w) - 1)
+    assert 500 in kept and len(kept) < 200
+    assert sum((toxicity_score(m, d) > 0) == bool(t) for d, t in zip(docs, y, strict=True)) > 295
+
+
+def toxicity_score(m: toxicity.Model, terms: np.ndarray) -> float:
+    v = m.v[m.at[terms]]
+    return m.w0 + m.w[m.at[terms]].sum() + 0.5 * float((v.sum(axis=0) ** 2 - (v**2).sum(axis=0)).sum())
+
+
 def test_machine_learns_a_pair():
     rng = random.Random(2)
     docs, y = [], []
@@ -301,8 +334,8 @@ def test_toxicity_held_out(spark):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     m = toxicity.fit(*toxicity.sample(docs, labels.where("doc_id % 5 <> 0")))
     r = toxicity.score(docs, m).join(labels.where("doc_id % 5 = 0").selectExpr("doc_id", "toxic as y"), "doc_id").collect()
-    # some 350 toxic examples in four languages: their rarer words are seen too seldom to be learned (see the README)
-    assert sum(x.toxic for x in r if x.y) > 0.7 * sum(x.y for x in r)
+    # some 350 toxic examples in four languages
+    assert sum(x.toxic for x in r if x.y) > 0.8 * sum(x.y for x in r)
     assert sum(x.toxic for x in r if not x.y) < 0.01 * len(r)
 
 
@@ -324,6 +357,7 @@ def test_url_membership_is_exact(spark, clash, monkeypatch, limit):
     if limit:  # too large to broadcast: filters and keys meet by shard
         monkeypatch.setattr(url_filter, "BROADCAST_BYTES", limit)
         monkeypatch.setattr(url_filter, "SHARD_BYTES", 300)
+        monkeypatch.setattr(url_filter, "SHARD_ROWS", 60)
     rows = url_rows()
     df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("page_id", "url", *[c.replace("'y' as key", "'y' as listed") for c in clash], "1 as a", "2 as b")
     keys = [r.k for r in df.select(url_filter.key_of(df.url).alias("k")).distinct().collect() if r.k is not None]
