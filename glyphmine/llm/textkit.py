@@ -34,20 +34,22 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor can read: spark.checkpoint.dir, or the one already set on the context.
+    """The folder that every executor can read, as a URI: spark.checkpoint.dir, or the one already set on the context.
 
-    Only where neither is set (tests on one machine) is one made here.
+    Where neither is set, one is made if all runs in this process (tests on one machine); on a cluster that is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(folder)
-        return folder
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="glyphmine-"))
-    return spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            import tempfile
+
+            folder = "file://" + tempfile.mkdtemp(prefix="glyphmine-")
+        context.setCheckpointDir(folder)
+    folder = context.getCheckpointDir()
+    return "file://" + folder[5:] if folder.startswith("file:/") and not folder.startswith("file://") else folder
 
 
 def small_batches(df: DataFrame) -> DataFrame:

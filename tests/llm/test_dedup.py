@@ -222,19 +222,37 @@ def test_spills_are_solved_and_removed(tmp_path):
     rng = random.Random(5)
     rows = [(k, bytes([rng.randrange(4)]) * rng.randrange(40)) for k in range(900)]
     h = exact_dedup.content_hashes(np.frombuffer(b"".join(c for _, c in rows), np.uint8), np.r_[0, np.cumsum([len(c) for _, c in rows])])
-    got = exact_dedup.solve((([i], c, int(x)) for (i, c), x in zip(rows, h, strict=True)), new_spill, 4000)
+    found = list(exact_dedup.solve(((c, int(x), exact_dedup.Group(i, 1000 - i, i, 0, 2), False) for (i, c), x in zip(rows, h, strict=True)), new_spill, 1500))
     want = defaultdict(set)
     for i, c in rows:
         want[c].add(i)
-    assert sorted(map(sorted, got)) == sorted(map(sorted, want.values()))
+    links, got = defaultdict(set), [x for x in found if isinstance(x, exact_dedup.Group)]
+    for token, first in (x for x in found if not isinstance(x, exact_dedup.Group)):
+        links[first].add(token)
+    assert sorted(map(sorted, links.values())) == sorted(map(sorted, want.values()))
+    assert all((g.n, g.least, g.of) == (2 * len(links[g.token]), 1000 - max(links[g.token]), max(links[g.token])) for g in got) and len(got) == len(want)
     assert len(made) > exact_dedup.FANOUT and not list(tmp_path.iterdir())
 
 
 def test_equal_hashes_of_other_contents_are_told_apart():
     t = exact_dedup.Table()
     for k, c in enumerate([b"a", b"b", b"a", b"c", b"b"]):
-        t.add([k], c, 7)
-    assert sorted(t.ids) == [[0, 2], [1, 4], [3]]
+        known, slot = t.find(c, 7)
+        if known:
+            known.add(k, k, 0, 1)
+        else:
+            t.put(slot, c, 7, exact_dedup.Group(k, k, k, 0, 1))
+    assert [(g.token, g.n) for g in t.groups] == [(0, 2), (1, 2), (3, 1)]
+
+
+def test_one_hot_content_is_not_held(spark):
+    """A third of the rows and more share a text; a token for each task's rows is all that meets in one place."""
+    rows = [(k, "the same text" if k % 2 else f"text {k % 50}") for k in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert Counter(tuple(r) for r in exact_dedup.groups(df).collect()) == brute_exact(rows)
+    table, hot = exact_dedup.Table(), [(b"x", 5, exact_dedup.Group(k, k, k, 0, 1), False) for k in range(1000)]
+    out = exact_dedup.solve(iter(hot), None, 10)
+    assert [next(out) for _ in range(3)] == [(0, 0), (1, 0), (2, 0)] and table.bytes == 0
 
 
 def brute_lines(rows, ratio, least):
