@@ -7,11 +7,14 @@ all rows of a batch side by side. 'fold' is the same table as a native higher-or
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from glyphmine.functions.automata import DFA, dfa
 from glyphmine.functions.regex_ast import Node, parse, to_java
@@ -33,6 +36,12 @@ def is_tame(node: Node) -> bool:
     return walk(node, False) and loops <= 2
 
 
+@lru_cache(maxsize=256)
+def compiled(pattern: str) -> DFA:
+    """The DFA of a pattern, kept by each process."""
+    return dfa(parse(pattern))
+
+
 def run_all(d: DFA, data: np.ndarray, offs: np.ndarray, prefix: bool = False) -> np.ndarray:
     """Does the DFA accept each whole text, or with ``prefix`` a prefix of it?"""
     n, dead = len(offs) - 1, len(d.table)
@@ -103,12 +112,26 @@ def register(spark: SparkSession) -> None:
     regex_substrings(text, pattern, max_length) with rows (match, cnt)."""
     from glyphmine.operators.match import substrings
 
-    spark.udf.register("text_full_match", lambda t, p: None if t is None else dfa(parse(p)).matches(t.encode()), BooleanType())
-    spark.udf.register("text_prefix_match", lambda t, p: None if t is None else bool(run_all(dfa(parse(p)), np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), True)[0]), BooleanType())
+    def by_pattern(prefix: bool):
+        @F.arrow_udf("boolean")
+        def match(text: pa.Array, pattern: pa.Array) -> pa.Array:
+            text, pattern = text.cast(pa.string()), pattern.cast(pa.string())
+            out = np.zeros(len(text), dtype=bool)
+            blank = pc.or_(text.is_null(), pattern.is_null()).to_numpy(zero_copy_only=False)
+            for p in pattern.unique().to_pylist():
+                if p is not None:
+                    rows = np.flatnonzero(pc.equal(pattern, p).fill_null(False).to_numpy(zero_copy_only=False))
+                    out[rows] = run_all(compiled(p), *kn.buffers(text.take(pa.array(rows))), prefix)
+            return pa.array(out, mask=blank)
+
+        return match
+
+    spark.udf.register("text_full_match", by_pattern(False))
+    spark.udf.register("text_prefix_match", by_pattern(True))
 
     class RegexSubstrings:
         def eval(self, text: str, pattern: str, max_length: int):
             if text is not None:
-                yield from substrings(dfa(parse(pattern)), text, max_length)
+                yield from substrings(compiled(pattern), text, max_length)
 
     spark.udtf.register("regex_substrings", F.udtf(RegexSubstrings, returnType=StructType([StructField("match", StringType()), StructField("cnt", IntegerType())])))

@@ -200,7 +200,7 @@ class _Parser:
             chars.append(c)
         if not chars:
             raise self.error("an empty class")
-        label = "[" + ("^" if negated else "") + "".join(chars) + "]"
+        label = "[" + ("^" if negated else "") + "".join("\\" + c if c in "]\\-^" else c for c in chars) + "]"
         if not negated:
             return _of_chars(set(chars), label, self.unit)
         if self.unit == "byte":
@@ -248,9 +248,10 @@ def from_postfix(text: str, unit: str = "char") -> Node:
 
 
 def to_text(node: Node) -> str:
-    """A pattern with the tree's language."""
+    """A pattern with the tree's language, for ``parse`` with the same arguments."""
     if node.kind == "atom":
-        return "\\" + node.label if node.label in tuple("()|*+?[]\\") else node.label
+        one = len(node.label) == 1 and len(node.options) == 1 and all(len(b) == 1 for b in node.options[0])
+        return "\\" + node.label if one and node.label in "()|*+?[]\\." else node.label
     if node.kind == "alt":
         return "|".join(to_text(k) for k in node.kids)
     if node.kind == "cat":
@@ -306,11 +307,10 @@ def required_literal(node: Node) -> str:
 def to_java(node: Node) -> str:
     """A Java and RE2 regular expression of the tree's language over code points (the tree was parsed with ``unit='char'``)."""
     if node.kind == "atom":
-        if node.label == ".":
-            return r"[^\x00\x01]"
-        if node.label.startswith("[^"):
-            return "[^\\x00\\x01" + "".join(f"\\x{{{ord(c):x}}}" for c in node.label[2:-1]) + "]"
-        chars = sorted({bytes(next(iter(b)) for b in o).decode() for o in node.options if len(o) > 1} | {chr(b) for o in node.options if len(o) == 1 for b in o[0]})
+        narrow = {b for o in node.options if len(o) == 1 for b in o[0]}
+        if set(_WIDE) <= set(node.options):  # all characters beyond ASCII, so it is said what is left out
+            return "[^" + "".join(f"\\x{{{b:x}}}" for b in range(128) if b not in narrow) + "]"
+        chars = sorted({bytes(next(iter(b)) for b in o).decode() for o in node.options if len(o) > 1} | {chr(b) for b in narrow})
         body = "".join(f"\\x{{{ord(c):x}}}" for c in chars)
         return body if len(chars) == 1 else f"[{body}]"
     if node.kind == "alt":

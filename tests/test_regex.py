@@ -95,25 +95,48 @@ def test_substring_goldens():
     assert dict(match.substrings(au.core_dfa(ra.parse("(a|ab)")), "abab", 0)) == {"a": 2, "ab": 2}
 
 
-patterns = st.recursive(st.sampled_from(["a", "b", "é", ".", "[ab]", "[^a]"]), lambda x: st.one_of(st.tuples(x, x).map(lambda t: t[0] + t[1]), st.tuples(x, x).map(lambda t: f"({t[0]}|{t[1]})"), x.map(lambda t: f"({t})*"), x.map(lambda t: f"({t})+"), x.map(lambda t: f"({t})?")), max_leaves=6)
+patterns = st.recursive(st.sampled_from(["a", "b", "é", ".", "[ab]", "[^a]", r"\.", r"\[", r"[\]a]", r"[a\-b]", r"[^\\b]", r"\*", r"\d", r"\w"]), lambda x: st.one_of(st.tuples(x, x).map(lambda t: t[0] + t[1]), st.tuples(x, x).map(lambda t: f"({t[0]}|{t[1]})"), x.map(lambda t: f"({t})*"), x.map(lambda t: f"({t})+"), x.map(lambda t: f"({t})?")), max_leaves=6)
 
 
 @settings(max_examples=120, deadline=None)
-@given(patterns, st.text("abé\n", max_size=8))
-def test_engines_agree(pattern, text):
-    node = ra.parse(pattern)
+@given(patterns, st.text("abé\n.]-*[3", max_size=8), st.booleans())
+def test_engines_agree(pattern, text, line_only):
+    node = ra.parse(pattern, line_only=line_only)
+    assert au.dfa(ra.parse(str(node), line_only=line_only)).matches(text.encode()) == au.dfa(node).matches(text.encode())
+    pattern = str(node) if not line_only else pattern
     java = ra.to_java(node).replace("\\x{", "\\u{")
     python = re.compile(re.sub(r"\\u\{([0-9a-f]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", java), re.S)
     want = python.fullmatch(text) is not None
     d = au.dfa(node)
     assert d.matches(text.encode()) == au.nfa(node).matches(text.encode()) == want
     assert au.dfa(ra.rewrite(node)).matches(text.encode()) == want
-    assert au.compile_dfa(str(ra.rewrite(node))).matches(text.encode()) == want
+    assert au.dfa(ra.parse(str(ra.rewrite(node)), line_only=line_only)).matches(text.encode()) == want
     raw = np.frombuffer((text * 2).encode(), np.uint8)
     offs = np.array([0, len(text.encode()), 2 * len(text.encode())])
     assert pc.run_all(d, raw, offs).tolist() == [want, want]
     assert pc.run_all(d, raw, offs, True)[0] == any(d.matches(text[:k].encode()) for k in range(len(text) + 1))
-    assert dict(match.substrings(d, text, 4)) == brute(pattern, text, 4)
+    if not line_only:
+        assert dict(match.substrings(d, text, 4)) == brute(pattern, text, 4)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.recursive(st.sampled_from(["a", "z", ".", r"\n", r"\\"]), lambda x: st.one_of(st.tuples(x, x).map(lambda t: t[0] + t[1]), x.map(lambda t: f"({t})*")), max_leaves=4), st.text("az \n\\\x7f", max_size=4))
+def test_legacy_engines_agree(pattern, text):
+    node = ra.parse(pattern, dialect="legacy")
+    python = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", ra.to_java(node)), re.S)
+    assert au.dfa(node).matches(text.encode()) == au.nfa(node).matches(text.encode()) == (python.fullmatch(text) is not None)
+
+
+def test_default_engine(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["abc", "a.c", "a\nc", "a c", "a]c", "a-c", "aéc", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for pattern, how in ((r"a\.c", {}), ("a.c", {}), ("a.c", {"line_only": True}), ("a.c", {"dialect": "legacy"}), (r"a[\]\-]c", {}), (r"a[^\]b]c", {}), (r"a\.?c*", {})):
+        rows = df.select("text", *[pc.full_match(F.col("text"), pattern, engine=e, **how).alias(e) for e in ("auto", "java", "dfa", "fold")], pc.prefix_match(F.col("text"), pattern, **how).alias("p"), pc.prefix_match(F.col("text"), pattern, engine="dfa", **how).alias("q")).collect()
+        assert all(r.auto == r.java == r.dfa == r.fold and r.p == r.q for r in rows), (pattern, how)
+    got = df.select("text", pc.full_match(F.col("text"), r"a\.c").alias("x"), pc.full_match(F.col("text"), "a.c", line_only=True).alias("y"), pc.full_match(F.col("text"), "a.c", dialect="legacy").alias("z")).collect()
+    assert [r.text for r in got if r.x] == ["a.c"] and [r.text for r in got if r.y] == ["abc", "a.c", "a c", "a]c", "a-c", "aéc"] and [r.text for r in got if r.z] == ["abc", "a.c", "a]c", "a-c"]
 
 
 def test_columns(spark):
@@ -127,6 +150,8 @@ def test_columns(spark):
 
 def test_sql_functions(spark):
     pc.register(spark)
+    many = spark.sql("select t, p, text_full_match(t, p) as m from values ('abbc', 'ab*c'), ('x', 'ab*c'), ('a.c', 'a[.]c'), (null, 'a'), ('a', null) as v(t, p)").collect()
+    assert [r.m for r in many] == [True, False, True, None, None]
     assert spark.sql("select text_full_match('abbc', 'ab*c'), text_prefix_match('xyz', 'xy'), text_full_match(null, 'a')").first()[:] == (True, True, None)
     rows = spark.sql("select * from regex_substrings('mmabcacadabbbca', 'ab+c', 0)").collect()
     assert {r[0]: r[1] for r in rows} == {"abc": 1, "abbbc": 1}
