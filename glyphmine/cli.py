@@ -23,7 +23,8 @@ def parser() -> argparse.ArgumentParser:
         x = sub.add_parser(name)
         x.add_argument("path")
         x.add_argument("pattern")
-        x.add_argument("--max-length", type=int, default=64)
+        x.add_argument("--max-length", type=int, default=0, help="characters of a match; 0 for any")
+        x.add_argument("--show", type=int, default=50, help="rows to print; the number of all is printed as well")
         x.add_argument("--context", type=int, default=20)
     x = sub.add_parser("files", help="write an index's binary files")
     x.add_argument("index")
@@ -37,7 +38,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     spark = spark or SparkSession.builder.appName("glyphmine").getOrCreate()
     if a.command == "index":
         docs = corpus.read_files(spark, a.path, a.max_size, not a.no_filter_binary)
-        store.save(docs, a.out, orientation="reversed" if a.reversed else "forward")
+        store.save(docs, a.out, text_col="data", orientation="reversed" if a.reversed else "forward")
     elif a.command == "files":
         formats.files(store.Store(spark, a.index).index(), not a.little_endian).write.mode("overwrite").parquet(a.out)
     else:
@@ -48,7 +49,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             out = search.locate(docs, a.pattern, a.context)
         else:
             out = match.regex_matches(docs, a.pattern, a.max_length)
-        out.show(50, truncate=False)
+        out = out.persist()
+        out.show(a.show, truncate=False)
+        print(f"{out.count()} rows")
 
 
 if __name__ == "__main__":

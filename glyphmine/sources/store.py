@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from glyphmine.operators.index import build_index, symbol_counts
 
 VERSION = 1
+#: Text of a bucket, and index rows of a file.
+BUCKET_BYTES, ROWS = 256 << 20, 1 << 16
 
 
 def bucket_of(doc_id, buckets: int):
@@ -15,15 +17,18 @@ def bucket_of(doc_id, buckets: int):
     return F.pmod(F.xxhash64(doc_id), F.lit(buckets)).cast("int")
 
 
-def save(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", orientation: str = "forward", buckets: int = 64, mode: str = "overwrite") -> None:
+def save(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", orientation: str = "forward", buckets: int | None = None, mode: str = "overwrite") -> None:
     """Builds and writes the index of ``docs``: tables ``index`` and ``counts``, parted by bucket, and ``manifest``.
 
-    Files are written to a temporary place and committed by Spark, so a lost executor or a failed job leaves no half index.
+    By default a bucket for every ``BUCKET_BYTES`` of text; an id of more rows than others makes one bucket larger, which is
+    then written by several tasks. Files are written to a temporary place and committed by Spark, so a lost executor or a
+    failed job leaves no half index.
     """
-    index = build_index(docs, id_col, text_col, orientation).withColumn("bucket", bucket_of("doc_id", buckets))
-    index.repartition("bucket").write.mode(mode).partitionBy("bucket").parquet(f"{folder}/index")
-    counts = symbol_counts(docs, id_col, text_col).withColumn("bucket", bucket_of("doc_id", buckets))
-    counts.repartition("bucket").write.mode(mode).partitionBy("bucket").parquet(f"{folder}/counts")
+    if buckets is None:
+        buckets = max(1, -(-(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // BUCKET_BYTES))
+    for name, rows, most in (("index", build_index(docs, id_col, text_col, orientation), ROWS), ("counts", symbol_counts(docs, id_col, text_col), 256 * ROWS)):
+        rows = rows.withColumn("bucket", bucket_of("doc_id", buckets))
+        rows.hint("rebalance", "bucket").write.option("maxRecordsPerFile", most).mode(mode).partitionBy("bucket").parquet(f"{folder}/{name}")
     docs.sparkSession.createDataFrame([(VERSION, orientation, buckets)], "version int, orientation string, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
 
 
