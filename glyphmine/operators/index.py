@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,25 +139,48 @@ def greater_than_whole(rows: DataFrame) -> DataFrame:
 
 
 def is_sorted(index: DataFrame) -> DataFrame:
-    """(doc_id, sorted): does ``sa`` list every suffix once and in order? A check of an index against its text."""
+    """(doc_id, sorted): does ``sa`` list every suffix once and in order? A check of an index against its text, in linear time.
+
+    Nothing is sorted again: neighbours must have their first bytes in order, and where these are equal, the suffixes one
+    byte shorter must be in order by the ranks that ``sa`` itself gives them.
+    """
 
     @F.arrow_udf("boolean")
     def ok(data: pa.Array, sa: pa.Array) -> pa.Array:
-        out = []
-        for d, a in zip(data.to_pylist(), sa.to_pylist(), strict=True):
-            own, offs = np.frombuffer(d, np.uint8), np.array([0, len(d)])
-            out.append(a == kn.Suffixes(own, offs).array().tolist())
-        return pa.array(out, pa.bool_())
+        raw, offs = kn.buffers(data)
+        values, at = sa.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(sa), 0).to_numpy(zero_copy_only=False))]
+        return pa.array([in_order(raw[offs[k] : offs[k + 1]], values[at[k] : at[k + 1]]) for k in range(len(data))], pa.bool_())
 
     return index.select("doc_id", ok("data", "sa").alias("sorted"))
 
 
+def in_order(data: np.ndarray, sa: np.ndarray) -> bool:
+    """Is ``sa`` the suffix array, the empty suffix included?"""
+    n = len(data)
+    if len(sa) != n + 1 or sa[0] != n or (sa < 0).any() or (sa > n).any() or (np.bincount(sa, minlength=n + 1) != 1).any():
+        return False
+    rank = np.empty(n + 2, dtype=np.int64)
+    rank[sa] = np.arange(n + 1)
+    first, then = data[sa[1:]].astype(np.int64), rank[sa[1:] + 1]
+    return bool(((first[1:] > first[:-1]) | (first[1:] == first[:-1]) & (then[1:] > then[:-1])).all())
+
+
 def texts_of(index: DataFrame) -> DataFrame:
     """(doc_id, data): the texts as the BWTs give them back."""
 
     @F.arrow_udf("binary")
     def text(bwt: pa.Array, eof: pa.Array) -> pa.Array:
-        return pa.array([kn.inverse_bwt(b, e) for b, e in zip(bwt.to_pylist(), eof.to_pylist(), strict=True)], pa.binary())
+        out: list[bytes] = []
+        ends = eof.to_numpy(zero_copy_only=False)
+        for lo, hi in kn.passes(kn.buffers(bwt)[1], kn.SORT_BYTES):
+            data, first = kn.buffers(bwt.slice(lo, hi - lo))
+            if hi - lo == 1 and len(data) > 2 * kn.SORT_BYTES:  # beyond the cache a walk is faster
+                out.append(kn.inverse_bwt(data.tobytes(), int(ends[lo])))
+                continue
+            raw, offs = kn.inverse_bwts(data, first, ends[lo:hi])
+            raw = raw.tobytes()
+            out += [raw[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        return pa.array(out, pa.binary())
 
     return index.select("doc_id", text("bwt", "eof").alias("data"))
 

@@ -167,6 +167,45 @@ def inverse_bwt(bwt: bytes, eof: int) -> bytes:
     return bytes(out)
 
 
+def inverse_bwts(bwt: np.ndarray, first: np.ndarray, eof: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the texts of many BWTs side by side; ``first``: where each begins, ``eof``: ranks of end marks.
+
+    How far a suffix is from the empty one is found by pointer jumping along psi, in as many rounds as the longest text's length has bits.
+    """
+    size = np.diff(first)
+    text = np.repeat(np.arange(len(size)), size)
+    code = bwt.astype(np.int64) + 1
+    code[first[:-1] + eof] = 0
+    ahead = np.argsort(text << 9 | code, kind="stable")
+    ahead[first[:-1]] = first[:-1]  # the empty suffix is the last one
+    left = np.ones(len(bwt), dtype=np.int64)
+    left[first[:-1]] = 0
+    for _ in range(int(size.max(initial=1)).bit_length()):
+        left += left[ahead]
+        ahead = ahead[ahead]
+    offs = np.r_[0, np.cumsum(size - 1)]
+    out = np.empty(int(offs[-1]), dtype=np.uint8)
+    inner = code > 0  # the byte before a suffix that is ``left`` bytes long
+    out[(offs[1:][text] - left - 1)[inner]] = bwt[inner]
+    return out, offs
+
+
+def search_by_counting(bwt: bytes, eof: int, pattern: bytes) -> tuple[int, int] | None:
+    """``Ranks.search`` for one pattern: counts bytes where it needs them and sorts nothing."""
+    sp, ep = 0, len(bwt)
+    below = np.cumsum(np.bincount(np.frombuffer(bwt, np.uint8), minlength=256)) if pattern else None
+    for c in reversed(pattern):
+        # the cell of the end mark holds a 0 that doesn't count as one
+        less = 1 + (int(below[c - 1]) - 1 if c else 0)
+        a, b = bwt.count(c, 0, sp), bwt.count(c, 0, ep)
+        if not c:
+            a, b = a - (eof < sp), b - (eof < ep)
+        sp, ep = less + a, less + b
+        if sp >= ep:
+            return None
+    return sp, ep
+
+
 class Ranks:
     """Rank queries on one text's BWT: ``occ`` counts a symbol up to and including a rank."""
 

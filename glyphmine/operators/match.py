@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -98,16 +99,42 @@ def hybrid_matches(df: DataFrame, pattern: str, max_length: int = 0, postings: D
     return regex_matches(df, pattern, max_length, False, id_col, text_col, **how)
 
 
+def ngrams(texts: pa.Array, n: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(gram, row, count) of the distinct n-grams of code points of each text."""
+    data, offs = kn.buffers(texts)
+    begins = (data & 0xC0) != 0x80
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    upto = np.r_[0, np.cumsum(begins)][offs]  # code points before each text
+    known, code = np.unique(points, return_inverse=True)
+    size = np.diff(upto)
+    row = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(points))
+    whole = np.flatnonzero(at + n <= upto[1:][row]) if len(at) else at
+    gram = np.zeros(len(whole), dtype=np.int64)
+    wide = max(1, len(known))
+    for k in range(n):
+        if wide * max(1, int(gram.max(initial=0)) + 1) > 1 << 62:  # numbers of the grams so far instead of the grams
+            gram = np.unique(gram, return_inverse=True)[1]
+        gram = gram * wide + code[whole + k]
+    distinct, sample, gram = np.unique(gram, return_index=True, return_inverse=True)
+    key, cnt = np.unique(row[whole] * max(1, len(distinct)) + gram, return_counts=True)
+    # each distinct gram's text, from a place where it is
+    cut = np.r_[np.flatnonzero(begins), len(data)]
+    first, end = cut[whole[sample]], cut[whole[sample] + n]
+    length = end - first
+    body = data[np.repeat(first - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(int(length.sum()))] if len(length) else data[:0]
+    texts_of = pa.StringArray.from_buffers(len(distinct), pa.py_buffer(np.r_[0, np.cumsum(length)].astype(np.int32).tobytes()), pa.py_buffer(body.tobytes()))
+    return texts_of.take(pa.array(key % max(1, len(distinct)))), key // max(1, len(distinct)), cnt
+
+
 def ngram_postings(df: DataFrame, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(gram, doc_id, cnt): the distinct n-grams of code points of each text with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                t = batch.column(1)[k].as_py()
-                found = Counter(t[i : i + n] for i in range(len(t) - n + 1))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), batch.column(0).take(pa.array([k] * len(found))), pa.array(list(found.values()), pa.int64())], names=["gram", "doc_id", "cnt"])
+            for lo, hi in kn.passes(kn.buffers(batch.column(1))[1]):
+                grams, row, cnt = ngrams(batch.column(1).slice(lo, hi - lo), n)
+                yield pa.RecordBatch.from_arrays([grams, batch.column(0).slice(lo, hi - lo).take(pa.array(row)), pa.array(cnt)], names=["gram", "doc_id", "cnt"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     return rows.mapInArrow(run, "gram string, doc_id long, cnt long")
@@ -121,16 +148,17 @@ def ngram_counts(df: DataFrame, n: int = 3, id_col: str = "doc_id", text_col: st
 def search_index(ranks: kn.Ranks, d: DFA, max_length: int, max_iterations: int, max_branching: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
     """((length, sp, ep) of the accepted intervals, (state, length, sp, ep) of those that a bound left unfinished).
 
-    The index is of the text backwards, so a step of backward search goes forward in the text.
+    The index is of the text backwards, so a step of backward search goes forward in the text. The longest interval that
+    waits is extended first, of equally long ones the one that came first: a bounded search finds whole matches early.
     """
-    front: list[tuple[int, int, int, int]] = [(0, 0, 0, ranks.n)]
+    front: list[tuple[int, int, int, int, int, int]] = [(0, 0, 0, 0, 0, ranks.n)]
     out: set[tuple[int, int, int]] = set()
-    steps = 0
+    steps = came = 0
     while front:
         if (max_iterations and steps >= max_iterations) or (max_branching and len(front) > max_branching):
-            return sorted(out), front
+            return sorted(out), [x[2:] for x in sorted(front)]
         steps += 1
-        s, n, sp, ep = front.pop(0)
+        _, _, s, n, sp, ep = heappop(front)
         for c in ranks.distinct(sp, ep):
             t = int(d.table[s, c])
             if t < 0 or (got := ranks.before(sp, ep, c)) is None:
@@ -138,7 +166,8 @@ def search_index(ranks: kn.Ranks, d: DFA, max_length: int, max_iterations: int,
             if d.final[t]:
                 out.add((n + 1, *got))
             if not max_length or n + 1 < max_length:
-                front.append((t, n + 1, *got))
+                came += 1
+                heappush(front, (-n - 1, came, t, n + 1, *got))
     return sorted(out), []
 
 
@@ -167,6 +196,26 @@ def index_matches(index: DataFrame, pattern: str, max_length: int = 0, max_itera
     return index.select("doc_id", "data", "sa", "bwt", "eof").mapInArrow(run, schema)
 
 
+def index_tips(index: DataFrame, pattern: str, max_length: int = 0, max_iterations: int = 0, max_branching: int = 0, **how) -> DataFrame:
+    """(doc_id, prefix, len, state, sp, ep, cnt): what a bounded ``index_matches`` leaves unfinished, to go on from or to report.
+
+    ``prefix`` is what an interval has read so far and ``state`` where the automaton is. A search that ends by itself has none.
+    """
+    d = dfa(parse(pattern, **how))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k, (data, sa, bwt, eof) in enumerate(zip(*(batch.column(x).to_pylist() for x in (1, 2, 3, 4)), strict=True)):
+                _, rest = search_index(kn.Ranks(np.frombuffer(bwt, np.uint8), eof), d, max_length, max_iterations, max_branching)
+                rows += [(k, data[sa[sp] : sa[sp] + n][::-1].decode(errors="replace"), n, s, sp, ep, ep - sp) for s, n, sp, ep in rest]
+            k, *cols = zip(*rows, strict=True) if rows else ((),) * 7
+            kinds = (pa.string(), *[pa.int32()] * 5)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(k, pa.int64())), *(pa.array(x, t) for x, t in zip(cols, kinds, strict=True))], names=["doc_id", "prefix", "len", "state", "sp", "ep", "cnt"])
+
+    return index.select("doc_id", "data", "sa", "bwt", "eof").mapInArrow(run, "doc_id long, prefix string, len int, state int, sp int, ep int, cnt int")
+
+
 def result_text(matches: DataFrame) -> DataFrame:
     """``matches`` with ``shown``: '[n Results] match', the match alone if it is the only one, '[no results]' for none."""
     return matches.withColumn("shown", F.when(F.col("cnt") == 0, "[no results]").when(F.col("cnt") == 1, F.col("match")).otherwise(F.concat(F.lit("["), F.col("cnt").cast("string"), F.lit(" Results] "), F.col("match"))))

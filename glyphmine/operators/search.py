@@ -52,7 +52,7 @@ def interval(index: DataFrame, pattern: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [kn.Ranks(np.frombuffer(b, np.uint8), e).search(pattern) for b, e in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            got = [kn.search_by_counting(b, e, pattern) for b, e in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             rows = [k for k, g in enumerate(got) if g]
             sp, ep = (np.array([got[k][x] for k in rows], dtype=np.int32) for x in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(sp), pa.array(ep), pa.array((ep - sp).astype(np.int32))], names=["doc_id", "sp", "ep", "cnt"])
@@ -60,6 +60,39 @@ def interval(index: DataFrame, pattern: bytes) -> DataFrame:
     return index.select("doc_id", "bwt", "eof").mapInArrow(run, "doc_id long, sp int, ep int, cnt int")
 
 
+def interval_places(index: DataFrame, pattern: bytes) -> DataFrame:
+    """(doc_id, n, place): where the suffixes of ``interval`` begin, read from ``sa`` in the same pass; ``n`` is the text's length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sa, rows, places = batch.column(3), [], [np.zeros(0, np.int32)]
+            values, at = sa.flatten().to_numpy(zero_copy_only=False), sa.offsets.to_numpy() - sa.offsets[0].as_py()
+            for k, (b, e) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if got := kn.search_by_counting(b, e, pattern):
+                    rows += [k] * (got[1] - got[0])
+                    places.append(values[at[k] + got[0] : at[k] + got[1]])
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(4).take(take), pa.array(np.concatenate(places).astype(np.int32))], names=["doc_id", "n", "place"])
+
+    return index.select("doc_id", "bwt", "eof", "sa", "n").mapInArrow(run, "doc_id long, n int, place int")
+
+
+def previous_bytes(index: DataFrame, sp: int, ep: int, least: int = 0, most: int = 255) -> DataFrame:
+    """(doc_id, c, sp, ep): for every byte from ``least`` to ``most`` before a suffix of the ranks [sp, ep), the ranks of the suffixes with it in front."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k, (b, e) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                ranks = kn.Ranks(np.frombuffer(b, np.uint8), e)
+                hi = min(ep, ranks.n)
+                rows += [(k, c, *got) for c in ranks.distinct(sp, hi) if least <= c <= most and (got := ranks.before(sp, hi, c))]
+            k, *cols = zip(*rows, strict=True) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(k, pa.int64())), *(pa.array(x, pa.int32()) for x in cols)], names=["doc_id", "c", "sp", "ep"])
+
+    return index.select("doc_id", "bwt", "eof").mapInArrow(run, "doc_id long, c int, sp int, ep int")
+
+
 def backward_steps(index: DataFrame, pattern: bytes) -> DataFrame:
     """(doc_id, step, c, sp, ep): the interval after each byte of ``pattern`` from its end on, until it is empty."""
 

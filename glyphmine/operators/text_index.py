@@ -39,9 +39,8 @@ class TextIndex:
     def locate(self, pattern: str) -> DataFrame:
         """(doc_id, start, stop): every occurrence, in bytes of the text as it reads."""
         n = len(pattern.encode())
-        found = search.interval(self.rows, self._bytes(pattern)).join(self.rows.select("doc_id", "n", "sa"), "doc_id")
-        at = found.select("doc_id", "n", F.explode(F.slice("sa", F.col("sp") + 1, F.col("cnt"))).alias("p"))
-        start = F.col("n") - F.col("p") - n if self.orientation == "reversed" else F.col("p")
+        at = search.interval_places(self.rows, self._bytes(pattern))
+        start = F.col("n") - F.col("place") - n if self.orientation == "reversed" else F.col("place")
         return at.select("doc_id", start.alias("start"), (start + n).alias("stop"))
 
     def extract(self, rank: int, length: int) -> DataFrame:

@@ -33,10 +33,9 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often a word occurs in each document, where first, and what stands around it."""
-    docs = documents(spark, sf_dir)
     first = F.instr("text", WORD)
-    around = docs.where(F.col("text").contains(WORD)).select("doc_id", (first - 1).alias("start"), F.substring("text", F.greatest(first - 10, F.lit(1)), F.lit(24)).alias("context"))
-    return search.count(docs, WORD).join(around, "doc_id")
+    cnt = F.regexp_count("text", F.lit(f"(?={WORD})")).cast("long")
+    return documents(spark, sf_dir).where(F.col("text").contains(WORD)).select("doc_id", cnt.alias("cnt"), (first - 1).alias("start"), F.substring("text", F.greatest(first - 10, F.lit(1)), F.lit(24)).alias("context"))
 
 
 def literal_count(spark, sf_dir):
@@ -78,7 +77,12 @@ def text_from_bwt(spark, sf_dir):
 
 
 def index_is_sorted(spark, sf_dir):
-    return index.is_sorted(index.build_index(documents(spark, sf_dir)))
+    """Of each index, and of the same with its first two ranks exchanged."""
+    built = index.build_index(documents(spark, sf_dir)).select("doc_id", "data", "sa")
+    n = F.size("sa")
+    wrong = F.when(n < 2, F.col("sa")).otherwise(F.concat(F.array(F.col("sa")[1], F.col("sa")[0]), F.slice("sa", 3, F.greatest(n - 2, F.lit(0)))))
+    both = built.select("doc_id", "data", "sa", F.lit(False).alias("exchanged")).union(built.select("doc_id", "data", wrong, F.lit(True)))
+    return index.is_sorted(both.withColumn("doc_id", F.struct("doc_id", "exchanged"))).select("doc_id.doc_id", "doc_id.exchanged", "sorted")
 
 
 def index_literal_count(spark, sf_dir):
@@ -97,6 +101,21 @@ def occ_at_rank(spark, sf_dir):
     return search.occ(index.build_index(parts(spark, sf_dir)), ord("e"), 7)
 
 
+def previous_bytes(spark, sf_dir):
+    return search.previous_bytes(index.build_index(parts(spark, sf_dir)), 2, 7, ord("a"), ord("r"))
+
+
+def literal_places_by_index(spark, sf_dir):
+    return search.interval_places(index.build_index(parts(spark, sf_dir)), b"ol").select("doc_id", "place")
+
+
+def utf16_bytes(spark, sf_dir):
+    """Symbol counts of content that isn't UTF-8: every text in UTF-16, with its NULs, ones and 255s escaped."""
+    docs = documents(spark, sf_dir).where(F.col("text").isNotNull())
+    content = docs.select("doc_id", corpus.escape_bytes(F.encode("text", "UTF-16BE")).alias("data"))
+    return index.symbol_counts(content, text_col="data").select("doc_id", "c", "cnt")
+
+
 def extract_at_rank(spark, sf_dir):
     return search.extract(index.build_index(parts(spark, sf_dir)), 5, 4).select("doc_id", F.decode("next", "utf-8").alias("next"), F.decode("prev", "utf-8").alias("prev"))
 
@@ -157,7 +176,7 @@ def regex_prefix_match(spark, sf_dir):
 
 
 def regex_substrings(spark, sf_dir):
-    return match.regex_matches(documents(spark, sf_dir), "(a|b)[a-z]*t", max_length=8)
+    return match.regex_matches(documents(spark, sf_dir), "(a|b)[a-z]*t")
 
 
 def regex_core_substrings(spark, sf_dir):
@@ -166,11 +185,22 @@ def regex_core_substrings(spark, sf_dir):
 
 def regex_hybrid(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return match.hybrid_matches(docs, "[a-z]*idiot[a-z]*", max_length=12)
+    return match.hybrid_matches(docs, "[a-z]*idiot[a-z]*")
+
+
+def regex_hybrid_postings(spark, sf_dir):
+    """The same by way of an index of trigrams."""
+    docs = documents(spark, sf_dir)
+    return match.hybrid_matches(docs, "[a-z]*idiot[a-z]*", postings=match.ngram_postings(docs))
+
+
+def regex_escaped(spark, sf_dir):
+    """An escaped dot on the default engine."""
+    return documents(spark, sf_dir).select("doc_id", pattern_columns.full_match(F.col("text"), r".*[a-z]\. T.*").alias("matched"), pattern_columns.prefix_match(F.col("text"), r"[^.\]]*e\.").alias("begins"))
 
 
 def regex_on_index(spark, sf_dir):
-    found = match.index_matches(index.build_index(parts(spark, sf_dir), orientation="reversed"), "(a|b|e)[a-z]*n", max_length=6)
+    found = match.index_matches(index.build_index(parts(spark, sf_dir), orientation="reversed"), "(a|b|e)[a-z]*n")
     return match.result_text(found).select("doc_id", "match", "len", "cnt", "truncated", "shown")
 
 
@@ -220,12 +250,17 @@ def joined_corpus(spark, sf_dir):
     return corpus.joined(docs.withColumn("text", corpus.escape(F.col("text"))), F.col("source"))
 
 
+def corpus_pieces(spark, sf_dir):
+    """The joint text of each source as a relation."""
+    return corpus.pieces(table(spark, sf_dir, "documents"), F.col("source"))
+
+
 def binary_texts(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", corpus.is_binary(F.encode("text", "utf-8")).alias("is_binary"))
 
 
 def index_files(spark, sf_dir):
-    return formats.files(index.build_index(parts(spark, sf_dir))).select("doc_id", "kind", F.length("content").alias("bytes"))
+    return formats.files(index.build_index(parts(spark, sf_dir))).select("doc_id", "kind", F.hex("content").alias("content"))
 
 
 def suffix_table_documents(spark, sf_dir):
@@ -275,9 +310,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         flagship, literal_count, literal_locate, byte_histogram, document_symbol_counts, suffix_table, suffix_table_reversed, suffix_greater_than_whole, document_index, text_from_bwt, index_is_sorted,
-        index_literal_count, interval_search, backward_search_steps, occ_at_rank, extract_at_rank, first_byte_at_rank, text_tail, int_suffix_array, global_suffixes, global_bwt, global_suffixes_documents, global_bwt_documents,
-        regex_full_match, regex_full_match_fold, regex_full_match_documents, regex_full_match_native, regex_prefix_match, regex_substrings, regex_core_substrings, regex_hybrid, regex_on_index, ngram_counts,
-        dfa_buckets, regex_postfix, regex_rewrites, kmp_borders, gamma_length, suffix_types, pretty_bytes, joined_corpus, binary_texts, index_files,
+        index_literal_count, previous_bytes, literal_places_by_index, utf16_bytes, interval_search, backward_search_steps, occ_at_rank, extract_at_rank, first_byte_at_rank, text_tail, int_suffix_array, global_suffixes, global_bwt, global_suffixes_documents, global_bwt_documents,
+        regex_full_match, regex_full_match_fold, regex_full_match_documents, regex_full_match_native, regex_prefix_match, regex_substrings, regex_core_substrings, regex_hybrid, regex_hybrid_postings, regex_escaped, regex_on_index, ngram_counts,
+        dfa_buckets, regex_postfix, regex_rewrites, kmp_borders, gamma_length, suffix_types, pretty_bytes, joined_corpus, corpus_pieces, binary_texts, index_files,
         suffix_table_documents, suffix_table_reversed_documents, suffix_greater_than_whole_documents, interval_search_documents, backward_search_steps_documents, occ_at_rank_documents, extract_at_rank_documents, first_byte_at_rank_documents,
         regex_on_index_documents, index_files_documents,
     )
@@ -293,6 +328,10 @@ _ROWS = f"WITH s AS ({_SUFFIX}), b AS (SELECT s.*, CASE WHEN pos > 0 THEN ascii(
 _INTERVAL = "SELECT doc_id, CAST(min(rank) AS INTEGER) AS sp, CAST(max(rank) + 1 AS INTEGER) AS ep, CAST(count(*) AS INTEGER) AS cnt FROM s WHERE starts_with(substring(text, pos + 1), '{p}') GROUP BY doc_id"
 _JOINT = "j AS (SELECT string_agg(s_name || chr(1), '' ORDER BY s_suppkey) AS t FROM supplier), st AS (SELECT s_suppkey AS doc_id, s_name AS text, coalesce(sum(length(s_name) + 1) OVER (ORDER BY s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM supplier), g AS (SELECT doc_id, text, pos, CAST(start + pos AS BIGINT) AS p0 FROM (SELECT *, unnest(range(0, length(text) + 1)) AS pos FROM st)), r AS (SELECT doc_id, text, pos, row_number() OVER (ORDER BY substring((SELECT t FROM j), p0 + 1)) - 1 AS rank FROM g)"
 _ANY = r"[^\x00\x01]"
+#: Every distinct substring of the runs of small letters that a pattern of such letters matches.
+_RUNS = "SELECT doc_id, m AS match, CAST(length(m) AS INTEGER) AS len, CAST(count(*) AS INTEGER) AS cnt{more} FROM (SELECT doc_id, substring(w, i, l) AS m FROM (SELECT doc_id, w, i, unnest(range(1, length(w) - i + 2)) AS l FROM (SELECT doc_id, w, unnest(range(1, length(w) + 1)) AS i FROM (SELECT {id} AS doc_id, unnest(regexp_extract_all({text}, '[a-z]+')) AS w FROM {table} WHERE {where})))) WHERE regexp_full_match(m, '{pattern}', 's') GROUP BY doc_id, m"
+
+_SUFFIX_TABLE = f"{_ROWS} SELECT b.doc_id, CAST(b.rank AS INTEGER) AS rank, CAST(b.pos AS INTEGER) AS pos, CAST(b.c AS INTEGER) AS c, CAST(nx.rank AS INTEGER) AS psi, CAST(pv.rank AS INTEGER) AS lf, CAST(CASE WHEN b.rank < length(b.text) THEN len(list_filter(range(1, length(b.text) + 1), lambda k: length(substring(b.text, b.pos + 1)) >= k AND length(substring(b.text, nr.pos + 1)) >= k AND substring(b.text, b.pos + 1, k) = substring(b.text, nr.pos + 1, k))) END AS INTEGER) AS lcp, CAST(CASE WHEN b.c IS NOT NULL THEN row_number() OVER (PARTITION BY b.doc_id, b.c ORDER BY b.rank) END AS INTEGER) AS occ FROM b JOIN b nx ON nx.doc_id = b.doc_id AND nx.pos = (b.pos + 1) % (length(b.text) + 1) JOIN b pv ON pv.doc_id = b.doc_id AND pv.pos = (b.pos + length(b.text)) % (length(b.text) + 1) LEFT JOIN b nr ON nr.doc_id = b.doc_id AND nr.rank = b.rank + 1"
 
 ORACLE_SQL = {
     "flagship": f"SELECT doc_id, count(*) AS cnt, min(i) - 1 AS start, any_value(substring(text, CASE WHEN f > 11 THEN f - 10 ELSE 1 END, 24)) AS context FROM (SELECT *, min(i) OVER (PARTITION BY doc_id) AS f FROM ({_AT})) GROUP BY doc_id",
@@ -300,11 +339,11 @@ ORACLE_SQL = {
     "literal_locate": f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS start, CAST(i + {len(WORD) - 1} AS INTEGER) AS stop, substring(text, greatest(i - 8, 1), least(i - 1, 8)) AS before, substring(text, i + {len(WORD)}, 8) AS after FROM ({_AT})",
     "byte_histogram": f"SELECT CAST(c AS INTEGER) AS c, CAST(sum(cnt) AS BIGINT) AS cnt, CAST(coalesce(sum(sum(cnt)) OVER (ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM ({_BYTES}) GROUP BY c",
     "document_symbol_counts": f"SELECT doc_id, CAST(c AS INTEGER) AS c, cnt, CAST(coalesce(sum(cnt) OVER (PARTITION BY doc_id ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM ({_BYTES})",
-    "suffix_table": f"{_ROWS} SELECT b.doc_id, CAST(b.rank AS INTEGER) AS rank, CAST(b.pos AS INTEGER) AS pos, CAST(b.c AS INTEGER) AS c, CAST(nx.rank AS INTEGER) AS psi, CAST(pv.rank AS INTEGER) AS lf, CAST(CASE WHEN b.rank < length(b.text) THEN len(list_filter(range(1, length(b.text) + 1), lambda k: length(substring(b.text, b.pos + 1)) >= k AND length(substring(b.text, nr.pos + 1)) >= k AND substring(b.text, b.pos + 1, k) = substring(b.text, nr.pos + 1, k))) END AS INTEGER) AS lcp, CAST(CASE WHEN b.c IS NOT NULL THEN row_number() OVER (PARTITION BY b.doc_id, b.c ORDER BY b.rank) END AS INTEGER) AS occ FROM b JOIN b nx ON nx.doc_id = b.doc_id AND nx.pos = (b.pos + 1) % (length(b.text) + 1) JOIN b pv ON pv.doc_id = b.doc_id AND pv.pos = (b.pos + length(b.text)) % (length(b.text) + 1) LEFT JOIN b nr ON nr.doc_id = b.doc_id AND nr.rank = b.rank + 1",
+    "suffix_table": _SUFFIX_TABLE,
     "suffix_table_reversed": "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY substring(text, pos + 1)) - 1 AS INTEGER) AS rank, CAST(pos AS INTEGER) AS pos FROM (SELECT p_partkey AS doc_id, reverse(p_name) AS text, unnest(range(0, length(p_name) + 1)) AS pos FROM part)",
     "suffix_greater_than_whole": f"WITH s AS ({_SUFFIX}) SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(rank - 1 AS INTEGER) AS rank, substring(text, pos + 1) > text AS greater FROM s WHERE rank > 0",
     "text_from_bwt": "SELECT doc_id, text FROM documents WHERE text IS NOT NULL",
-    "index_is_sorted": "SELECT doc_id, true AS sorted FROM documents WHERE text IS NOT NULL",
+    "index_is_sorted": "SELECT doc_id, exchanged, NOT exchanged OR text = '' AS sorted FROM documents, (VALUES (false), (true)) x(exchanged) WHERE text IS NOT NULL",
     "index_literal_count": f"SELECT doc_id, CAST(count(*) AS INTEGER) AS cnt FROM ({_AT}) GROUP BY doc_id",
     "interval_search": f"WITH s AS ({_SUFFIX}) " + _INTERVAL.format(p="ol"),
     "backward_search_steps": f"WITH s AS ({_SUFFIX}), one AS ({_INTERVAL.format(p='l')}), two AS ({_INTERVAL.format(p='ol')}) SELECT doc_id, 1 AS step, {ord('l')} AS c, sp, ep FROM one UNION ALL SELECT doc_id, 2, {ord('o')}, sp, ep FROM two",
@@ -320,10 +359,12 @@ ORACLE_SQL = {
     "regex_full_match_documents": f"SELECT doc_id, regexp_full_match(text, '{_ANY}*(idiot|trash){_ANY}*', 's') AS matched FROM documents",
     "regex_full_match_native": f"SELECT doc_id, regexp_full_match(text, '(T|A|O){_ANY}*e{_ANY}', 's') AS matched FROM documents",
     "regex_prefix_match": f"SELECT doc_id, regexp_matches(text, '^(?:(T|A)[a-z]+ {_ANY}*ing)', 's') AS matched FROM documents",
-    "regex_substrings": "SELECT doc_id, m AS match, CAST(length(m) AS INTEGER) AS len, CAST(count(*) AS INTEGER) AS cnt FROM (SELECT doc_id, left(w, l) AS m FROM (SELECT doc_id, w, unnest(range(2, length(w) + 1)) AS l FROM (SELECT doc_id, substring(text, i, 8) AS w FROM (SELECT doc_id, text, unnest(list_filter(range(1, length(text) + 1), lambda i: substring(text, i, 1) IN ('a', 'b'))) AS i FROM documents)))) WHERE regexp_full_match(m, '(a|b)[a-z]*t', 's') GROUP BY doc_id, m",
+    "regex_substrings": _RUNS.format(id="doc_id", text="text", table="documents", where="true", pattern="(a|b)[a-z]*t", more=""),
     "regex_core_substrings": "SELECT doc_id, m AS match, 3 AS len, CAST(count(*) AS INTEGER) AS cnt FROM (SELECT doc_id, substring(text, i, 3) AS m FROM (SELECT doc_id, text, unnest(list_filter(range(1, length(text) - 1), lambda i: substring(text, i, 3) IN ('ale', 'ble'))) AS i FROM documents)) GROUP BY doc_id, m",
-    "regex_hybrid": "SELECT doc_id, m AS match, CAST(length(m) AS INTEGER) AS len, CAST(count(*) AS INTEGER) AS cnt FROM (SELECT doc_id, left(w, l) AS m FROM (SELECT doc_id, w, unnest(range(1, length(w) + 1)) AS l FROM (SELECT doc_id, substring(text, i, 12) AS w FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents WHERE contains(text, 'idiot'))))) WHERE regexp_full_match(m, '[a-z]*idiot[a-z]*', 's') GROUP BY doc_id, m",
-    "regex_on_index": "SELECT doc_id, m AS match, CAST(length(m) AS INTEGER) AS len, CAST(count(*) AS INTEGER) AS cnt, false AS truncated, CASE WHEN count(*) = 1 THEN m ELSE '[' || count(*) || ' Results] ' || m END AS shown FROM (SELECT doc_id, left(w, l) AS m FROM (SELECT doc_id, w, unnest(range(1, length(w) + 1)) AS l FROM (SELECT p_partkey AS doc_id, substring(p_name, i, 6) AS w FROM (SELECT p_partkey, p_name, unnest(range(1, length(p_name) + 1)) AS i FROM part)))) WHERE regexp_full_match(m, '(a|b|e)[a-z]*n', 's') GROUP BY doc_id, m",
+    "regex_hybrid": _RUNS.format(id="doc_id", text="text", table="documents", where="contains(text, 'idiot')", pattern="[a-z]*idiot[a-z]*", more=""),
+    "regex_hybrid_postings": _RUNS.format(id="doc_id", text="text", table="documents", where="contains(text, 'idiot')", pattern="[a-z]*idiot[a-z]*", more=""),
+    "regex_escaped": f"SELECT doc_id, regexp_full_match(text, '{_ANY}*[a-z]\\. T{_ANY}*', 's') AS matched, regexp_matches(text, '^(?:[^.\\]\\x00\\x01]*e\\.)', 's') AS begins FROM documents",
+    "regex_on_index": _RUNS.format(id="p_partkey", text="p_name", table="part", where="true", pattern="(a|b|e)[a-z]*n", more=", false AS truncated, CASE WHEN count(*) = 1 THEN m ELSE '[' || count(*) || ' Results] ' || m END AS shown"),
     "ngram_counts": "SELECT gram, count(*) AS docs, CAST(sum(k) AS BIGINT) AS cnt FROM (SELECT doc_id, gram, count(*) AS k FROM (SELECT doc_id, a || lead(a) OVER w || lead(a, 2) OVER w AS gram FROM (SELECT doc_id, unnest(string_split(text, '')) AS a, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE text <> '') WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE gram IS NOT NULL GROUP BY doc_id, gram) GROUP BY gram",
     "dfa_buckets": "SELECT * FROM (VALUES (0, 99, 100, 1, false), (0, 102, 102, 1, false), (0, 107, 109, 1, false), (1, 98, 98, 2, false), (1, 99, 99, 3, true), (2, 98, 98, 2, false), (2, 99, 99, 3, true)) t(state, lo, hi, next, is_final)",
     "regex_postfix": "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{x}')" for p, x in _POSTFIX.items()) + ") t(pattern, postfix)",
@@ -334,5 +375,16 @@ ORACLE_SQL = {
     "pretty_bytes": f"SELECT DISTINCT CAST(c AS INTEGER) AS c, CASE WHEN c BETWEEN 32 AND 126 THEN chr(CAST(c AS INTEGER)) ELSE lpad(hex(c), 2, '0') END AS shown FROM ({_BYTES})",
     "joined_corpus": r"SELECT source AS grp, string_agg(replace(replace(replace(text, chr(0), '\0'), chr(1), '\1'), 'ÿ', '\f') || chr(1), '' ORDER BY doc_id) AS text FROM documents GROUP BY source",
     "binary_texts": "SELECT doc_id, CASE WHEN strlen(text) > 0 THEN regexp_matches(left(hex(encode(text)), 2048), '^(?:..)*00') END AS is_binary FROM documents",
-    "index_files": "SELECT p_partkey AS doc_id, kind, CAST(CASE kind WHEN 'bwt' THEN 17 + length(p_name) WHEN 'aux' THEN 2048 WHEN 'fm' THEN 13 + 4 * length(p_name) WHEN 'sa' THEN 4 + 4 * length(p_name) ELSE 4 * length(p_name) END AS INTEGER) AS bytes FROM part, (VALUES ('bwt'), ('aux'), ('fm'), ('sa'), ('lcp')) k(kind)",
+    "index_files": f"WITH t AS ({_SUFFIX_TABLE}), e AS (SELECT doc_id, count(*) AS n, max(CASE WHEN c IS NULL THEN rank END) AS eof FROM t GROUP BY doc_id), "
+    "x AS (SELECT *, coalesce(c, lag(c) OVER w, lead(c) OVER w, 0) AS cell FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY rank)), k AS (SELECT doc_id, c, count(*) AS m FROM t GROUP BY doc_id, c) "
+    "SELECT doc_id, 'sa' AS kind, string_agg(lpad(hex(pos), 8, '0'), '' ORDER BY rank) AS content FROM t GROUP BY doc_id "
+    "UNION ALL SELECT doc_id, 'lcp', coalesce(string_agg(lpad(hex(lcp), 8, '0'), '' ORDER BY rank) FILTER (lcp IS NOT NULL), '') FROM t GROUP BY doc_id "
+    "UNION ALL SELECT doc_id, 'fm', '04' || lpad(hex(count(*)), 16, '0') || string_agg(lpad(hex(psi), 8, '0'), '' ORDER BY rank) FROM t GROUP BY doc_id "
+    "UNION ALL SELECT x.doc_id, 'bwt', lpad(hex(any_value(n)), 16, '0') || lpad(hex(any_value(eof)), 16, '0') || string_agg(lpad(hex(cell), 2, '0'), '' ORDER BY rank) FROM x JOIN e USING (doc_id) GROUP BY x.doc_id "
+    "UNION ALL SELECT e.doc_id, 'aux', string_agg(lpad(hex(coalesce(m, 0)), 16, '0'), '' ORDER BY v) FROM e CROSS JOIN range(256) r(v) LEFT JOIN k ON k.doc_id = e.doc_id AND k.c = v GROUP BY e.doc_id",
+    "previous_bytes": f"{_ROWS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, c ORDER BY rank) AS occ, rank BETWEEN 2 AND 6 AS inside FROM b WHERE c IS NOT NULL), f AS (SELECT doc_id, c, sum(count(*)) OVER (PARTITION BY doc_id ORDER BY c) - count(*) + 1 AS cf FROM o GROUP BY doc_id, c) "
+    f"SELECT o.doc_id, CAST(o.c AS INTEGER) AS c, CAST(min(cf + occ - 1) AS INTEGER) AS sp, CAST(max(cf + occ) AS INTEGER) AS ep FROM o JOIN f ON f.doc_id = o.doc_id AND f.c = o.c WHERE inside AND o.c BETWEEN {ord('a')} AND {ord('r')} GROUP BY o.doc_id, o.c",
+    "literal_places_by_index": f"WITH s AS ({_SUFFIX}) SELECT doc_id, CAST(pos AS INTEGER) AS place FROM s WHERE starts_with(substring(text, pos + 1), 'ol')",
+    "utf16_bytes": f"WITH u AS (SELECT doc_id, k, unnest([unicode(ch) // 256, unicode(ch) % 256]) AS b FROM ({_CHARS})), x AS (SELECT doc_id, k, unnest(CASE b WHEN 0 THEN [92, 48] WHEN 1 THEN [92, 49] WHEN 255 THEN [92, 102] ELSE [b] END) AS c FROM u) SELECT doc_id, CAST(c AS INTEGER) AS c, CAST(sum(k) AS BIGINT) AS cnt FROM x GROUP BY doc_id, c",
+    "corpus_pieces": "SELECT source AS grp, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, doc_id, text || chr(1) AS text FROM documents WHERE text IS NOT NULL",
 }

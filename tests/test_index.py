@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from glyphmine import cli
 from glyphmine.functions import scalars
 from glyphmine.operators import global_index, index, match, search
 from glyphmine.operators import kernels as kn
@@ -179,6 +182,78 @@ def test_scalars(spark):
     assert scalars.decode_bits(scalars.encode_bits(bits)) == bits and scalars.encode_bits([]) == ""
 
 
+def test_files_of_any_bytes(spark, tmp_path):
+    (tmp_path / "latin").write_bytes("naïve café".encode("latin-1"))
+    (tmp_path / "wide").write_bytes("ab\xe9cd€".encode())
+    (tmp_path / "odd").write_bytes(b"\xff\x01\x80 ok")
+    (tmp_path / "nul").write_bytes(b"x\x00y")
+    docs = {r.path.rsplit("/", 1)[1]: r for r in corpus.read_files(spark, str(tmp_path), filter_binary=False).collect()}
+    assert bytes(docs["latin"].data) == b"na\xefve caf\xe9" and docs["latin"].text == "na\ufffdve caf\ufffd"
+    assert bytes(docs["odd"].data) == b"\\f\\1\x80 ok" and bytes(docs["nul"].data) == b"x\\0y" and docs["wide"].text == "abécd€"
+    for most, want in ((3, "ab"), (4, "abé"), (8, "abécd"), (9, "abéc" + "d€"), (99, "abécd€")):
+        got = {r.path.rsplit("/", 1)[1]: r.text for r in corpus.read_files(spark, str(tmp_path), max_bytes=most, filter_binary=False).collect()}
+        assert got["wide"] == want and len(got) == 4, most
+    raw = corpus.read_files(spark, str(tmp_path), filter_binary=False, escaped=False)
+    built = index.build_index(raw, text_col="data")
+    assert {bytes(r.data) for r in index.texts_of(built).collect()} == {(tmp_path / x).read_bytes() for x in ("latin", "wide", "odd", "nul")}
+    assert all(r.sorted for r in index.is_sorted(built).collect())
+    cli.main(["index", str(tmp_path), str(tmp_path.parent / "ix_of_any"), "--no-filter-binary"], spark)
+    assert store.Store(spark, str(tmp_path.parent / "ix_of_any")).index().count() == 4
+
+
+def test_pieces_and_running_sums(spark):
+    rows = [(k, f"g{k % 3}" if k % 7 else None, "x" * (k % 11) if k % 5 else None) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = sorted(((r.grp or "", r.start, r.doc_id, r.text) for r in corpus.pieces(df, df.source).collect()))
+    want = []
+    for g in ("", "g0", "g1", "g2"):
+        at = 0
+        for i, s, t in rows:
+            if (s or "") == g and t is not None:
+                want.append((g, at, i, t + "\x01"))
+                at += len(t) + 1
+    assert got == sorted(want)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab\x00\xff", max_size=30).map(lambda t: t.encode("latin-1")), min_size=1, max_size=5), st.text("ab\x00", max_size=3).map(str.encode))
+def test_kernels_on_many_texts(texts, pattern):
+    offs = np.r_[0, np.cumsum([len(t) for t in texts])]
+    s = kn.Suffixes(np.frombuffer(b"".join(texts), np.uint8), offs)
+    bwt = s.bwt()
+    eof = np.flatnonzero(bwt == 0) - s.first[:-1]
+    raw, own = kn.inverse_bwts(np.maximum(bwt - 1, 0).astype(np.uint8), s.first, eof)
+    assert [raw[a:b].tobytes() for a, b in zip(own[:-1], own[1:], strict=True)] == texts
+    for k, t in enumerate(texts):
+        one = np.maximum(bwt[s.first[k] : s.first[k + 1]] - 1, 0).astype(np.uint8)
+        assert kn.search_by_counting(one.tobytes(), int(eof[k]), pattern) == kn.Ranks(one, int(eof[k])).search(pattern)
+        sa = s.array()[s.first[k] : s.first[k + 1]]
+        assert index.in_order(np.frombuffer(t, np.uint8), sa)
+        for a in range(len(sa) - 1):
+            other = sa.copy()
+            other[[a, a + 1]] = other[[a + 1, a]]
+            assert not index.in_order(np.frombuffer(t, np.uint8), other)
+        assert not index.in_order(np.frombuffer(t, np.uint8), np.zeros_like(sa)) or len(sa) == 1
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("aé€b𝄞", max_size=12), max_size=5), st.integers(1, 4))
+def test_ngrams(texts, n):
+    grams, row, cnt = match.ngrams(pa.array(texts, pa.string()), n)
+    want = Counter((k, t[i : i + n]) for k, t in enumerate(texts) for i in range(len(t) - n + 1))
+    assert Counter(dict(zip(zip(row.tolist(), grams.to_pylist(), strict=True), cnt.tolist(), strict=True))) == want
+
+
+def test_bounded_search_goes_on_with_the_longest(spark):
+    df = spark.createDataFrame([(1, "abcabd abce"), (2, "zzz")], "doc_id long, text string")
+    ix = index.build_index(df, orientation="reversed")
+    few = match.index_matches(ix, "[a-z]*", max_iterations=4).where("doc_id = 1").collect()
+    assert max(r.len for r in few) == 4 and all(r.truncated for r in few)  # one match is followed to its end
+    tips = match.index_tips(ix, "[a-z]*", max_iterations=4).where("doc_id = 1").collect()
+    assert tips and all(r.ep - r.sp == r.cnt and r.prefix in "abcabd abce" and len(r.prefix) == r.len for r in tips)
+    assert match.index_tips(ix, "[a-z]*").count() == 0
+
+
 def test_sources_and_stores(spark, tmp_path):
     (tmp_path / "d" / "e").mkdir(parents=True)
     (tmp_path / "d" / "a.txt").write_bytes(b"abra\x01cad\xc3\xbf")
