@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,17 +19,17 @@ def gamma_length(n: Column) -> Column:
 
 
 def kmp_borders(text: Column) -> Column:
-    """Of each prefix the length of its longest proper border, as an array; null stays null, '' gives an empty array."""
-    n = F.length(text)
-    at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.when(
-        text.isNotNull(),
-        F.transform(at, lambda k: F.coalesce(F.array_max(F.filter(F.when(k > 1, F.sequence(F.lit(1), k - 1)).otherwise(F.array().cast("array<int>")), lambda b: F.left(text, b) == F.substring(text, k - b + 1, b))), F.lit(0))),
-    )
+    """Of each prefix the length of its longest proper border, as an array; null stays null, '' gives an empty array. Linear time."""
 
+    @F.arrow_udf("array<int>")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else borders(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
 
-def borders(data: bytes) -> list[int]:
-    """The same for bytes, in linear time."""
+    return of(text)
+
+
+def borders(data: bytes | str) -> list[int]:
+    """The same for one text or bytes."""
     out = [0] * len(data)
     k = 0
     for i in range(1, len(data)):
@@ -39,10 +41,23 @@ def borders(data: bytes) -> list[int]:
 
 
 def suffix_types(text: Column) -> Column:
-    """'S' or 'L' of every suffix of a text and of the empty one: S if it is less than the next suffix; the empty one is S."""
-    n = F.length(text)
-    every = F.transform(F.sequence(F.lit(0), n), lambda i: F.when(i == n, "S").when(i == n - 1, "L").when(F.substring(text, i + 1, n) < F.substring(text, i + 2, n), "S").otherwise("L"))
-    return F.when(text.isNotNull(), F.array_join(every, ""))
+    """'S' or 'L' of every suffix of a text and of the empty one: S if it is less than the next suffix; the empty one is S. Linear time."""
+
+    @F.arrow_udf("string")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else types_of(t) for t in texts.to_pylist()], pa.string())
+
+    return of(text)
+
+
+def types_of(text: str) -> str:
+    """The same for one text."""
+    point = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    # a suffix is S if the next other character after its first is greater
+    step = np.r_[np.sign(np.diff(point)), -1] if len(point) else np.zeros(0, np.int64)
+    at = np.where(step != 0, np.arange(len(step)), len(step))
+    next_ = np.minimum.accumulate(at[::-1])[::-1]
+    return "".join(np.where(step[next_] > 0, "S", "L").tolist()) + "S"
 
 
 def lms_positions(types: Column) -> Column:

@@ -119,6 +119,11 @@ def symbol_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _input(df, id_col, text_col).mapInArrow(run, "doc_id long, c int, cnt long, start long")
 
 
+def with_ends(counts: DataFrame) -> DataFrame:
+    """``symbol_counts`` with ``end``, the last rank of a byte's bucket when ranks count from 0 without the end mark; less than ``start`` for an empty one."""
+    return counts.withColumn("end", F.col("start") + F.col("cnt") - 1)
+
+
 def corpus_symbol_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(c, cnt, start): the same over all texts together."""
     total = symbol_counts(df, id_col, text_col).groupBy("c").agg(F.sum("cnt").alias("cnt"))

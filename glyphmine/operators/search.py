@@ -136,6 +136,16 @@ def extract(index: DataFrame, rank: int, length: int) -> DataFrame:
     return kept.select("doc_id", F.substring("data", pos + 1, F.lit(length)).alias("next"), F.when(pos > 0, F.substring("data", start + 1, pos - start)).otherwise(F.lit(b"")).alias("prev"))
 
 
+def at_rank(index: DataFrame, rank: int) -> DataFrame:
+    """(doc_id, pos, c, lcp): the place, the byte before and the common prefix with the next of one rank; texts without the rank have no row.
+
+    Only what is at the rank leaves the scan; on a stored index with a filter on ``doc_id`` it is a point read.
+    """
+    c = F.conv(F.hex(F.substring("bwt", rank + 1, F.lit(1))), 16, 10).cast("int")
+    kept = index.where(F.col("n") >= rank)
+    return kept.select("doc_id", F.col("sa")[rank].alias("pos"), F.when(F.col("eof") != rank, c).alias("c"), F.when(F.col("n") > rank, F.col("lcp")[rank]).alias("lcp"))
+
+
 def first_byte(index: DataFrame, rank: int) -> DataFrame:
     """(doc_id, c): the first byte of the suffix of a rank; null for the empty suffix."""
     return index.where(F.col("n") >= rank).select("doc_id", F.conv(F.hex(F.substring("data", F.col("sa")[rank] + 1, F.lit(1))), 16, 10).cast("int").alias("c"))

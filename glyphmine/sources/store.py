@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmine.operators.index import build_index, symbol_counts
+from glyphmine.operators.search import at_rank
 
 VERSION = 1
 #: Text of a bucket, and index rows of a file.
@@ -32,6 +33,12 @@ def save(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "
     docs.sparkSession.createDataFrame([(VERSION, orientation, buckets)], "version int, orientation string, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    """Is there a whole index in the folder? The manifest is written last."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest/_SUCCESS")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 class Store:
     """A saved index."""
 
@@ -50,6 +57,14 @@ class Store:
         """(doc_id, c, cnt, start)."""
         return self.spark.read.parquet(f"{self.folder}/counts").drop("bucket")
 
+    def texts(self) -> DataFrame:
+        """(doc_id, data): the corpus itself, as it was indexed; the files it came from aren't read again."""
+        return self.index().select("doc_id", "data")
+
+    def read(self, doc_id: int, rank: int) -> DataFrame:
+        """(doc_id, pos, c, lcp) of one rank of one id."""
+        return at_rank(self.document(doc_id), rank)
+
     def document(self, doc_id: int) -> DataFrame:
         """The index row of one id; only its bucket is read."""
         bucket = self.spark.range(1).select(bucket_of(F.lit(doc_id).cast("long"), self.buckets)).first()[0]

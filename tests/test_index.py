@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from glyphmine import cli
-from glyphmine.functions import scalars
+from glyphmine.functions import scalars, show
 from glyphmine.operators import global_index, index, match, search
 from glyphmine.operators import kernels as kn
 from glyphmine.sources import corpus, formats, store
@@ -182,6 +182,44 @@ def test_scalars(spark):
     assert scalars.decode_bits(scalars.encode_bits(bits)) == bits and scalars.encode_bits([]) == ""
 
 
+def test_suffix_types_and_borders_of_long_texts():
+    rng = random.Random(4)
+    for n in (0, 1, 2, 9, 60):
+        t = "".join(rng.choice("abé") for _ in range(n))
+        want = "".join("S" if i == n or i < n - 1 and t[i:] < t[i + 1 :] else "L" for i in range(n + 1))
+        assert scalars.types_of(t) == want
+        assert scalars.borders(t) == [max(b for b in range(k) if t[:b] == t[k - b : k]) for k in range(1, n + 1)]
+    assert scalars.types_of("a" * 100_000)[-3:] == "LLS" and scalars.borders("ab" * 50_000)[-1] == 99_998
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a").write_bytes(b"banana ban")
+    (tmp_path / "d" / "b").write_bytes(b"an\xe9")
+    ix = str(tmp_path / "ix")
+    cli.main(["index", str(tmp_path / "d"), ix, "--check", "--whole"], spark)
+    assert "in order" in capsys.readouterr().out
+    cli.main(["index", str(tmp_path / "d"), ix, "--keep"], spark)
+    assert "is there" in capsys.readouterr().out
+    s = store.Store(spark, ix)
+    ids = {bytes(r.data): r.doc_id for r in s.texts().collect()}
+    row = s.read(ids[b"banana ban"], 3).first()
+    assert (row.pos, row.c, row.lcp) == (8, ord("b"), 2)
+    whole = spark.read.parquet(f"{ix}/whole")
+    docs = s.texts()
+    assert whole.count() == 15 and global_index.global_count(whole, docs, "an", text_col="data").first()[:] [2] == 4
+    f = tmp_path / "x.bwt"
+    f.write_bytes(next(bytes(r.content) for r in formats.files(s.document(ids[b"banana ban"])).collect() if r.kind == "bwt"))
+    cli.main(["fm", str(f), str(tmp_path / "x.fm")])
+    assert formats.read_fm_file((tmp_path / "x.fm").read_bytes()) == formats.psi_of(*formats.read_bwt_file(f.read_bytes()))
+    cli.main(["dfa", "a[bc]"])
+    cli.main(["dfa", "ab", "--dot"])
+    out = capsys.readouterr().out
+    assert "-b..c-> 2 (accepts)" in out and 'label="a"' in out
+    table = show.suffix_table(index.suffix_rows(spark.createDataFrame([(1, "aba")], "doc_id long, text string")), b"aba")
+    assert [x.split()[-1] for x in table.splitlines()] == ["$", "a$", "aba$", "ba$"]
+
+
 def test_files_of_any_bytes(spark, tmp_path):
     (tmp_path / "latin").write_bytes("naïve café".encode("latin-1"))
     (tmp_path / "wide").write_bytes("ab\xe9cd€".encode())
