@@ -114,6 +114,29 @@ def test_wide_segments_find_the_same_groups(spark, monkeypatch):
     assert sum(wide[i] == narrow[i] for i in narrow) >= 0.97 * len(narrow)
 
 
+@pytest.mark.parametrize("together", [1, 60, 10_000])
+def test_buckets_over_batches(monkeypatch, together):
+    monkeypatch.setattr(simhash, "TOGETHER", together)
+    rng = random.Random(together)
+    rows = [(k, v) for k in range(40) for v in rng.sample(range(1000), rng.choice([1, 2, 3, 5, simhash.PAIRS_UP_TO, simhash.PAIRS_UP_TO + 1, 200]))]
+    parts = [rows[i : i + 37] for i in range(0, len(rows), 37)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in p]), pa.array([v for _, v in p])], names=["k", "id"]) for p in parts]
+    out = [tuple(r.values()) for b in simhash._buckets(iter(batches)) for r in b.to_pylist()]
+    by = defaultdict(list)
+    for k, v in rows:
+        by[k].append(v)
+    pairs, large = {(a, b) for k, a, b in out if k is None}, defaultdict(list)
+    for k, a, _ in out:
+        if k is not None:
+            large[k].append(a)
+    for k, members in by.items():
+        if k in large:
+            assert sorted(large[k]) == sorted(members)
+        else:
+            assert {(min(a, b), max(a, b)) for a in members for b in members if a != b} <= pairs
+    assert all(k in large for k, members in by.items() if len(members) > simhash.PAIRS_UP_TO)
+
+
 def test_hot_buckets_are_searched_in_blocks(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 62, (5, 4), dtype=np.uint64)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from glyphmine.llm import mixing, token_codec
+from glyphmine.llm import textkit as tk
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.exists(SF), reason="no test tables")
@@ -159,6 +161,58 @@ def test_copies_meet_the_weights(spark, clash, leaf):
         assert abs(sum(r.copies for r in w if r.source == s) - docs[s] * share / mass[s]) < 1.001
 
 
+def plain_rounding(units: list[tuple[int, int, int]], share: Fraction, leaves: int, seed: int) -> dict[int, int]:
+    """Copies beyond the sure ones of (id, hash, leaf) units that have ``share`` each: the tree's rounding, one fraction at a time."""
+    held = {i: share for i, _, _ in units}
+    node = {i: leaf for i, _, leaf in units}
+    by_hash = {i: h for i, h, _ in units}
+    depth, live = 0, [i for i, _, _ in units if 0 < share < 1]
+    while True:
+        for n in sorted({node[i] for i in live}):
+            left = None
+            for i in sorted((i for i in live if node[i] == n), key=lambda i: (by_hash[i], i)):
+                if left is None:
+                    left = i
+                    continue
+                u = Fraction(tk.mix64_int((by_hash[i] & (2**64 - 1)) ^ (seed + 2 * depth)), 2**64)
+                a, b = held[left], held[i]
+                if a + b <= 1:
+                    win, lose = (left, i) if u < a / (a + b) else (i, left)
+                    held[win], held[lose] = a + b, Fraction(0)
+                    left = None if a + b == 1 else win
+                else:
+                    full, rest = (left, i) if u < (1 - b) / (2 - a - b) else (i, left)
+                    held[full], held[rest] = Fraction(1), a + b - 1
+                    left = rest
+            if leaves == 1 and left is not None:
+                u = Fraction(tk.mix64_int((by_hash[left] & (2**64 - 1)) ^ (seed + 2 * depth + 1)), 2**64)
+                held[left] = Fraction(int(u < held[left]))
+        if leaves == 1:
+            return {i: int(x) for i, x in held.items()}
+        live = [i for i in live if 0 < held[i] < 1]
+        node = {i: n // mixing.ARITY for i, n in node.items()}
+        leaves, depth = -(-leaves // mixing.ARITY), depth + 1
+
+
+@pytest.mark.parametrize("leaf", [7, 40, 1000])
+def test_copies_are_those_of_plain_rounding(spark, leaf):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(k, "x" * 10, "a") for k in range(300)] + [(k, "y" * 3, "b") for k in range(300, 500)], "doc_id long, text string, source string")
+    for how in ({}, {"weights": {"a": 1.0, "b": 2.0}, "budget_bytes": 2000.0}):
+        got = {r.doc_id: r.copies for r in mixing.copies(df, leaf=leaf, **how).collect()}
+        want = {}
+        x = {r.source: r.x for r in mixing.expected_copies(df, F.col("source"), F.col("text"), **how).collect()}
+        for s, ids in (("a", range(300)), ("b", range(300, 500))):
+            most = max(1, -(-300 // leaf))
+            leaves = max(1, -(-len(ids) // leaf))
+            rows = df.where(df.source == s).select("doc_id", F.xxhash64("doc_id", F.lit(mixing.SEED)).alias("h")).select("doc_id", "h", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(leaves)).alias("leaf")).collect()
+            share = Fraction(round((x[s] - int(x[s])) * mixing.ONE), mixing.ONE)
+            more = plain_rounding([(r.doc_id, r.h, r.leaf) for r in rows], share, most, mixing.SEED)
+            want |= {i: int(x[s]) + more[i] for i in ids}
+        assert got == want and len(set(got.values())) > 1
+
+
 def test_resample_on_odd_inputs(spark, clash):
     rows = [(1, "t", "a"), (1, "t", "a"), (None, "u", None), (2, None, "a"), (3, "", "b"), (4, "long " * 50_000, "b")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("doc_id", "text", "source", *clash, "1 as mix_source", "2 as mix_copies", "3 as mix_copy")
@@ -192,6 +246,35 @@ def test_pipeline(spark):
     assert all(n[i] % max(1, len(of(kept[i].text))) == 0 and n[i] >= len(of(kept[i].text)) for i in n)
 
 
+@needs_data
+@needs_tokenizer
+def test_pipeline_on_odd_documents(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id")
+    texts = [r.text for r in docs.collect() if r.text and len(r.text) > 600 and r.lang == "en"]
+    mix = lambda a, b: " ".join(texts[a].split()[::2] + texts[b].split()[1::2])
+    odd = [(None, mix(0, 1), "en", "new", 1), (70005, mix(2, 3), "en", "new", 1), (70005, mix(4, 5), "en", None, 1), (70006, None, "en", "x", 0), (70007, "", None, "x", 0), (70005, mix(4, 5), "en", None, 1)]
+    kinds = dict(docs.dtypes)
+    more = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long").select(*[cast(c, kinds[c]) for c in docs.columns])
+    clash = docs.unionByName(more).selectExpr("*", "1 as near_row_hash", "2 as mix_id", "'z' as root", "4 as h", "array(1) as g", "5 as block")
+    clash.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = cp.run(spark, str(tmp_path)).collect()
+    ids = {r.doc_id for r in got}
+    assert None in ids and 70005 in ids and not ids & {70006, 70007}
+    of = token_codec.tokenizer(token_codec.TOKENIZER).encoding.encode_ordinary
+    # two other texts share an id and both stay; the row that repeats as a whole is one
+    n = sum(r.n_tokens for r in got if r.doc_id == 70005)
+    assert n >= len(of(mix(2, 3))) + len(of(mix(4, 5)))
+
+
+def cast(name: str, kind: str):
+    from pyspark.sql import functions as F
+
+    return F.col(name).cast(kind).alias(name)
+
+
 @needs_data
 @needs_tokenizer
 def test_pipeline_on_no_documents(spark, tmp_path):
