@@ -2,7 +2,8 @@
 
 Engines: 'java' hands an equivalent pattern to Spark's own matcher, inside generated code; it is taken for patterns
 without nested or many unbounded repetitions, on which a backtracking matcher can't blow up. 'dfa' runs a table over
-all rows of a batch side by side. 'fold' is the same table as a native higher-order expression, for short columns.
+all rows of a batch side by side. 'fold' is the same table as a native higher-order expression, for short columns. 'nfa' follows
+all states of a Thompson automaton text by text: it needs no table, so it takes patterns whose DFA would be too large.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from glyphmine.functions.automata import DFA, dfa
+from glyphmine.functions.automata import DFA, dfa, nfa
 from glyphmine.functions.regex_ast import Node, parse, to_java
 from glyphmine.operators import kernels as kn
 
@@ -78,6 +79,26 @@ def _by_table(node: Node, prefix: bool):
     return match
 
 
+def full_match_dfa(text: Column, d: DFA) -> Column:
+    """Does an automaton at hand, however it was made, accept the whole text? Null for a null text."""
+
+    @F.arrow_udf("boolean")
+    def match(column: pa.Array) -> pa.Array:
+        return pa.array(run_all(d, *kn.buffers(column)), mask=column.is_null().to_numpy(zero_copy_only=False))
+
+    return match(text)
+
+
+def _by_nfa(node: Node, text: Column) -> Column:
+    machine = nfa(node)
+
+    @F.arrow_udf("boolean")
+    def match(column: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else machine.matches(t.encode()) for t in column.to_pylist()], pa.bool_())
+
+    return match(text)
+
+
 def _by_fold(node: Node, text: Column, prefix: bool) -> Column:
     d = dfa(node)
     table = d.table.copy()
@@ -96,6 +117,8 @@ def full_match(text: Column, pattern: str, engine: str = "auto", **how) -> Colum
     node = parse(pattern, **how)
     if engine == "java" or engine == "auto" and is_tame(node) and how.get("unit", "char") == "char":
         return text.rlike(f"(?s)\\A(?:{to_java(node)})\\z")
+    if engine == "nfa":
+        return _by_nfa(node, text)
     return _by_fold(node, text, False) if engine == "fold" else _by_table(node, False)(text)
 
 

@@ -86,6 +86,16 @@ def encode_bits(bits: list[bool], least: int = 16) -> str:
     return "".join(out)
 
 
+def run_code(bits: Column, least: int = 16) -> Column:
+    """``encode_bits`` of a column of boolean arrays; null stays null."""
+
+    @F.arrow_udf("string")
+    def of(arrays: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else encode_bits(b, least) for b in arrays.to_pylist()], pa.string())
+
+    return of(bits)
+
+
 def decode_bits(code: str) -> list[bool]:
     """The bits of ``encode_bits``."""
     out, at = [], 0

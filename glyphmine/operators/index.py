@@ -82,6 +82,18 @@ def suffix_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     return _input(df, id_col, text_col).mapInArrow(run, "doc_id long, rank int, pos int, c int, psi int, lf int, lcp int")
 
 
+def inverse_suffix_arrays(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, isa): the rank of the suffix at each place of each text, the empty one's (0) last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in kn.passes(kn.buffers(batch.column(1))[1], kn.SORT_BYTES):
+                s = kn.Suffixes(*kn.buffers(batch.column(1).slice(lo, hi - lo)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _int_lists(s.inverse(), s.first)], names=["doc_id", "isa"])
+
+    return _input(df, id_col, text_col).mapInArrow(run, "doc_id long, isa array<int>")
+
+
 def int_suffix_arrays(df: DataFrame, id_col: str, array_col: str) -> DataFrame:
     """(doc_id, sa): suffix arrays of arrays of integers; elements compare as numbers, nulls in an array fail."""
 

@@ -116,6 +116,46 @@ def utf16_bytes(spark, sf_dir):
     return index.symbol_counts(content, text_col="data").select("doc_id", "c", "cnt")
 
 
+def inverse_suffix_array(spark, sf_dir):
+    return index.inverse_suffix_arrays(parts(spark, sf_dir)).select("doc_id", F.posexplode("isa").alias("pos", "rank"))
+
+
+def read_at_rank(spark, sf_dir):
+    return search.at_rank(index.build_index(parts(spark, sf_dir)), 3)
+
+
+def document_symbol_buckets(spark, sf_dir):
+    return index.with_ends(index.symbol_counts(documents(spark, sf_dir))).select("doc_id", "c", "start", "end")
+
+
+def greater_bits_code(spark, sf_dir):
+    """The bits 'greater than the whole text' by place, as a run-length code."""
+    rows = index.greater_than_whole(index.suffix_rows(parts(spark, sf_dir)))
+    bits = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "greater"))).alias("all"))
+    return bits.select("doc_id", scalars.run_code(F.col("all.greater"), 2).alias("code"))
+
+
+def regex_full_match_nfa(spark, sf_dir):
+    return parts(spark, sf_dir).select("doc_id", pattern_columns.full_match(F.col("text"), "[a-z]+ .*n.*", engine="nfa").alias("matched"))
+
+
+def regex_legacy(spark, sf_dir):
+    """The old grammar, in which a dot is no space."""
+    return documents(spark, sf_dir).select("doc_id", pattern_columns.prefix_match(F.col("text"), ".*a(n|d)\\n*", dialect="legacy").alias("matched"))
+
+
+def dfa_of_edges(spark, sf_dir):
+    """An automaton given by its moves: an even number of e's."""
+    moves = [(s, b, s ^ (b == ord("e"))) for s in (0, 1) for b in range(32, 256)]
+    return parts(spark, sf_dir).select("doc_id", pattern_columns.full_match_dfa(F.col("text"), automata.from_edges(moves, {0})).alias("matched"))
+
+
+def regex_tips(spark, sf_dir):
+    """What is left of a search that may extend one interval."""
+    found = match.index_tips(index.build_index(parts(spark, sf_dir), orientation="reversed"), "[a-z]*n", max_iterations=1)
+    return found.select("doc_id", "prefix", "len", "cnt")
+
+
 def extract_at_rank(spark, sf_dir):
     return search.extract(index.build_index(parts(spark, sf_dir)), 5, 4).select("doc_id", F.decode("next", "utf-8").alias("next"), F.decode("prev", "utf-8").alias("prev"))
 
@@ -310,6 +350,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         flagship, literal_count, literal_locate, byte_histogram, document_symbol_counts, suffix_table, suffix_table_reversed, suffix_greater_than_whole, document_index, text_from_bwt, index_is_sorted,
+        inverse_suffix_array, read_at_rank, document_symbol_buckets, greater_bits_code, regex_full_match_nfa, regex_legacy, dfa_of_edges, regex_tips,
         index_literal_count, previous_bytes, literal_places_by_index, utf16_bytes, interval_search, backward_search_steps, occ_at_rank, extract_at_rank, first_byte_at_rank, text_tail, int_suffix_array, global_suffixes, global_bwt, global_suffixes_documents, global_bwt_documents,
         regex_full_match, regex_full_match_fold, regex_full_match_documents, regex_full_match_native, regex_prefix_match, regex_substrings, regex_core_substrings, regex_hybrid, regex_hybrid_postings, regex_escaped, regex_on_index, ngram_counts,
         dfa_buckets, regex_postfix, regex_rewrites, kmp_borders, gamma_length, suffix_types, pretty_bytes, joined_corpus, corpus_pieces, binary_texts, index_files,
@@ -382,6 +423,16 @@ ORACLE_SQL = {
     "UNION ALL SELECT doc_id, 'fm', '04' || lpad(hex(count(*)), 16, '0') || string_agg(lpad(hex(psi), 8, '0'), '' ORDER BY rank) FROM t GROUP BY doc_id "
     "UNION ALL SELECT x.doc_id, 'bwt', lpad(hex(any_value(n)), 16, '0') || lpad(hex(any_value(eof)), 16, '0') || string_agg(lpad(hex(cell), 2, '0'), '' ORDER BY rank) FROM x JOIN e USING (doc_id) GROUP BY x.doc_id "
     "UNION ALL SELECT e.doc_id, 'aux', string_agg(lpad(hex(coalesce(m, 0)), 16, '0'), '' ORDER BY v) FROM e CROSS JOIN range(256) r(v) LEFT JOIN k ON k.doc_id = e.doc_id AND k.c = v GROUP BY e.doc_id",
+    "inverse_suffix_array": f"WITH s AS ({_SUFFIX}) SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(rank AS INTEGER) AS rank FROM s",
+    "read_at_rank": f"WITH t AS ({_SUFFIX_TABLE}) SELECT doc_id, pos, c, lcp FROM t WHERE rank = 3",
+    "document_symbol_buckets": f"SELECT doc_id, CAST(c AS INTEGER) AS c, CAST(coalesce(sum(cnt) OVER w, 0) AS BIGINT) AS start, CAST(coalesce(sum(cnt) OVER w, 0) + cnt - 1 AS BIGINT) AS \"end\" FROM ({_BYTES}) WINDOW w AS (PARTITION BY doc_id ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+    "greater_bits_code": f"WITH s AS ({_SUFFIX}), g AS (SELECT doc_id, pos, substring(text, pos + 1) > text AS bit FROM s WHERE rank > 0), i AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, bit ORDER BY pos) AS island FROM g), "
+    "r AS (SELECT doc_id, CASE WHEN bit THEN '1' ELSE '0' END AS b, min(pos) AS place, count(*) AS n FROM i GROUP BY doc_id, bit, island) "
+    "SELECT doc_id, string_agg(CASE WHEN n >= 2 THEN '1' || b || repeat('0', length(bin(n)) - 1) || bin(n) ELSE '0' || b END, '' ORDER BY place) AS code FROM r GROUP BY doc_id",
+    "regex_full_match_nfa": f"SELECT p_partkey AS doc_id, regexp_full_match(p_name, '[a-z]+ {_ANY}*n{_ANY}*', 's') AS matched FROM part",
+    "regex_legacy": r"SELECT doc_id, regexp_matches(text, '^(?:[\x28-\x7e]*a(n|d)\n*)', 's') AS matched FROM documents",
+    "dfa_of_edges": "SELECT p_partkey AS doc_id, (length(p_name) - length(replace(p_name, 'e', ''))) % 2 = 0 AS matched FROM part",
+    "regex_tips": "SELECT doc_id, prefix, 1 AS len, CAST(count(*) AS INTEGER) AS cnt FROM (SELECT p_partkey AS doc_id, unnest(string_split(p_name, '')) AS prefix FROM part) WHERE regexp_full_match(prefix, '[a-z]') GROUP BY doc_id, prefix",
     "previous_bytes": f"{_ROWS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, c ORDER BY rank) AS occ, rank BETWEEN 2 AND 6 AS inside FROM b WHERE c IS NOT NULL), f AS (SELECT doc_id, c, sum(count(*)) OVER (PARTITION BY doc_id ORDER BY c) - count(*) + 1 AS cf FROM o GROUP BY doc_id, c) "
     f"SELECT o.doc_id, CAST(o.c AS INTEGER) AS c, CAST(min(cf + occ - 1) AS INTEGER) AS sp, CAST(max(cf + occ) AS INTEGER) AS ep FROM o JOIN f ON f.doc_id = o.doc_id AND f.c = o.c WHERE inside AND o.c BETWEEN {ord('a')} AND {ord('r')} GROUP BY o.doc_id, o.c",
     "literal_places_by_index": f"WITH s AS ({_SUFFIX}) SELECT doc_id, CAST(pos AS INTEGER) AS place FROM s WHERE starts_with(substring(text, pos + 1), 'ol')",
