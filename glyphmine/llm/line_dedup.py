@@ -1,6 +1,6 @@
 """Boilerplate lines of web sites: lines on a large share of a host's pages are dropped.
 
-All of it is DataFrame algebra. Only (host, line) pairs are shuffled, counted before the exchange; a host's
+All of it is DataFrame algebra. Only (host, 128-bit hash of a line) pairs are shuffled, counted before the exchange; a host's
 boilerplate is bounded by its average lines a page over the ratio, so it is joined back as one row a host.
 """
 
@@ -31,6 +31,11 @@ def lines_of(html: Column) -> Column:
     return F.filter(F.transform(F.split(html, _BREAK), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def _mark(line: Column) -> Column:
+    """What stands for a line."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"))
+
+
 def drop_boilerplate(df: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(page_id, host, n_lines, n_dropped, clean) for each page; ``clean`` has the lines that stay, joined by line ends.
 
@@ -43,13 +48,13 @@ def drop_boilerplate(df: DataFrame, id_col: str = "page_id", url_col: str = "url
     total = df.select(host_of(F.col(url_col)).alias("host")).groupBy("host").agg(F.count("*").alias("pages"))
     # hosts of more than a thousandth of all pages are fewer than a thousand, however much there is: their rows are spread
     hot = F.broadcast(total.crossJoin(F.broadcast(total.agg(F.sum("pages").alias("every")))).where(F.col("pages") > F.col("every") / HOT).select("host", F.col("pages").alias("hot_pages")))
-    seen = pages.select("host", F.explode(F.array_distinct("line_list")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    seen = pages.select("host", F.explode(F.transform(F.array_distinct("line_list"), _mark)).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
     seen = seen.join(hot, "host", "left").where(F.col("hot_pages").isNull() | (F.col("n") > F.lit(ratio) * F.col("hot_pages"))).drop("hot_pages")
     common = seen.join(total, "host").where(F.col("n") > F.lit(ratio) * F.col("pages")).groupBy("host").agg(F.collect_list("line").alias("common"))
     parts = F.when(F.col("hot_pages").isNull(), 0).otherwise(SPREAD - 1)
     common = common.join(hot, "host", "left").select("host", "common", F.explode(F.sequence(F.lit(0), parts)).alias("part"))
     salt = F.when(F.col("hot_pages").isNull(), 0).otherwise(F.pmod(F.xxhash64("page_id", "line_list"), F.lit(SPREAD))).cast("int")
-    both = pages.join(hot, "host", "left").select("page_id", "host", "line_list", salt.alias("part")).join(common, ["host", "part"], "left").withColumn("stay", F.when(F.col("common").isNull(), F.col("line_list")).otherwise(F.filter("line_list", lambda x: ~F.array_contains(F.col("common"), x))))
+    both = pages.join(hot, "host", "left").select("page_id", "host", "line_list", salt.alias("part")).join(common, ["host", "part"], "left").withColumn("stay", F.when(F.col("common").isNull(), F.col("line_list")).otherwise(F.filter("line_list", lambda x: ~F.array_contains(F.col("common"), _mark(x)))))
     n = F.coalesce(F.size("line_list"), F.lit(0))
     return both.select("page_id", "host", F.when(F.col("line_list").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.when(F.col("line_list").isNull(), 0).otherwise(n - F.size("stay")).cast("long").alias("n_dropped"), F.array_join("stay", "\n").alias("clean"))
 
