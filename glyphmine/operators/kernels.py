@@ -190,22 +190,38 @@ def inverse_bwts(bwt: np.ndarray, first: np.ndarray, eof: np.ndarray) -> tuple[n
     return out, offs
 
 
-def search_by_counting(bwt: bytes, eof: int, pattern: bytes) -> tuple[int, int] | None:
-    """``Ranks.search`` for one pattern: counts bytes where it needs them and sorts nothing."""
+def steps_by_counting(bwt: bytes, eof: int, pattern: bytes) -> Iterator[tuple[int, int, int]]:
+    """(byte, sp, ep) of each step of backward search, the last one perhaps empty: bytes are counted where that is needed and nothing is sorted."""
     sp, ep = 0, len(bwt)
     below = np.cumsum(np.bincount(np.frombuffer(bwt, np.uint8), minlength=256)) if pattern else None
     for c in reversed(pattern):
         # the cell of the end mark holds a 0 that doesn't count as one
-        less = 1 + (int(below[c - 1]) - 1 if c else 0)
+        less = int(below[c - 1]) if c else 1
         a, b = bwt.count(c, 0, sp), bwt.count(c, 0, ep)
         if not c:
             a, b = a - (eof < sp), b - (eof < ep)
         sp, ep = less + a, less + b
+        yield c, sp, ep
+        if sp >= ep:
+            return
+
+
+def search_by_counting(bwt: bytes, eof: int, pattern: bytes) -> tuple[int, int] | None:
+    """``Ranks.search`` for one pattern."""
+    sp, ep = 0, len(bwt)
+    for _, sp, ep in steps_by_counting(bwt, eof, pattern):
         if sp >= ep:
             return None
     return sp, ep
 
 
+def occ_by_counting(bwt: bytes, eof: int, c: int, rank: int) -> tuple[int, int]:
+    """``Ranks.cf`` and ``Ranks.occ`` of one byte and rank."""
+    # the end mark is less than every byte, and its cell is a 0
+    less = int(np.count_nonzero(np.frombuffer(bwt, np.uint8) < c)) if c else 1
+    return less, bwt.count(c, 0, rank + 1) - (c == 0 and eof <= rank)
+
+
 class Ranks:
     """Rank queries on one text's BWT: ``occ`` counts a symbol up to and including a rank."""
 

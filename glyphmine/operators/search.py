@@ -100,14 +100,7 @@ def backward_steps(index: DataFrame, pattern: bytes) -> DataFrame:
         for batch in batches:
             rows = []
             for k, (b, e) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                ranks = kn.Ranks(np.frombuffer(b, np.uint8), e)
-                at = (0, ranks.n)
-                for step, c in enumerate(reversed(pattern), 1):
-                    got = ranks.before(*at, c)
-                    if got is None:
-                        break
-                    at = got
-                    rows.append((k, step, c, *at))
+                rows += [(k, step, c, sp, hi) for step, (c, sp, hi) in enumerate(kn.steps_by_counting(b, e, pattern), 1) if sp < hi]
             k, *cols = zip(*rows, strict=True) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(k, pa.int64())), *(pa.array(x, pa.int32()) for x in cols)], names=["doc_id", "step", "c", "sp", "ep"])
 
@@ -118,16 +111,11 @@ def occ(index: DataFrame, c: int, rank: int) -> DataFrame:
     """(doc_id, cf, occ): bytes less than c (the end mark included), and c's in rows up to and including ``rank``."""
     @F.arrow_udf("array<int>")
     def both(bwt: pa.Array, eof: pa.Array) -> pa.Array:
-        return pa.array([_occ(b, e, c, rank) for b, e in zip(bwt.to_pylist(), eof.to_pylist(), strict=True)], pa.list_(pa.int32()))
+        return pa.array([kn.occ_by_counting(b, e, c, min(rank, len(b) - 1)) for b, e in zip(bwt.to_pylist(), eof.to_pylist(), strict=True)], pa.list_(pa.int32()))
 
     return index.select("doc_id", both("bwt", "eof").alias("x")).select("doc_id", F.col("x")[0].alias("cf"), F.col("x")[1].alias("occ"))
 
 
-def _occ(bwt: bytes, eof: int, c: int, rank: int) -> list[int]:
-    ranks = kn.Ranks(np.frombuffer(bwt, np.uint8), eof)
-    return [ranks.cf(c), ranks.occ(c, min(rank, ranks.n - 1))]
-
-
 def extract(index: DataFrame, rank: int, length: int) -> DataFrame:
     """(doc_id, next, prev): up to ``length`` bytes from the suffix of a rank on, and those before it; texts without the rank have no row."""
     pos = F.col("sa")[rank]

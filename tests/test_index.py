@@ -265,6 +265,10 @@ def test_kernels_on_many_texts(texts, pattern):
     for k, t in enumerate(texts):
         one = np.maximum(bwt[s.first[k] : s.first[k + 1]] - 1, 0).astype(np.uint8)
         assert kn.search_by_counting(one.tobytes(), int(eof[k]), pattern) == kn.Ranks(one, int(eof[k])).search(pattern)
+        ranks = kn.Ranks(one, int(eof[k]))
+        for c in (0, 1, 97, 98, 255):
+            for r in range(len(one)):
+                assert kn.occ_by_counting(one.tobytes(), int(eof[k]), c, r) == (ranks.cf(c), ranks.occ(c, r))
         sa = s.array()[s.first[k] : s.first[k + 1]]
         assert index.in_order(np.frombuffer(t, np.uint8), sa)
         for a in range(len(sa) - 1):
