@@ -3,7 +3,12 @@
 A fingerprint is cut into segments, each of which is a hash table: each document is put in the tables under its own
 segment and every segment at Hamming distance 1, and looks itself up under the same ball, so two documents meet
 in a table exactly when that segment differs in at most 2 bits. Every meeting is verified by the distance of the complete
-fingerprints.
+fingerprints. That finds most near pairs and whatever is in large groups, but not each pair.
+
+The rest is found by an exact search, which compares what isn't in one group yet. A fingerprint is cut once more, into so many
+segments that two within the radius differ in at most 2 bits of one at least (14 of about 18 bits for 40 of 256). Nodes are
+cut into parts, and each two parts are a task, which has the fingerprints of both at hand and looks up the whole ball of
+radius 2 around each segment. No near pair is left out. On unlike texts 1 to 2 % of all pairs are met and compared.
 
 Segments have 32 bits, or 14 more than the binary logarithm of the documents if that is more, so that a document meets
 less than about one other by chance however many there are. Up to 2**18 documents a fingerprint has eight segments, 256 bits. Wider
@@ -38,6 +43,12 @@ PAIRS_UP_TO = 48
 HOT_BUCKET = 8192
 #: Rows of sorted keys that are looked at together; a key of more is a large bucket.
 TOGETHER = 200_000
+#: Fingerprints of a part of the exact search, at most; smaller tables are cut into up to ``PARTS`` parts of ``LEAST_PART`` or more.
+PART, LEAST_PART, PARTS = 1 << 19, 1 << 14, 5
+#: Tasks of the exact search at most; each has its share of the pairs of parts, one after the other.
+SEARCH_TASKS = 4096
+#: Pairs of fingerprints that are compared together.
+COMPARED = 1 << 18
 _STEP = 0x632BE59BD9B4E019
 
 
@@ -261,6 +272,134 @@ def _in_buckets(members: DataFrame, radius: int, lanes: list[str], hot: int) ->
     return small.union(spokes).union(own)
 
 
+def _segment(lanes: np.ndarray, bit: int, width: int) -> np.ndarray:
+    """``width`` bits (32 at most) of each fingerprint, from ``bit`` on; a row of ``lanes`` for each lane."""
+    lane, at = divmod(bit, 64)
+    x = lanes[lane] >> np.uint64(at)
+    if at + width > 64:
+        x = x | lanes[lane + 1] << np.uint64(64 - at)
+    return (x & np.uint64((1 << width) - 1)).astype(np.int64)
+
+
+def _joined(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``root`` (of each place its component's least place) with the components of ``u`` and ``v`` joined, pair by pair."""
+    root = root.copy()
+    while True:
+        x, y = root[u], root[v]
+        other = x != y
+        if not other.any():
+            return root
+        u, v, x, y = u[other], v[other], x[other], y[other]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+
+
+def links(lanes: np.ndarray, roots: np.ndarray, other: np.ndarray, other_roots: np.ndarray, radius: int) -> np.ndarray:
+    """(n, 2) pairs of roots that connect what all pairs within ``radius`` of one fingerprint and one of the others would.
+
+    ``lanes`` and ``other`` have a row for each lane. Segments are so many that a pair within ``radius`` differs in at most two
+    bits of one of them, since three bits in each would be more; so every such pair whose roots differ is compared.
+    """
+    known = np.unique(np.concatenate([roots, other_roots]))
+    mine, theirs = np.searchsorted(known, roots), np.searchsorted(known, other_roots)
+    root = np.arange(len(known))
+    bits, half = 64 * len(lanes), max(len(lanes) // 2, 1)
+    edges = np.linspace(0, bits, min(bits, radius // 3 + 1) + 1).astype(int).tolist()
+    for bit, end in zip(edges[:-1], edges[1:], strict=True):
+        width = min(end - bit, 20)  # of wider segments a part
+        start = sorted_at = None
+        for flip in [0, *(1 << i for i in range(width)), *(1 << i | 1 << j for i in range(width) for j in range(i))]:
+            if start is None or np.count_nonzero(root != sorted_at) > len(known) // 16:
+                # both sides by key, and those of a key by root
+                sides = []
+                for x, r in ((lanes, root[mine]), (other, root[theirs])):
+                    k = _segment(x, bit, width) << 32 | r
+                    order = np.argsort(k)
+                    sides.append((order, k[order], np.ascontiguousarray(x[:, order])))
+                (order_a, key, a), (order_b, there, b) = sides
+                key, start = (key >> 32).astype(np.int32), np.searchsorted(there >> 32, np.arange((1 << width) + 1)).astype(np.int32)
+                size, there_root = np.diff(start), there & 0xFFFFFFFF
+                sorted_at = root
+                root_a, root_b = root[mine[order_a]], root[theirs[order_b]]
+            k = key ^ flip
+            q = np.flatnonzero(size[k])
+            k, own = k[q], root_a[q]
+            lo, hi = start[k], start[k + 1]
+            # nothing is asked of buckets of the own root, and of large ones only what is of others
+            some = np.flatnonzero((there_root[lo] != own) | (there_root[hi - 1] != own))
+            q, k, own, lo, hi = q[some], k[some], own[some], lo[some], hi[some]
+            large = np.flatnonzero(hi - lo > PAIRS_UP_TO)
+            if len(large):
+                own = k[large].astype(np.int64) << 32 | own[large]
+                left, right = np.searchsorted(there, own), np.searchsorted(there, own, side="right")
+                q, lo, hi = np.r_[q, q[large]], np.r_[lo, right], np.r_[hi, hi[large]]
+                hi[large] = left
+            ends = np.r_[0, np.cumsum(hi - lo, dtype=np.int64)]
+            # runs of pairs; a bucket that is larger than one run goes on in the next
+            for at in range(0, int(ends[-1]), COMPARED):
+                upto = min(at + COMPARED, int(ends[-1]))
+                first, last = int(np.searchsorted(ends, at, side="right")) - 1, int(np.searchsorted(ends, upto))
+                count = np.minimum(ends[first + 1 : last + 1], upto) - np.maximum(ends[first:last], at)
+                i = np.repeat(q[first:last], count)
+                j = np.arange(at, upto) + np.repeat(lo[first:last] - ends[first:last], count)
+                d = np.bitwise_count(a[0][i] ^ b[0][j]).astype(np.int16)
+                for lane in range(1, len(lanes)):
+                    if lane == half:
+                        some = np.flatnonzero(d <= radius)
+                        i, j, d = i[some], j[some], d[some]
+                    d += np.bitwise_count(a[lane][i] ^ b[lane][j])
+                some = np.flatnonzero(d <= radius)
+                u, v = root_a[i[some]], root_b[j[some]]
+                if (u != v).any():
+                    root = _joined(root, u, v)
+                    root_a, root_b = root[mine[order_a]], root[theirs[order_b]]
+    moved = np.flatnonzero(root != np.arange(len(known)))
+    return np.stack([known[moved], known[root[moved]]], axis=1)
+
+
+def _all_links(radius: int, n_lanes: int):
+    """(a, b): links of the two parts of each pair; rows come sorted by pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def searched(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            columns = [np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in rows]) for k in range(1, 3 + n_lanes)]
+            side, root, lanes = columns[0], columns[1], np.stack(columns[2:]).view(np.uint64)
+            one, two = side != 1, side != 0  # a part with itself is on both
+            found = links(lanes[:, one], root[one], lanes[:, two], root[two], radius)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            pair = batch.column(0).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(pair[1:] != pair[:-1]) + 1).tolist(), len(pair)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and hi > lo and held[0].column(0)[0].as_py() != int(pair[lo]):
+                    yield searched(held)
+                    held = []
+                if hi > lo:
+                    held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield searched(held)
+        del held
+        tk.release()
+
+    return run
+
+
+def _exact(named: DataFrame, radius: int, lanes: list[str], parts: int) -> DataFrame:
+    """(a, b): pairs of roots that connect what all near pairs would; ``named`` has (root, lanes), a row for each node."""
+    pairs = parts * (parts + 1) // 2
+    tasks = min(pairs, SEARCH_TASKS)
+    other = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    least, most = F.least("p", "o"), F.greatest("p", "o")
+    rows = named.select(F.pmod(F.xxhash64(*lanes), F.lit(parts)).cast("int").alias("p"), "root", *lanes).select("p", other.alias("o"), "root", *lanes)
+    # side 0 or 1 of a pair of parts; 2 of a part with itself
+    side = F.when(F.col("p") == F.col("o"), 2).when(F.col("p") < F.col("o"), 0).otherwise(1)
+    rows = rows.select((most.cast("long") * (most + 1) / 2 + least).cast("long").alias("pair"), side.cast("int").alias("side"), "root", *lanes)
+    return rows.repartitionById(tasks, (F.col("pair") % tasks).cast("int")).sortWithinPartitions("pair").mapInArrow(_all_links(radius, len(lanes)), "a long, b long")
+
+
 def _near(df: DataFrame, id_col: str, text_col: str, radius: int, more: dict | None = None) -> DataFrame:
     """(id, ``more``, root, group_id) for each row; a null root where the text has no word."""
     form = shape(df.count())
@@ -274,7 +413,12 @@ def _near(df: DataFrame, id_col: str, text_col: str, radius: int, more: dict | N
     pairs = met.where("k is null").select("a", "b").distinct().join(at[0], "a").join(at[1], "b").where(_distance(lanes, "a", "b") <= most).select("a", "b")
     members = met.where("k is not null").select("k", F.col("a").alias("id")).join(node.drop("least"), "id").select("k", "id", *lanes)
     root = components(pairs.union(_in_buckets(members, most, lanes, HOT_BUCKET)))
-    named = node.join(root, node["id"] == root["node"], "left").select(*lanes, "least", F.coalesce("root", node["id"]).alias("root"))
+    named = tk.cut(node.join(root, node["id"] == root["node"], "left").select(*lanes, "least", F.coalesce("root", node["id"]).alias("root")))
+    n = named.count()
+    more_links = tk.cut(_exact(named, most, lanes, max(min(PARTS, n // LEAST_PART), -(-n // PART), 1)))
+    if more_links.limit(1).count():
+        joined = components(more_links).withColumnRenamed("root", "least_root")
+        named = named.join(joined, named["root"] == joined["node"], "left").select(*lanes, "least", F.coalesce("least_root", "root").alias("root"))
     name = named.groupBy("root").agg(F.min("least").alias("group_id"))
     named = named.drop("least").join(name, "root")
     return fp.join(named, lanes, "left").select("id", *(more or {}), "root", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("group_id")).alias("group_id"))

@@ -114,6 +114,59 @@ def test_wide_segments_find_the_same_groups(spark, monkeypatch):
     assert sum(wide[i] == narrow[i] for i in narrow) >= 0.97 * len(narrow)
 
 
+def unmet_pairs() -> list[tuple[int, str]]:
+    """Pairs of texts (ids 2 k and 2 k + 1) within the radius, of which each of the eight segments differs in three bits or more."""
+    rng = random.Random(5)
+    rows = []
+    while len(rows) < 60:
+        base = words(rng, 70)
+        other = [[w if rng.random() > 0.05 else "changed" + str(rng.randrange(99)) for w in base] for _ in range(200)]
+        f, _ = simhash.fingerprints(*tk.buffers(pa.array([" ".join(w) for w in (base, *other)])))
+        d = np.bitwise_count(f.view(np.uint32)[1:] ^ f.view(np.uint32)[0])
+        for k in np.flatnonzero((d.min(axis=1) > 2) & (d.sum(axis=1) <= simhash.RADIUS))[:1]:
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other[k]))]
+    return rows
+
+
+@pytest.mark.parametrize("least", [10, 1 << 14])
+def test_pairs_that_meet_in_no_table_are_found(spark, monkeypatch, least):
+    monkeypatch.setattr(simhash, "LEAST_PART", least)
+    rows = unmet_pairs()
+    want = brute_groups(rows)
+    assert all(want[k] == want[k + 1] for k in range(0, len(rows), 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.group_id for r in simhash.groups(df).collect()} == want
+
+
+def test_near_groups_are_those_of_all_pairs_without_exception(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAST_PART", 50)
+    rows = near_corpus()
+    assert {r.doc_id: r.group_id for r in simhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == brute_groups(rows)
+
+
+@pytest.mark.parametrize("lanes, radius, compared", [(4, 40, 1 << 18), (6, 60, 100), (1, 10, 100), (4, 110, 1 << 18), (2, 3, 1 << 18)])
+def test_links_connect_what_all_pairs_would(monkeypatch, lanes, radius, compared):
+    monkeypatch.setattr(simhash, "COMPARED", compared)
+    rng = np.random.default_rng(lanes)
+    base = rng.integers(0, 1 << 63, (30, lanes), dtype=np.uint64)
+    bits = np.unpackbits(base[rng.integers(0, 30, 600) // np.r_[np.full(300, 1), np.full(300, 30)]].view(np.uint8), axis=1)
+    for row in bits:
+        row[rng.choice(64 * lanes, rng.integers(0, radius), replace=False)] ^= 1
+    x = np.ascontiguousarray(np.packbits(bits, axis=1).view(np.uint64).T)
+    roots = rng.permutation(600) // 2 * 11
+    for one, two in ((slice(0, 600), slice(0, 600)), (slice(0, 250), slice(250, 600))):
+        near = [(a, b) for a in range(600)[one] for b in np.arange(600)[two][np.bitwise_count(x[:, two] ^ x[:, a : a + 1]).sum(axis=0) <= radius]]
+        of = []
+        for pairs in ([(roots[a], roots[b]) for a, b in near], simhash.links(x[:, one], roots[one], x[:, two], roots[two], radius).tolist()):
+            parts = {r: {r} for r in roots.tolist()}
+            for a, b in pairs:
+                if parts[int(a)] is not parts[int(b)]:
+                    both = parts[int(a)] | parts[int(b)]
+                    parts |= dict.fromkeys(both, both)
+            of.append({r: min(p) for r, p in parts.items()})
+        assert of[0] == of[1] and len(near) > 100
+
+
 @pytest.mark.parametrize("together", [1, 60, 10_000])
 def test_buckets_over_batches(monkeypatch, together):
     monkeypatch.setattr(simhash, "TOGETHER", together)
