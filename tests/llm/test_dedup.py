@@ -138,6 +138,15 @@ def test_pairs_that_meet_in_no_table_are_found(spark, monkeypatch, least):
     assert {r.doc_id: r.group_id for r in simhash.groups(df).collect()} == want
 
 
+def test_the_pipeline_drops_pairs_that_meet_in_no_table(spark):
+    import corpus_pipeline
+
+    rows = unmet_pairs()
+    df = spark.createDataFrame([(*r, "en", "web") for r in rows], "doc_id long, text string, lang string, source string")
+    left = corpus_pipeline.near_dedup(spark, df, "")
+    assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == sorted(set(brute_groups(rows).values()))
+
+
 def test_near_groups_are_those_of_all_pairs_without_exception(spark, monkeypatch):
     monkeypatch.setattr(simhash, "LEAST_PART", 50)
     rows = near_corpus()
