@@ -9,8 +9,8 @@ often each of the two contexts was seen) move after every id of that state towar
 predicted, which is an online EM step on the code length. Counts and weights are brought up to date at every id.
 
 An id's share of a distribution, and that of all lesser ids, are counts of earlier ids of its context that are equal or
-less. The encoder gets those for all ids of many blocks at once by sorts and one stable partition for each bit of the
-place in a context; only the mixing and the coder's arithmetic step along the ids, all blocks of a chunk side by side. The decoder counts
+less. The encoder gets those for all ids of many blocks at once, one block a column, by sorts and sums over pieces of
+them; only the weights and the coder's range step along the ids, all blocks of a chunk side by side. The decoder counts
 in sorted lists and finds an id by bisection. Both use the same sums, products and quotients of doubles in the same order,
 which are exact alike everywhere.
 
@@ -45,9 +45,9 @@ MOVE, FLOOR = 5 / 64, 1 / 256
 #: Text bytes coded side by side.
 CHUNK = 2 << 20
 #: Ids that are counted at once: their arrays stay in a core's cache.
-TOGETHER = 1 << 15
-#: Contexts of up to 2**PIECE_BITS ids, and such pieces of larger ones, are counted by comparing all pairs; 7 at most.
-PIECE_BITS = 6
+TOGETHER = 1 << 16
+#: Pieces of 2**PIECE_BITS ids are counted by comparing all pairs; 7 at most.
+PIECE_BITS = 5
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 _PRIOR = 1 + 20_000 // (10 + np.arange(VOCABULARY, dtype=np.int64))
@@ -57,107 +57,121 @@ _PRIOR_TOTAL = int(_BELOW[-1])
 _SHARES = float((1 << SHARE_BITS) - 64)
 #: By state (4 times how often the last id was seen before, up to 3, and how often the last two were): first weights.
 _START = np.array([[1 - b - a, a, b] for x in range(4) for y in range(4) for b in [(0, 0.4, 0.6, 0.75)[y]] for a in [(1 - b) * (0.1 + 0.1 * x) if x else 0.0]])
-#: Bits of the place in a slot that holds so many ids.
-_SLOT_BITS = np.ceil(np.log2(np.maximum(np.arange(BLOCK + 1), 1))).astype(np.int8)
-_TOP = np.uint64(1 << 40)
-_MASK = np.uint64((1 << 40) - 1)
+_BITS, _TOP = np.uint64(SHARE_BITS), np.uint64(1 << 40)
 
 
 def _pairs(values: np.ndarray) -> np.ndarray:
-    """How many of the rows above have a lesser value in the column; there are at most 255 rows above."""
-    out = np.zeros(values.shape, dtype=np.uint8)
-    for d in range(1, len(values)):
-        np.add(out[d:], (values[:-d] < values[d:]).view(np.uint8), out=out[d:])
-    return out
+    """Of pieces (first axis): how many of the rows above in the piece have a lesser value in the column; there are at most 255 rows above."""
+    rows = np.ascontiguousarray(values.transpose(1, 0, 2))
+    out, less = np.zeros(rows.shape, dtype=np.uint8), np.empty(rows.shape, dtype=bool)
+    for d in range(1, len(rows)):
+        np.less(rows[:-d], rows[d:], out=less[d:])
+        np.add(out[d:], less[d:].view(np.uint8), out=out[d:])
+    return np.ascontiguousarray(out.transpose(1, 0, 2))
 
 
-def _counts(group: np.ndarray, ids: np.ndarray, together: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each id: how many ids of its group came before it, how many of them are equal and how many are less; and a number of its group.
+def _lesser(order: np.ndarray) -> np.ndarray:
+    """Of each number of columns that are permutations: how many of those above it are less.
 
-    ``together``: the groups come one after another already. A group has at most ``BLOCK`` ids.
+    Rows and numbers are cut into pieces. Sums over the pieces count what is in an earlier one both by row and by number. What is in the
+    same piece by row, and what is in the same one by number and in an earlier one by row, is counted by comparing all pairs.
     """
-    n = len(ids)
-    every, equal, less, number = (np.zeros(n, dtype=np.int64) for _ in range(4))
-    if together:
-        place, s = np.arange(n), group
+    n, width = order.shape
+    piece = 1 << PIECE_BITS
+    pieces = -(-n // piece)
+    if pieces * piece > n:
+        order = np.concatenate([order, np.broadcast_to(np.arange(n, pieces * piece)[:, None], (pieces * piece - n, width))])
+    column, own = np.arange(width), np.arange(pieces).repeat(piece)[:, None]
+    cell = ((order >> PIECE_BITS) + own * pieces) * width + column
+    sums = np.bincount(cell.reshape(-1), minlength=pieces * pieces * width).astype(np.int16).reshape(pieces, pieces, width)
+    early = np.zeros_like(sums)
+    for k in range(1, pieces):
+        np.add(early[k - 1], sums[k - 1], out=early[k])
+    sums[:, 0] = 0
+    for k in range(1, pieces):
+        np.add(sums[:, k - 1], early[:, k - 1], out=sums[:, k])
+    out = sums.reshape(-1)[cell]
+    out += _pairs(order.astype(np.uint16).reshape(pieces, piece, width)).reshape(out.shape)
+    at = order * width + column
+    by_number = np.empty(order.size, dtype=np.uint16 if pieces > 256 else np.uint8)
+    by_number[at] = own
+    out += _pairs(by_number.reshape(pieces, piece, width)).reshape(-1)[at]
+    return out[:n]
+
+
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Columns of numbers in order, of equal ones the first first: the numbers, their rows, and where the run of equal ones begins."""
+    n = len(keys)
+    bits = (n - 1).bit_length()
+    kind = np.uint32 if int(keys.max()) >> 32 - bits == 0 else np.uint64
+    k = keys.astype(kind)
+    k <<= kind(bits)
+    k |= np.arange(n, dtype=kind)[:, None]
+    k = np.sort(np.ascontiguousarray(k.T), axis=1)
+    row = (k & kind((1 << bits) - 1)).astype(np.int64)
+    k >>= kind(bits)
+    start = np.zeros(k.shape, dtype=np.int16)
+    np.multiply(k[:, 1:] != k[:, :-1], np.arange(1, n, dtype=np.int16), out=start[:, 1:])
+    np.maximum.accumulate(start, axis=1, out=start)
+    return np.ascontiguousarray(k.T), np.ascontiguousarray(row.T), np.ascontiguousarray(start.T)
+
+
+def _counts(group: np.ndarray | None, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each id: how many ids of its group came before it in its column, how many of them are equal and how many are less; and a number of its group.
+
+    One axis is one column. None: a column is a group. A column has at most 2**15 ids; groups and ids are not below 0.
+    """
+    shape = ids.shape
+    ids = ids.reshape(len(ids), -1)
+    n, width = ids.shape
+    column = np.arange(width)
+    if group is None:
+        _, row, run = _sorted(ids)
+        to, first, every = row * width + column, 0, row
     else:
-        shift = int(n).bit_length()
-        s = np.sort(group << shift | np.arange(n))
-        place, s = s & ((1 << shift) - 1), s >> shift
-    new = np.r_[True, s[1:] != s[:-1]]
-    first = np.flatnonzero(new)
-    size = np.diff(np.r_[first, n])
-    every[place] = np.arange(n) - np.repeat(first, size)
-    number[place] = np.repeat(np.arange(len(size)), size)
-    shared = np.repeat(size > 1, size)
-    place, size = place[shared], size[size > 1]
-    if not len(size):
-        return every, equal, less, number
-    # each group has a slot of a power of two of cells, the largest first, so that every slot is aligned; empty cells are last
-    bits = _SLOT_BITS[size]
-    largest = np.argsort(-bits, kind="stable")
-    ends = np.cumsum(1 << bits[largest].astype(np.int64))
-    start = np.empty(len(size), dtype=np.int64)
-    start[largest] = ends - (1 << bits[largest].astype(np.int64))
-    slot = np.repeat(start, size)
-    cell = slot + every[place]
-    cells = int(ends[-1])
-    # a slot's ids by value, of equal ones the last first
-    wide = int(cells).bit_length()
-    k = np.sort((slot << 16 | ids[place]) << wide | ((1 << wide) - 1 - cell))
-    by_value, k = (1 << wide) - 1 - (k & ((1 << wide) - 1)), k >> wide
-    last = np.flatnonzero(np.r_[k[1:] != k[:-1], True])
-    same = np.empty(cells, dtype=np.int64)
-    same[by_value] = np.repeat(last, np.diff(np.r_[-1, last])) - np.arange(len(k))
-    equal[place] = same[cell]
-    value = np.zeros(cells, dtype=np.uint16)
-    value[cell] = ids[place]
-    upto = np.r_[ends, 0][np.searchsorted(-bits[largest], -np.arange(int(bits.max()) + 2), side="right") - 1]  # cells of slots of 2**b or more
-    out = np.zeros(cells, dtype=np.int32)
-    # small slots, and pieces of large ones, by comparing all pairs
-    for b in range(1, PIECE_BITS + 1):
-        lo, hi = int(upto[b + 1]) if b < PIECE_BITS and b < len(upto) - 1 else 0, int(upto[b]) if b < len(upto) else 0
-        if lo < hi:
-            out[lo:hi] = _pairs(np.ascontiguousarray(value[lo:hi].reshape(-1, 1 << b).T)).T.reshape(-1)
-    # from the highest bit of a cell down: cells alike above bit b stand together by value; those with the bit are later
-    if bits.max() > PIECE_BITS:
-        order = np.arange(int(upto[PIECE_BITS + 1]), dtype=np.int32)
-        large = by_value < len(order)
-        order[np.sort(cell[cell < len(order)])] = by_value[large]
-        for b in range(int(bits.max()) - 1, PIECE_BITS - 1, -1):
-            m = int(upto[b + 1])
-            here = order[:m]
-            bit = here & (1 << b)
-            early, late = np.flatnonzero(bit == 0), np.flatnonzero(bit)
-            later = here[late]
-            out[later] += (late - np.arange(len(late)) - (later >> (b + 1) << b)).astype(np.int32)
-            if b > PIECE_BITS:
-                order[:m] = np.concatenate([here[early].reshape(-1, 1 << b), later.reshape(-1, 1 << b)], axis=1).reshape(-1)
-    less[place] = out[cell]
-    return every, equal, less, number
-
-
-def _predictions(ids: np.ndarray, block: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each id its state, and by order (rows) the share of all lesser ids and that of the id and them."""
+        # groups together, then by value within them: a group has the same rows in both orders
+        _, at, start = _sorted(group.reshape(n, width))
+        at *= width
+        at += column
+        value, row, run = _sorted(start.astype(np.uint64) << np.uint64(16) | ids.reshape(-1)[at].astype(np.uint64))
+        to, first = at.reshape(-1)[row * width + column], (value >> value.dtype.type(16)).astype(np.int64)
+        every = row - first
+    equal = np.arange(n, dtype=np.int16)[:, None] - run
+    packed = np.empty((n, width, 4), dtype=np.int16)
+    for k, part in enumerate((every, equal, _lesser(row) - equal - first, first)):
+        packed[..., k] = part
+    out = np.empty(n * width, dtype=np.int64)
+    out[to] = packed.view(np.int64)[..., 0]
+    return tuple(out.view(np.int16).reshape(*shape, 4)[..., k] for k in range(4))  # type: ignore[return-value]
+
+
+def _contexts(ids: np.ndarray) -> np.ndarray:
+    """Of blocks, one a column: of each id itself; how many came before it and after the last one, and after the last two; by order how many of those are less, and equal."""
     n = len(ids)
-    one, two = np.r_[0, ids[:-1]], np.r_[0, 0, ids[:-2]] if n > 1 else np.zeros(n, np.int64)
-    below, upto = np.zeros((3, n)), np.zeros((3, n))
-    _, equal, less, _ = _counts(block, ids, True)
+    out = np.empty((*ids.shape, 9), dtype=np.uint16)
+    out[..., 0] = ids
+    _, out[..., 4], out[..., 3], _ = _counts(None, ids)
+    one = np.full(ids.shape, VOCABULARY, dtype=np.int32)  # nothing is before the first id
+    one[1:] = ids[:-1]
+    out[..., 1], out[..., 6], out[..., 5], number = _counts(one, ids)
+    two = number.astype(np.int32) << (n - 1).bit_length()
+    two[1:] |= number[:-1]
+    out[..., 2], out[..., 8], out[..., 7], _ = _counts(two, ids)
+    return out
+
+
+def _shares(seen: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each id (``seen``: its ``_contexts``) its state, and by order (rows) the share of all lesser ids and that of the id and them."""
+    below, upto = np.empty((3, len(seen))), np.empty((3, len(seen)))
+    own, one, two, *rest = (seen[:, k].astype(np.int64) for k in range(9))
     total = (ADD * place + _PRIOR_TOTAL).astype(np.float64)
-    below[0] = (ADD * less + _BELOW[ids]) / total
-    upto[0] = (ADD * (less + equal) + _BELOW[ids + 1]) / total
-    every, equal, less, number = _counts(np.where(place >= 1, one, VOCABULARY) | block << 17, ids)
-    state = 4 * np.minimum(every, 3)
-    size = np.maximum(every, 1)
-    below[1], upto[1] = less / size, (less + equal) / size
-    # what is alone after one id is alone after two
-    some = np.flatnonzero(np.bincount(number)[number] > 1)
-    if len(some):
-        every, equal, less, _ = _counts(number[some] << 17 | np.where(place >= 2, two, VOCABULARY)[some], ids[some])
-        state[some] += np.minimum(every, 3)
+    np.divide(ADD * rest[0] + _BELOW[own], total, out=below[0])
+    np.divide(ADD * (rest[0] + rest[1]) + _BELOW[own + 1], total, out=upto[0])
+    for k, every in ((1, one), (2, two)):
         size = np.maximum(every, 1)
-        below[2, some], upto[2, some] = less / size, (less + equal) / size
-    return state, below, upto
+        np.divide(rest[2 * k], size, out=below[k])
+        np.divide(rest[2 * k] + rest[2 * k + 1], size, out=upto[k])
+    return 4 * np.minimum(one, 3) + np.minimum(two, 3), below, upto
 
 
 def _code(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
@@ -165,80 +179,85 @@ def _code(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     n = len(sizes)
     rank_of = np.argsort(-sizes, kind="stable")  # the longest first
     size = sizes[rank_of]
-    rank = np.empty(n, dtype=np.int64)
-    rank[rank_of] = np.arange(n)
     longest = int(size[0]) if n else 0
     live = np.searchsorted(-size, -np.arange(longest), side="left")  # blocks of more than s ids
     step = np.r_[0, np.cumsum(live)]
     # ids by place and then by block, as they are coded
-    state = np.empty(len(ids), dtype=np.int64)
-    below, upto = np.empty((3, len(ids))), np.empty((3, len(ids)))
-    start = np.cumsum(sizes) - sizes
-    for lo, hi in tk.spans(np.r_[0, np.cumsum(sizes)], TOGETHER):
-        block = np.repeat(np.arange(hi - lo), sizes[lo:hi])
-        if len(block):
-            place = np.arange(len(block)) - (start[lo:hi] - start[lo])[block]
-            own, *found = _predictions(ids[start[lo] : start[lo] + len(block)].astype(np.int64), block, place)
-            row = rank[lo:hi][block]
-            to = step[place] + row
-            state[to] = own + 16 * row
-            for rows, part in zip((below, upto), found, strict=True):
-                for k in range(3):
-                    rows[k][to] = part[k]
-    weights, held = np.tile(_START.T, n), np.empty((3, n))
-    low, rng = np.zeros(n, dtype=np.uint64), np.full(n, (1 << 56) - 1, dtype=np.uint64)
-    room = 2 * size + 6  # digits of each block at most
-    begin = np.cumsum(room) - room
-    flat = np.zeros(int(room.sum()), dtype=np.uint32)
-    put = begin.copy()
-    bits, sixteen, upper = np.uint64(SHARE_BITS), np.uint64(16), np.uint64(40)
-    for s in range(longest):
-        k, here = int(live[s]), slice(int(step[s]), int(step[s + 1]))
-        at = state[here]
-        w = held[:, :k]
-        for j in range(3):
-            np.take(weights[j], at, out=w[j], mode="clip")
-        b, u = below[:, here], upto[:, here]
-        part = u - b
-        part *= w
-        scale = _SHARES / (w[0] + w[1] + w[2])
-        x = w * b
-        c = ((x[0] + x[1] + x[2]) * scale).astype(np.uint64)
-        np.multiply(w, u, out=x)
-        f = ((x[0] + x[1] + x[2]) * scale).astype(np.uint64)
-        f -= c
-        part /= part[0] + part[1] + part[2]
-        part -= w
-        part *= MOVE
-        part += w
-        np.maximum(part[0], FLOOR, out=part[0])
-        for j in range(3):
-            weights[j][at] = part[j]
-        r = rng[:k] >> bits
-        lo = low[:k]
-        c *= r
-        lo += c
-        r *= f
-        q = put[:k]
-        while True:
-            # a digit is 16 bits and perhaps a carry; it counts only if the place moves on
-            flat[q] = lo >> upper
-            short = r < _TOP
-            q += short
-            np.copyto(lo, (lo & _MASK) << sixteen, where=short)
-            np.left_shift(r, short * sixteen, out=r)
-            if r.min() >= _TOP:
-                break
-        rng[:k] = r
-    for _ in range(4):
-        flat[put] = low >> upper
-        put += 1
-        low = (low & _MASK) << sixteen
+    seen = np.empty(9 * len(ids), dtype=np.uint16)
+    start = (np.cumsum(sizes) - sizes)[rank_of]
+    lo, filled = 0, int(live[0]) if longest else 0
+    while lo < filled:
+        # blocks of about a length; what a shorter one is filled with comes after its ids and counts for none of them
+        n_ids = int(size[lo])
+        hi = min(filled, lo + max(1, TOGETHER // max(n_ids, 1 << PIECE_BITS)), int(np.searchsorted(-size, -(n_ids // 2 if n_ids >> PIECE_BITS else 0), side="left")))
+        found = _contexts(ids.take(start[lo:hi] + np.arange(n_ids)[:, None], mode="clip")).reshape(n_ids, -1)
+        begin, most = 9 * (step[:n_ids] + lo), 9 * (np.minimum(live[:n_ids], hi) - lo)
+        for row, a, k in zip(found, begin.tolist(), most.tolist(), strict=True):
+            seen[a : a + k] = row[:k]
+        lo = hi
+    weights = np.tile(_START.T, n)
+    rng = np.full(n, (1 << 56) - 1, dtype=np.uint64)
+    moved = np.zeros(n, dtype=np.uint64)  # bits that a block's code has moved on by
+    adds, where = np.empty(len(ids), dtype=np.uint64), np.empty(len(ids), dtype=np.uint64)
+    scratch, least = np.empty((3, n)), _TOP >> np.uint64(16)
+    for first, last in tk.spans(step, TOGETHER):
+        here = slice(int(step[first]), int(step[last]))
+        each = live[first:last]
+        own, below, upto = _shares(seen.reshape(-1, 9)[here], np.arange(first, last).repeat(each))
+        own += 16 * (np.arange(len(own)) - (step[first:last] - step[first]).repeat(each))
+        gain, held = upto - below, np.empty_like(below)
+        # the weights that each id meets
+        z = 0
+        for k in each.tolist():
+            a, z = z, z + k
+            at, w, part = own[a:z], held[:, a:z], scratch[:, :k]
+            for j in range(3):
+                np.take(weights[j], at, out=w[j], mode="clip")
+            np.multiply(gain[:, a:z], w, out=part)
+            part /= part[0] + part[1] + part[2]
+            part -= w
+            part *= MOVE
+            part += w
+            np.maximum(part[0], FLOOR, out=part[0])
+            for j in range(3):
+                weights[j][at] = part[j]
+        # shares of the mixture: of lesser ids, and of the id
+        scale = _SHARES / (held[0] + held[1] + held[2])
+        below *= held
+        upto *= held
+        c = ((below[0] + below[1] + below[2]) * scale).astype(np.int64)
+        f = (((upto[0] + upto[1] + upto[2]) * scale).astype(np.int64) - c).view(np.uint64)
+        c = c.view(np.uint64)
+        # the coder's range; FLOOR of the prior is 6 shares at least, so that two digits of 16 bits are the most to move on by
+        z = 0
+        for k in each.tolist():
+            a, z = z, z + k
+            r, m = rng[:k], moved[:k]
+            where[here][a:z] = m
+            r >>= _BITS
+            np.multiply(c[a:z], r, out=adds[here][a:z])
+            r *= f[a:z]
+            short = (r < _TOP).view(np.uint8) + (r < least).view(np.uint8)
+            shift = np.left_shift(short, 4, dtype=np.uint64)
+            r <<= shift
+            m += shift
+    # a code is the sum of what was added, each where the code had moved on to: digits of 16 bits with carries to come
+    ends = (moved >> np.uint64(4)).astype(np.int64) + 4
+    begin = np.cumsum(ends) - ends
+    digit = (where >> np.uint64(4)).view(np.int64)
+    for a, k in zip(step[:-1].tolist(), live.tolist(), strict=True):
+        digit[a : a + k] += begin[:k]
+    flat = np.zeros(int(ends.sum()))
+    for shift in (40, 24, 8):
+        flat += np.bincount(digit, adds >> np.uint64(shift) & np.uint64(0xFFFF), minlength=len(flat))
+        digit += 1
+    flat += np.bincount(digit, (adds & np.uint64(0xFF)) << np.uint64(8), minlength=len(flat))
+    flat = flat.astype(np.uint32)
+    low, high = (flat & 0xFFFF).astype(">u2").tobytes(), (flat >> 16).astype(">u2").tobytes()
     out: list[bytes] = [b""] * n
-    for o, a, z in zip(rank_of.tolist(), begin.tolist(), put.tolist(), strict=True):
-        digits = flat[a:z]
-        whole = int.from_bytes((digits & 0xFFFF).astype(">u2").tobytes(), "big") + (int.from_bytes((digits >> 16).astype(">u2").tobytes(), "big") << 16)
-        out[o] = whole.to_bytes(2 * (z - a), "big").rstrip(b"\0")
+    for o, a, z in zip(rank_of.tolist(), (2 * begin).tolist(), (2 * (begin + ends)).tolist(), strict=True):
+        whole = int.from_bytes(low[a:z], "big") + (int.from_bytes(high[a:z], "big") << 16)
+        out[o] = whole.to_bytes(z - a, "big").rstrip(b"\0")
     return out
 
 

@@ -79,6 +79,32 @@ def test_counts_are_those_of_all_earlier_ids(monkeypatch):
             assert ((number[None, :] == number[:, None]) == (g[None, :] == g[:, None])).all()
 
 
+def test_counts_of_blocks_side_by_side():
+    """Columns are counted at once, without a slot for each context; what fills a short block changes nothing."""
+    rng = np.random.default_rng(8)
+    for n, width, groups, kinds in ((1, 3, 2, 2), (33, 5, 4, 6), (300, 4, 20, 9), (1024, 3, 1, 65536), (1024, 2, 65537, 3)):
+        g, x = rng.integers(0, groups, (n, width)), rng.integers(0, kinds, (n, width))
+        every, equal, less, number = token_codec._counts(g, x)
+        for k in range(width):
+            before = (g[None, :, k] == g[:, None, k]) & (np.arange(n)[None, :] < np.arange(n)[:, None])
+            a, b = x[None, :, k], x[:, None, k]
+            assert (every[:, k] == before.sum(1)).all() and (equal[:, k] == (before & (a == b)).sum(1)).all() and (less[:, k] == (before & (a < b)).sum(1)).all()
+            assert ((number[None, :, k] == number[:, None, k]) == (g[None, :, k] == g[:, None, k])).all()
+        for a, b in zip(token_codec._counts(None, x)[:3], token_codec._counts(np.zeros_like(x), x)[:3], strict=True):
+            assert (a == b).all()
+    sizes = np.array([0, 1, 31, 32, 33, 511, 512, 513, 1024, 1, 0, 700])
+    ids = (rng.zipf(1.2, sizes.sum()) % 65536).astype(np.uint16)
+    cuts = np.r_[0, np.cumsum(sizes)]
+    assert token_codec.encode(ids, sizes) == [token_codec.encode(ids[a:z], np.array([z - a]))[0] for a, z in zip(cuts, cuts[1:], strict=False)]
+
+
+def test_blocks_are_those_of_the_first_mixing_coder():
+    """Blocks that were written before are read, and those written now are the same."""
+    ids = [7, 50000, 7, 50000, 7, 0, 65535, 7, 50000, 7]
+    block = bytes.fromhex("0a00f92b757e0ec74c6fb4ff0c1deb774b73c0dfae")
+    assert token_codec.encode(np.array(ids, np.uint16), np.array([10])) == [block] and token_codec.decode(block) == ids
+
+
 @needs_tokenizer
 def test_mixing_beats_a_dictionary_coder():
     import zlib
