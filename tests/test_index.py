@@ -349,3 +349,22 @@ def test_text_index(spark, tmp_path):
     assert TextIndex.load(spark, str(tmp_path / "ix")).count("ra").count() == 2
     with pytest.raises(ValueError, match="reversed"):
         TextIndex.build(df).regex("a")
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_occurrences_are_counted_within_a_text(spark):
+    rows = [(3, "abracadabra"), (3, "banana"), (1, ""), (9, None), (2, "\x00b\x00é")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = index.occurrence_rows(df)
+    assert "Exchange" not in plan_of(found)
+    want = []
+    for i, t in rows:
+        seen: Counter = Counter()
+        raw = None if t is None else t.encode()
+        for rank, p in enumerate([] if raw is None else sorted(range(len(raw) + 1), key=lambda k: raw[k:])):
+            seen[c := raw[p - 1] if p else None] += 1
+            want.append((i, rank, p, c, None if c is None else seen[c]))
+    assert sorted(((r.doc_id, r["rank"], r.pos, r.c, r.occ) for r in found.collect()), key=str) == sorted(want, key=str)
