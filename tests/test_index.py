@@ -368,3 +368,11 @@ def test_occurrences_are_counted_within_a_text(spark):
             seen[c := raw[p - 1] if p else None] += 1
             want.append((i, rank, p, c, None if c is None else seen[c]))
     assert sorted(((r.doc_id, r["rank"], r.pos, r.c, r.occ) for r in found.collect()), key=str) == sorted(want, key=str)
+
+
+def test_greater_than_whole_shuffles_nothing(spark):
+    rows = [(3, "banana"), (3, "abab"), (1, ""), (9, None)]
+    found = index.greater_than_whole(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert "Exchange" not in plan_of(found)
+    want = [(i, p, r, t[p:] > t) for i, t in rows if t for r, p in enumerate(sorted(range(len(t)), key=lambda k: t[k:]))]
+    assert sorted((r.doc_id, r.pos, r["rank"], r.greater) for r in found.collect()) == sorted(want)
