@@ -376,3 +376,11 @@ def test_greater_than_whole_shuffles_nothing(spark):
     assert "Exchange" not in plan_of(found)
     want = [(i, p, r, t[p:] > t) for i, t in rows if t for r, p in enumerate(sorted(range(len(t)), key=lambda k: t[k:]))]
     assert sorted((r.doc_id, r.pos, r["rank"], r.greater) for r in found.collect()) == sorted(want)
+
+
+def test_index_columns_are_worked_out_alone(spark):
+    df = spark.createDataFrame([(1, "abracadabra"), (2, ""), (3, None), (4, "é\x00aé")], "doc_id long, text string")
+    for how in ("forward", "reversed"):
+        whole = {r.doc_id: r for r in index.build_index(df, orientation=how).collect()}
+        for c in ("n", "data", "sa", "bwt", "eof", "lcp"):
+            assert {r.doc_id: r[c] for r in index.build_index(df, orientation=how, columns=(c,)).collect()} == {i: r[c] for i, r in whole.items()}
