@@ -384,3 +384,17 @@ def test_index_columns_are_worked_out_alone(spark):
         whole = {r.doc_id: r for r in index.build_index(df, orientation=how).collect()}
         for c in ("n", "data", "sa", "bwt", "eof", "lcp"):
             assert {r.doc_id: r[c] for r in index.build_index(df, orientation=how, columns=(c,)).collect()} == {i: r[c] for i, r in whole.items()}
+
+
+@pytest.mark.parametrize("limits", [(), (64, 128, 8), (256, 512, 128)])
+def test_global_order_in_ranges(spark, limits):
+    """Many ranges and blocks, long repeats that only doubling tells apart, zeros at the end, ids out of order."""
+    rng = random.Random(3)
+    rows = [(7 * i % 41, bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(40)))) for i in range(41)]
+    rows += [(100 + i, b"the same text " * 3) for i in range(12)] + [(-5, b"a" * 400), (7000, b"a" * 300), (8000, None), (9000, b"\0" * 90)]
+    docs = [(i, t + b"\1") for i, t in sorted(r for r in rows if r[1] is not None)]
+    joint = b"".join(t for _, t in docs)
+    places = [(i, k) for i, t in docs for k in range(len(t))]
+    df = spark.createDataFrame([(i, t and bytearray(t)) for i, t in rows], "doc_id long, text binary")
+    got = sorted((r["rank"], r.doc_id, r.pos, r.c) for r in global_index._sorted(df, "doc_id", "text", *limits).collect())
+    assert got == [(r, *places[p], joint[p - 1]) for r, p in enumerate(sorted(range(len(joint)), key=lambda i: joint[i:]))]
