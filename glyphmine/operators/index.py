@@ -178,8 +178,8 @@ def greater_than_whole(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return rows.where("rank > 0").select("doc_id", "pos", (F.col("rank") - 1).alias("rank"), "greater")
 
 
-def is_sorted(index: DataFrame) -> DataFrame:
-    """(doc_id, sorted): does ``sa`` list every suffix once and in order? A check of an index against its text, in linear time.
+def sorted_column(data: Column | str, sa: Column | str) -> Column:
+    """Does ``sa`` list every suffix of ``data`` once and in order? In linear time.
 
     Nothing is sorted again: neighbours must have their first bytes in order, and where these are equal, the suffixes one
     byte shorter must be in order by the ranks that ``sa`` itself gives them.
@@ -191,7 +191,12 @@ def is_sorted(index: DataFrame) -> DataFrame:
         values, at = sa.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(sa), 0).to_numpy(zero_copy_only=False))]
         return pa.array([in_order(raw[offs[k] : offs[k + 1]], values[at[k] : at[k + 1]]) for k in range(len(data))], pa.bool_())
 
-    return index.select("doc_id", ok("data", "sa").alias("sorted"))
+    return ok(data, sa)
+
+
+def is_sorted(index: DataFrame) -> DataFrame:
+    """(doc_id, sorted): a check of an index against its text, in linear time."""
+    return index.select("doc_id", sorted_column("data", "sa").alias("sorted"))
 
 
 def in_order(data: np.ndarray, sa: np.ndarray) -> bool:

@@ -398,3 +398,30 @@ def test_global_order_in_ranges(spark, limits):
     df = spark.createDataFrame([(i, t and bytearray(t)) for i, t in rows], "doc_id long, text binary")
     got = sorted((r["rank"], r.doc_id, r.pos, r.c) for r in global_index._sorted(df, "doc_id", "text", *limits).collect())
     assert got == [(r, *places[p], joint[p - 1]) for r, p in enumerate(sorted(range(len(joint)), key=lambda i: joint[i:]))]
+
+
+def test_search_of_many_indexes_is_that_of_each(spark):
+    from glyphmine.functions.automata import dfa
+    from glyphmine.functions.regex_ast import parse
+
+    rng = random.Random(8)
+    texts = [b"", b"a" * 300, b"\0ab\0", "éab".encode()] + [bytes(rng.choice(b"abc") for _ in range(rng.randrange(200))) for _ in range(12)]
+    s = suffixes([t[::-1] for t in texts])
+    bwt = s.bwt()
+    raw, eof = np.maximum(bwt - 1, 0).astype(np.uint8), np.flatnonzero(bwt == 0) - s.first[:-1]
+    for pattern, most in (("a(b|c)*a", 0), ("a+", 0), ("(a|b)c?b", 0), ("[a-c]+", 5)):
+        d = dfa(parse(pattern))
+        got = {(k, n, a, b) for n, *x in match.search_indexes(raw, s.first, eof, d, most) for k, a, b in zip(*(y.tolist() for y in x))}
+        want = {(k, *x) for k in range(len(texts)) for x in match.search_index(kn.Ranks(raw[s.first[k] : s.first[k + 1]], int(eof[k])), d, most, 0, 0)[0]}
+        assert got == want and want
+
+
+def test_an_index_is_built_once_for_its_check(spark, tmp_path):
+    from glyphmine.plans import catalog
+
+    spark.createDataFrame([(1, "abab"), (2, ""), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalog.QUERIES["index_is_sorted"](spark, str(tmp_path))
+    assert plan_of(found).split("Initial Plan")[0].count("MapInArrow") == 1
+    assert {tuple(r) for r in found.collect()} == {(1, False, True), (1, True, False), (2, False, True), (2, True, True)}
+    count = catalog.QUERIES["index_literal_count"](spark, str(tmp_path))._jdf.queryExecution().analyzed().toString()
+    assert "lcp" not in count and "sa#" not in count
