@@ -171,6 +171,54 @@ def search_index(ranks: kn.Ranks, d: DFA, max_length: int, max_iterations: int,
     return sorted(out), []
 
 
+def search_indexes(bwt: np.ndarray, first: np.ndarray, eof: np.ndarray, d: DFA, max_length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(length, text, sp, ep) of the accepted intervals of many indexes side by side, a length at a time; ``first``: where each index begins.
+
+    Intervals of one length are disjoint. What stands before the ranks of a small one is read; of a large one, each byte is looked up.
+    """
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    code = bwt.astype(np.int64) + 1
+    code[first[:-1] + eof] = 0
+    key = text * 257 + code
+    order = np.argsort(key, kind="stable")
+    lf = np.empty(len(order), dtype=np.int64)
+    lf[order] = np.arange(len(order))
+    wide = len(order) + 1
+    sorted_keys = key[order] * wide + order
+    known = np.unique(code)
+    known = known[known > 0]
+    table = d.table
+    sp, ep, state, length = first[:-1].astype(np.int64), first[1:].astype(np.int64), np.zeros(len(first) - 1, np.int64), 0
+    while len(sp) and (not max_length or length < max_length):
+        length += 1
+        large = ep - sp > 64
+        # each byte before a large interval
+        row, c = np.repeat(np.flatnonzero(large), len(known)), np.tile(known, int(large.sum()))
+        to = table[state[row], c - 1]
+        row, c, to = row[to >= 0], c[to >= 0], to[to >= 0]
+        keys = (text[sp[row]] * 257 + c) * wide
+        lo, hi = np.searchsorted(sorted_keys, keys + sp[row]), np.searchsorted(sorted_keys, keys + ep[row])
+        some = lo < hi
+        found = [(lo[some], hi[some], to[some])]
+        # the bytes before a small one, those that are alike side by side
+        row = np.flatnonzero(~large)
+        size = (ep - sp)[row]
+        at = np.repeat(sp[row] - np.r_[0, np.cumsum(size)[:-1]] if len(row) else row, size) + np.arange(int(size.sum()))
+        row = np.repeat(row, size)
+        row, at = row[code[at] > 0], at[code[at] > 0]
+        to = table[state[row], code[at] - 1]
+        row, at, to = row[to >= 0], at[to >= 0], to[to >= 0]
+        by = np.argsort(lf[at])
+        row, at, to = row[by], at[by], to[by]
+        begin = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (code[at][1:] != code[at][:-1])]) if len(at) else at
+        found.append((lf[at[begin]], lf[at[np.r_[begin[1:], len(at)] - 1]] + 1 if len(at) else at, to[begin]))
+        sp, ep, state = (np.concatenate([np.asarray(x[k], dtype=np.int64) for x in found]) for k in range(3))
+        hit = d.final[state]
+        if hit.any():
+            own = text[sp[hit]]
+            yield length, own, sp[hit] - first[own], ep[hit] - first[own]
+
+
 def index_matches(index: DataFrame, pattern: str, max_length: int = 0, max_iterations: int = 0, max_branching: int = 0, core: bool = False, **how) -> DataFrame:
     """(doc_id, match, len, sp, ep, cnt, truncated): the distinct matches in texts by their index of orientation 'reversed'.
 
@@ -183,10 +231,25 @@ def index_matches(index: DataFrame, pattern: str, max_length: int = 0, max_itera
     if d is None:
         return index.sparkSession.createDataFrame([], schema)
 
+    def whole(batch: pa.RecordBatch) -> Iterator[tuple[int, str, int, int, int, int, bool]]:
+        bwt, first = kn.buffers(batch.column(3))
+        data, offs = kn.buffers(batch.column(1))
+        raw, places = data.tobytes(), batch.column(2).flatten().to_numpy(zero_copy_only=False)
+        for n, text, sp, ep in search_indexes(bwt, first, batch.column(4).to_numpy().astype(np.int64), d, max_length):
+            at = offs[text] + places[first[text] + sp]
+            for k, a, lo, hi in zip(text.tolist(), at.tolist(), sp.tolist(), ep.tolist(), strict=True):
+                yield k, raw[a : a + n][::-1].decode(errors="replace"), n, lo, hi, hi - lo, False
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        parts = (batch.slice(lo, hi - lo) for batch in batches for lo, hi in kn.passes(kn.buffers(batch.column(3))[1], 8 * kn.SORT_BYTES))
+        for batch in parts:
             rows = []
-            for k, (data, sa, bwt, eof) in enumerate(zip(*(batch.column(x).to_pylist() for x in (1, 2, 3, 4)), strict=True)):
+            if not max_iterations and not max_branching:
+                rows = list(whole(batch))
+                batch_rows = ()
+            else:
+                batch_rows = zip(*(batch.column(x).to_pylist() for x in (1, 2, 3, 4)), strict=True)
+            for k, (data, sa, bwt, eof) in enumerate(batch_rows):
                 found, rest = search_index(kn.Ranks(np.frombuffer(bwt, np.uint8), eof), d, max_length, max_iterations, max_branching)
                 rows += [(k, data[sa[sp] : sa[sp] + n][::-1].decode(errors="replace"), n, sp, ep, ep - sp, bool(rest)) for n, sp, ep in found]
             k, *cols = zip(*rows, strict=True) if rows else ((),) * 7
