@@ -7,11 +7,12 @@ eof has its neighbour's byte); ``aux``: 256 int64 counts; ``fm``: byte 4, int64
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def bwt_file(bwt: bytes, eof: int, big: bool = True) -> bytes:
@@ -28,7 +29,7 @@ def read_bwt_file(content: bytes, big: bool = True) -> tuple[bytes, int]:
     return bwt[:eof] + b"\0" + bwt[eof + 1 :], eof
 
 
-def ints(values: list[int], big: bool = True, size: int = 4) -> bytes:
+def ints(values: list[int] | np.ndarray, big: bool = True, size: int = 4) -> bytes:
     return np.array(values, dtype=f"{'>' if big else '<'}i{size}").tobytes()
 
 
@@ -36,7 +37,7 @@ def read_ints(content: bytes, big: bool = True, size: int = 4) -> list[int]:
     return np.frombuffer(content, dtype=f"{'>' if big else '<'}i{size}").tolist()
 
 
-def fm_file(psi: list[int], big: bool = True) -> bytes:
+def fm_file(psi: list[int] | np.ndarray, big: bool = True) -> bytes:
     return b"\4" + struct.pack(">q" if big else "<q", len(psi)) + ints(psi, big)
 
 
@@ -47,23 +48,35 @@ def read_fm_file(content: bytes, big: bool = True) -> list[int]:
     return read_ints(content[9:], big)
 
 
+def _psi(bwt: bytes, eof: int) -> np.ndarray:
+    code = np.frombuffer(bwt, np.uint8).astype(np.uint16) + 1  # 16 bits are sorted by radix
+    code[eof] = 0
+    return np.argsort(code, kind="stable")
+
+
 def psi_of(bwt: bytes, eof: int) -> list[int]:
     """The stable sort of a BWT's rows by symbol, the end mark first."""
-    code = np.frombuffer(bwt, np.uint8).astype(np.int64) + 1
-    code[eof] = 0
-    return np.argsort(code, kind="stable").tolist()
+    return _psi(bwt, eof).tolist()
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all lists, and where each list begins."""
+    return lists.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]
 
 
 def files(index: DataFrame, big: bool = True) -> DataFrame:
     """(doc_id, kind, content): the five files of each index row."""
 
-    @F.arrow_udf("array<struct<kind:string,content:binary>>")
-    def all_files(bwt: pa.Array, eof: pa.Array, sa: pa.Array, lcp: pa.Array) -> pa.Array:
-        out = []
-        for b, e, s, c in zip(bwt.to_pylist(), eof.to_pylist(), sa.to_pylist(), lcp.to_pylist(), strict=True):
-            count = np.bincount(np.delete(np.frombuffer(b, np.uint8), e), minlength=256).tolist()
-            parts = {"bwt": bwt_file(b, e, big), "aux": ints(count, big, 8), "fm": fm_file(psi_of(b, e), big), "sa": ints(s, big), "lcp": ints(c, big)}
-            out.append([{"kind": k, "content": v} for k, v in parts.items()])
-        return pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("content", pa.binary())])))
-
-    return index.select("doc_id", F.explode(all_files("bwt", "eof", "sa", "lcp")).alias("f")).select("doc_id", "f.kind", "f.content")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, len(whole), 64):  # so that few files are held at a time
+                ids, bwt, eof, sa, lcp = whole.slice(lo, 64).columns
+                out: list[bytes] = []
+                (ranks, r), (common, k) = _flat(sa), _flat(lcp)
+                for i, (b, e) in enumerate(zip(bwt.to_pylist(), eof.to_pylist(), strict=True)):
+                    count = np.bincount(np.frombuffer(b, np.uint8), minlength=256)
+                    count[b[e]] -= 1
+                    out += [bwt_file(b, e, big), ints(count, big, 8), fm_file(_psi(b, e), big), ints(ranks[r[i] : r[i + 1]], big), ints(common[k[i] : k[i + 1]], big)]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(ids)), 5))), pa.array(["bwt", "aux", "fm", "sa", "lcp"] * len(ids), pa.string()), pa.array(out, pa.binary())], names=["doc_id", "kind", "content"])
+
+    return index.select("doc_id", "bwt", "eof", "sa", "lcp").mapInArrow(run, f"doc_id {dict(index.dtypes)['doc_id']}, kind string, content binary")
